@@ -31,7 +31,10 @@ def write_report(df: DataFrame, folder: str, kind: str, fmt: str = "parquet",
     counted = Observation()
     writer = df.observe(counted, F.count(F.lit(1)).alias("rows")).write.mode("errorifexists")
     if fmt == "csv":
-        writer.csv(location, header=True, escape='"', quoteAll=True)
+        writer.csv(
+            location, header=True, escape='"', quoteAll=True,
+            ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+        )
     elif fmt == "parquet":
         writer.parquet(location)
     else:

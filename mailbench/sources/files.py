@@ -1,8 +1,9 @@
 """Listing and opening of files, one row per file.
 
 Spark's own file sources skip names that start with ``_`` or ``.`` and read ``{}`` in
-names as patterns.  Mail folders have such names, so the folders are walked here: level by
-level, in tasks, with neither names nor contents passing through the driver.
+names as patterns.  Mail folders have such names, so the folders are walked here, in tasks:
+neither names nor contents pass through the driver.  A task that has listed its share
+hands the folders it has not entered to the next round, which spreads them again.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import functools
 import os
 from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 
 import pandas as pd
 from pyarrow import fs
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 from mailbench.session import parallelism, stage
 
 LISTED_ROWS = 10_000
+WALKED_ENTRIES = 20_000
 CONTENT_BYTES = 32 << 20
 
 
@@ -28,7 +31,7 @@ def _store(prefix: str) -> fs.FileSystem:
     return fs.FileSystem.from_uri(prefix)[0]
 
 
-def _locate(path: str) -> tuple[fs.FileSystem | None, str]:
+def locate(path: str) -> tuple[fs.FileSystem | None, str]:
     """File system and path in it; None for a path of the mounted file tree."""
     if path.startswith("file:"):
         return None, "/" + path.removeprefix("file:").lstrip("/")
@@ -43,7 +46,7 @@ def _locate(path: str) -> tuple[fs.FileSystem | None, str]:
 
 def _children(folder: str) -> Iterator[tuple[str, bool]]:
     """Path of everything directly in a folder, and whether it is a folder to walk into."""
-    store, inside = _locate(folder)
+    store, inside = locate(folder)
     base = folder.rstrip("/")
     if store is None:
         with os.scandir(inside) as entries:
@@ -57,45 +60,65 @@ def _children(folder: str) -> Iterator[tuple[str, bool]]:
             yield f"{base}/{info.base_name}", info.type == fs.FileType.Directory
 
 
+def _readable(folder: str) -> Iterator[tuple[str, bool]]:
+    """The children listed until the folder fails; none if it is missing."""
+    try:
+        yield from _children(folder)
+    except OSError:
+        return
+
+
 def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Walk each folder; once it has yielded a share of entries, hand its other subfolders on."""
     rows: list[tuple[str, bool]] = []
     for batch in batches:
-        for folder in batch["path"]:
-            try:
-                for child in _children(folder):
-                    rows.append(child)
+        for start in batch["path"]:
+            waiting, share = [start], 0
+            while waiting:
+                for path, is_folder in _readable(waiting.pop()):
+                    share += 1
+                    if is_folder and share < WALKED_ENTRIES:
+                        waiting.append(path)
+                    else:
+                        rows.append((path, is_folder))
                     if len(rows) == LISTED_ROWS:
                         yield pd.DataFrame(rows, columns=["path", "is_folder"])
                         rows = []
-            except OSError:
-                continue  # missing or unreadable: nothing in it is listed
     yield pd.DataFrame(rows, columns=["path", "is_folder"])
 
 
-def _level(folders: DataFrame) -> DataFrame:
+def _round(folders: DataFrame) -> DataFrame:
     spread = folders.select("path").repartition(parallelism(folders.sparkSession))
     return spread.mapInPandas(_list_folders, "path string, is_folder boolean")
 
 
 def list_folder(spark: SparkSession, *folders: str) -> DataFrame:
     """``path`` of the files directly in the given folders; missing folders hold none."""
-    found = _level(spark.createDataFrame([(f,) for f in folders], "path string"))
-    return found.filter(~F.col("is_folder")).select("path")
+
+    def direct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for folder in batch["path"]:
+                files = (path for path, is_folder in _readable(folder) if not is_folder)
+                while chunk := list(islice(files, LISTED_ROWS)):
+                    yield pd.DataFrame({"path": chunk})
+
+    return spark.createDataFrame([(f,) for f in folders], "path string").repartition(
+        len(folders)).mapInPandas(direct, "path string")
 
 
 def list_mail_paths(spark: SparkSession, root: str) -> DataFrame:
     """``path`` of every file at any depth under ``root``, whatever its name.
 
-    Runs one job per level; each level is a staged table, so the next starts from it.
+    One job per round; each round is a staged table, so the next starts from it.
     """
-    levels = []
+    rounds = []
     folders = spark.createDataFrame([(root,)], "path string")
     while True:
-        level = stage(_level(folders), "listing")
-        levels.append(level.filter(~F.col("is_folder")).select("path"))
-        folders = level.filter("is_folder")
+        found = stage(_round(folders), "listing")
+        rounds.append(found.filter(~F.col("is_folder")).select("path"))
+        folders = found.filter("is_folder")
         if folders.isEmpty():
-            return reduce(DataFrame.union, levels)
+            return reduce(DataFrame.union, rounds)
 
 
 def open_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -107,7 +130,7 @@ def open_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held = 0
     for batch in batches:
         for path in batch["path"]:
-            store, inside = _locate(path)
+            store, inside = locate(path)
             try:
                 opened = open(inside, "rb") if store is None else store.open_input_stream(inside)
                 with opened as stream:

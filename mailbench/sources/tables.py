@@ -12,9 +12,8 @@ def _raw_csv(spark: SparkSession, path: str, key: str | None) -> DataFrame:
     # No schema: Spark would bind it by position, and columns may come in any order.
     # Without column pruning every field of a row is counted, so that FAILFAST also
     # reports rows with a missing or an extra field when few columns are selected.
-    raw = spark.read.csv(
-        path, header=True, multiLine=True, escape='"', mode="FAILFAST",
-        columnPruning=False,
+    raw = spark.read.option("columnPruning", False).csv(
+        path, header=True, multiLine=True, escape='"', mode="FAILFAST"
     )
     for needed in ("text", "label"):
         if needed not in raw.columns:
