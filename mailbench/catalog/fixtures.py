@@ -106,7 +106,7 @@ def emails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.join(labels, "doc_id").select(
         F.col("doc_id").alias("email_id"),
         F.col("source").alias("sender"),
-        F.split_part("text", F.lit("\n"), F.lit(1)).alias("subject"),
+        F.substring_index("text", "\n", 1).alias("subject"),
         "text",
         F.col("toxic").alias("label"),
     )

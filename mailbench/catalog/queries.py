@@ -384,17 +384,14 @@ def _planted_replies(spark, sf_dir) -> DataFrame:
 
 @query
 def parse_llm_json_(spark, sf_dir):
-    parsed = _planted_replies(spark, sf_dir).select(
-        "email_id", parse_llm_json(F.col("reply")).alias("r"))
+    parsed = parse_llm_json(_planted_replies(spark, sf_dir), out="r")
     return parsed.select("email_id", *[F.col("r")[n].alias(n) for n in field_names(LLM_OUT)],
                          F.col("r")[CORRUPT].isNotNull().alias("corrupt"))
 
 
 def _violations(spark, sf_dir, rules):
-    parsed = _planted_replies(spark, sf_dir).select(
-        "*", parse_llm_json(F.col("reply")).alias("r"))
-    broken = validate_llm(F.col("reply"), F.col("r"), rules)
-    return parsed.select("email_id", F.array_join(broken, ",").alias("violations"))
+    checked = validate_llm(parse_llm_json(_planted_replies(spark, sf_dir)), rules=rules)
+    return checked.select("email_id", F.array_join("violations", ",").alias("violations"))
 
 
 @query

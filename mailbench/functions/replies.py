@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailbench.schemas import LLM_OUT, LLM_SPAM, field_names
@@ -22,50 +22,55 @@ def _kind(document: Column, field: str) -> Column:
     return F.schema_of_variant(F.try_variant_get(document, f"$.{field}", "variant"))
 
 
-def parse_llm_json(reply: Column, schema: str = LLM_OUT) -> Column:
-    """Reply text to a typed struct, with the text kept in ``_corrupt_record`` if it does not fit.
+def parse_llm_json(df: DataFrame, reply: str = "reply", out: str = "record",
+                   schema: str = LLM_OUT) -> DataFrame:
+    """``df`` with reply texts typed as struct ``out``.
 
+    A text that does not fit the schema is kept in the field ``_corrupt_record``.
     ``from_json`` turns numbers into strings for string fields without complaint, so
-    those fields are checked against the type they have in the document.
+    those fields are checked against the type they have in the document.  Each reply is
+    parsed in a column of its own, which the fields below refer to.
     """
-    parsed = F.from_json(
-        reply,
-        f"{schema}, {CORRUPT} string",
-        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT},
+    parsed = df.select(
+        "*",
+        F.from_json(reply, f"{schema}, {CORRUPT} string",
+                    {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("_typed"),
+        F.try_parse_json(reply).alias("_document"),
     )
-    document = F.try_parse_json(reply)
     mistyped = F.lit(False)
     fields = []
     for part in schema.split(","):
         name, kind = part.split()
-        value = parsed[name]
+        value = F.col("_typed")[name]
         if kind == "string":
-            found = _kind(document, name)
+            found = _kind(F.col("_document"), name)
             wrong = F.coalesce(~found.isin("STRING", "VOID"), F.lit(False))
             value = F.when(~wrong, value)
             mistyped = mistyped | wrong
         fields.append(value.alias(name))
-    corrupt = F.when(mistyped, reply).otherwise(parsed[CORRUPT])
-    return F.when(reply.isNotNull(), F.struct(*fields, corrupt.alias(CORRUPT)))
+    corrupt = F.when(mistyped, F.col(reply)).otherwise(F.col("_typed")[CORRUPT])
+    record = F.when(F.col(reply).isNotNull(), F.struct(*fields, corrupt.alias(CORRUPT)))
+    return parsed.select("*", record.alias(out)).drop("_typed", "_document")
 
 
-def validate_llm(reply: Column, record: Column, rules: str = "v1") -> Column:
-    """Names of the rules the reply breaks, as ``array<string>``; null for a null reply.
+def validate_llm(df: DataFrame, reply: str = "reply", record: str = "record",
+                 out: str = "violations", rules: str = "v1") -> DataFrame:
+    """``df`` with the rules each reply breaks as ``array<string>`` ``out``; null for a null reply.
 
     ``v1`` checks the whole record contract, ``v2`` keys, types, the priority values
     and a reason for flagged mail, ``spam`` keys and types of the five-field record.
     """
     required = field_names(LLM_SPAM if rules == "spam" else LLM_OUT)
     nullable = set() if rules == "spam" else {"reason"}
-    keys = F.json_object_keys(reply)
+    keyed = df.select("*", F.json_object_keys(reply).alias("_keys"))
+    keys, fields = F.col("_keys"), F.col(record)
     wanted = F.array(*[F.lit(name) for name in required])
-    is_object = keys.isNotNull()
-    corrupt = record[CORRUPT].isNotNull()
+    corrupt = fields[CORRUPT].isNotNull()
 
     some_null = F.lit(False)
     for name in required:
         if name not in nullable:
-            some_null = some_null | (F.array_contains(keys, name) & record[name].isNull())
+            some_null = some_null | (F.array_contains(keys, name) & fields[name].isNull())
 
     checks = [
         ("missing_key", F.size(F.array_except(wanted, keys)) > 0),
@@ -73,24 +78,23 @@ def validate_llm(reply: Column, record: Column, rules: str = "v1") -> Column:
         ("null_value", ~corrupt & some_null),
     ]
     if rules in ("v1", "v2"):
-        flagged = record["is_spam"] | record["is_system_generated"]
+        flagged = fields["is_spam"] | fields["is_system_generated"]
         checks += [
-            ("priority", ~record["priority"].isin(*PRIORITIES)),
-            ("reason_missing", ~corrupt & flagged & record["reason"].isNull()
+            ("priority", ~fields["priority"].isin(*PRIORITIES)),
+            ("reason_missing", ~corrupt & flagged & fields["reason"].isNull()
              & F.array_contains(keys, "reason")),
         ]
     if rules == "v1":
-        words = F.size(F.split(F.trim(record["category"]), " +"))
+        words = F.size(F.split(F.trim(fields["category"]), " +"))
         checks += [
             ("extra_key", F.size(F.array_except(keys, wanted)) > 0),
-            ("intent_length", F.length(record["intent"]) > MAX_INTENT),
-            ("reason_length", F.length(record["reason"]) > MAX_REASON),
-            ("reason_unexpected", ~flagged & record["reason"].isNotNull()),
-            ("category_pattern", ~record["category"].rlike(CATEGORY_PATTERN)),
+            ("intent_length", F.length(fields["intent"]) > MAX_INTENT),
+            ("reason_length", F.length(fields["reason"]) > MAX_REASON),
+            ("reason_unexpected", ~flagged & fields["reason"].isNotNull()),
+            ("category_pattern", ~fields["category"].rlike(CATEGORY_PATTERN)),
             ("category_words", words > MAX_CATEGORY_WORDS),
-            ("confidence_range", ~record["confidence"].between(0, 1)),
+            ("confidence_range", ~fields["confidence"].between(0, 1)),
         ]
-    broken = F.array_compact(F.array(*[F.when(is_object & bad, F.lit(name)) for name, bad in checks]))
-    return F.when(reply.isNull(), F.lit(None)).otherwise(
-        F.when(~is_object, F.array(F.lit("not_an_object"))).otherwise(broken)
-    )
+    broken = F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in checks]))
+    found = F.when(keys.isNotNull(), broken).otherwise(F.array(F.lit("not_an_object")))
+    return keyed.select("*", F.when(F.col(reply).isNotNull(), found).alias(out)).drop("_keys")

@@ -172,7 +172,8 @@ def classify_llm(df: DataFrame, open_client: Callable[[], Any], variant: str = "
         prompt = F.when(~empty, prompt)
 
     asked = df.select("*", _call_column(open_client, how, F.col(key), prompt).alias("call"))
-    typed = asked.select("*", parse_llm_json(F.col("call.reply"), how.fields).alias("typed"))
+    answered = asked.select("*", F.col("call.reply").alias("reply"))
+    typed = parse_llm_json(answered, out="typed", schema=how.fields)
 
     names = field_names(how.fields)
     fallback = constant({**how.fallback, "reason": ""}, how.fields)
@@ -190,7 +191,7 @@ def classify_llm(df: DataFrame, open_client: Callable[[], Any], variant: str = "
     latency = [F.col("call.latency_sec").alias("latency_sec")] if how.with_latency else []
     return typed.select(
         *df.columns,
-        F.col("call.reply").alias("reply"),
+        "reply",
         F.col("call.attempts").alias("attempts"),
         error.alias("error"),
         res.alias("res"),

@@ -53,3 +53,12 @@ def empty_guard(text: Column, otherwise: Column, kind: str = "classifier") -> Co
         "error": F.lit(EMPTY_ERROR),
     }
     return F.when(is_empty(text), constants[kind]).otherwise(otherwise)
+
+
+def guard_prediction(text: Column, prediction: Column) -> Column:
+    """:func:`empty_guard` of each field of a prediction."""
+    empty = is_empty(text)
+    return F.struct(*[
+        F.when(empty, F.lit(value)).otherwise(prediction[name]).alias(name)
+        for name, value in EMPTY_PREDICTION.items()
+    ])

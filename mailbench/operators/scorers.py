@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from mailbench.functions.decisions import softmax_decide
 from mailbench.functions.labels import NOT_SPAM
-from mailbench.operators.guards import empty_guard
+from mailbench.operators.guards import guard_prediction
 
 # Fixed value: tokens of a text a transformer looks at.
 MAX_TOKENS = 512
@@ -30,7 +30,11 @@ class Scorer:
         self.name = name
 
     def raw(self, text: Column) -> Column:
-        """``struct<logits, error>`` for one text."""
+        """What the model says about one text."""
+        raise NotImplementedError
+
+    def decide(self, raw: Column) -> Column:
+        """``struct<label, confidence, error>`` from the column :meth:`raw` became."""
         raise NotImplementedError
 
     @property
@@ -66,8 +70,14 @@ class NativeScorer(Scorer):
         if self.long_over is not None:
             is_long = F.coalesce(F.length(text) > self.long_over, F.lit(False))
             spam = spam + is_long.cast("double") * float(self.if_long)
+        return spam
+
+    def decide(self, raw: Column) -> Column:
+        decision = softmax_decide([F.lit(0.0), raw])
         return F.struct(
-            F.array(F.lit(0.0), spam).alias("logits"), F.lit(None).cast("string").alias("error")
+            decision["label"].alias("label"),
+            decision["confidence"].alias("confidence"),
+            F.lit(None).cast("string").alias("error"),
         )
 
 
@@ -124,26 +134,29 @@ class BatchScorer(Scorer):
     def raw(self, text: Column) -> Column:
         return self._udf(F.coalesce(text, F.lit("")))
 
-
-def _decide(raw: Column, text: Column) -> Column:
-    decision = softmax_decide(raw["logits"])
-    failed = raw["error"].isNotNull()
-    scored = F.struct(
-        F.when(failed, NOT_SPAM).otherwise(decision["label"]).alias("label"),
-        F.when(failed, 0.0).otherwise(decision["confidence"]).alias("confidence"),
-        raw["error"].alias("error"),
-    )
-    return empty_guard(text, scored)
+    def decide(self, raw: Column) -> Column:
+        decision = softmax_decide(raw["logits"])
+        failed = raw["error"].isNotNull()
+        return F.struct(
+            F.when(failed, NOT_SPAM).otherwise(decision["label"]).alias("label"),
+            F.when(failed, 0.0).otherwise(decision["confidence"]).alias("confidence"),
+            raw["error"].alias("error"),
+        )
 
 
 def score_all(df: DataFrame, scorers: Sequence[Scorer], text: str = "text") -> DataFrame:
-    """``df`` with one prediction struct per scorer, named after it.  No shuffle."""
+    """``df`` with one prediction struct per scorer, named after it.  No shuffle.
+
+    Fields are guarded one by one, so that a reader of labels alone leaves the
+    confidences uncomputed.
+    """
     names = [s.name for s in scorers]
     if len(set(names)) != len(names) or set(names) & set(df.columns):
         raise ValueError(f"scorer names must be new and distinct: {names}")
     raws = [s.raw(F.col(text)).alias(s.name) for s in scorers]
-    decided = [_decide(F.col(name), F.col(text)).alias(name) for name in names]
-    return df.select("*", *raws).select(*[F.col(f"`{c}`") for c in df.columns], *decided)
+    return df.select("*", *raws).select(*[F.col(f"`{c}`") for c in df.columns], *[
+        guard_prediction(F.col(text), s.decide(F.col(s.name))).alias(s.name) for s in scorers
+    ])
 
 
 def score_transformer(df: DataFrame, text: str, load, name: str = "model",

@@ -8,11 +8,10 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailbench.functions.labels import correct, label_to_text
+from mailbench.functions.labels import correct, label_to_text, text_to_label
 from mailbench.functions.text import compose_for, heuristic_label, min_length_filter
 from mailbench.operators.ensemble import (
     ensemble_vote,
-    long_predictions,
     models_map,
     predictions_array,
 )
@@ -45,8 +44,16 @@ def score_composed(df: DataFrame, scorers: Sequence[Scorer], key: str = "email_i
 
 
 def metrics_of(scored: DataFrame, scorers: Sequence[Scorer]) -> DataFrame:
-    """One metrics row per scorer: a single aggregation with one group per model."""
-    long = long_predictions(scored, _names(scorers), keep=["label"])
+    """One metrics row per scorer: a single aggregation with one group per model.
+
+    Labels are taken out before rows are multiplied, so nothing else is computed.
+    """
+    names = _names(scorers)
+    said = scored.select("label", *[text_to_label(F.col(name)["label"]).alias(name) for name in names])
+    long = said.select("label", F.inline(F.array(*[
+        F.struct(F.lit(name).alias("model"), F.lit(place).alias("ordinal"), F.col(name).alias("pred"))
+        for place, name in enumerate(names)
+    ])))
     return model_metrics(confusion(long))
 
 
