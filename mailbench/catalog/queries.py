@@ -28,7 +28,7 @@ from mailbench.operators.ensemble import (
     ensemble_vote,
     long_predictions,
     models_map,
-    predictions_array,
+    labels_of,
     vote_counts,
 )
 from mailbench.operators.guards import EMPTY_RECORD, constant, empty_guard, is_empty
@@ -259,8 +259,8 @@ def ensemble_vote_(spark, sf_dir):
     scored, names = _scored(spark, sf_dir, with_noisy=True)
     return scored.select(
         "email_id",
-        ensemble_vote(predictions_array(names[:3])).alias("of_three"),
-        ensemble_vote(predictions_array(names)).alias("of_four"),
+        ensemble_vote(labels_of(names[:3])).alias("of_three"),
+        ensemble_vote(labels_of(names)).alias("of_four"),
     )
 
 

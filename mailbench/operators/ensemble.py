@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,14 +12,20 @@ from pyspark.sql import functions as F
 from mailbench.functions.labels import NOT_SPAM, SPAM, correct, text_to_label
 
 
-def ensemble_vote(predictions: Column) -> Column:
-    """'spam' if strictly more than half of an array of predictions say so."""
-    spam = F.filter(predictions, lambda p: p["label"] == SPAM)
-    return F.when(F.size(spam) * 2 > F.size(predictions), SPAM).otherwise(NOT_SPAM)
+def ensemble_vote(labels: Column | Sequence[Column]) -> Column:
+    """'spam' if strictly more than half of the labels say so.
 
+    ``labels`` is an array column, or a list of columns, one per model.
+    """
+    if isinstance(labels, Column):
+        votes, spam = F.size(labels), F.size(F.filter(labels, lambda label: label == SPAM))
+    else:
+        votes, spam = F.lit(len(labels)), reduce(add, [text_to_label(label) for label in labels])
+    return F.when(spam * 2 > votes, SPAM).otherwise(NOT_SPAM)
 
-def predictions_array(names: Sequence[str]) -> Column:
-    return F.array(*[F.col(name) for name in names])
+
+def labels_of(names: Sequence[str]) -> list[Column]:
+    return [F.col(name)["label"] for name in names]
 
 
 def models_map(names: Sequence[str], truth: Column | None = None) -> Column:
@@ -32,7 +40,7 @@ def models_map(names: Sequence[str], truth: Column | None = None) -> Column:
 
 
 def long_predictions(scored: DataFrame, names: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """One row per e-mail and model: ``keep``, model, ordinal, label_pred, confidence, pred, error."""
+    """One row per e-mail and model: ``keep``, model, ordinal, predicted, confidence, pred, error."""
     rows = F.array(*[
         F.struct(
             F.lit(name).alias("model"),

@@ -10,15 +10,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mailbench.functions.decisions import softmax_decide
-from mailbench.functions.labels import NOT_SPAM
+from mailbench.functions.decisions import round_n, softmax_decide
+from mailbench.functions.labels import label_to_text
 from mailbench.operators.guards import guard_prediction
 
 # Fixed value: tokens of a text a transformer looks at.
 MAX_TOKENS = 512
 
-RAW = T.StructType([
-    T.StructField("logits", T.ArrayType(T.DoubleType())),
+DECISION = T.StructType([
+    T.StructField("chosen", T.LongType()),
+    T.StructField("probability", T.DoubleType()),
     T.StructField("error", T.StringType()),
 ])
 
@@ -97,49 +98,41 @@ class BatchScorer(Scorer):
         def make_predict_fn():
             model = load(max_tokens)
 
-            def one_by_one(texts):
-                rows, errors = [], []
-                for text in texts:
-                    try:
-                        rows.append(np.asarray(model([text]), dtype="float64")[0])
-                        errors.append(None)
-                    except Exception as problem:
-                        rows.append(None)
-                        errors.append(str(problem) or type(problem).__name__)
-                width = max((len(r) for r in rows if r is not None), default=2)
-                return np.array([np.zeros(width) if r is None else r for r in rows]), errors
-
-            def predict(texts: np.ndarray):
+            def score(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+                logits = np.asarray(model(texts), dtype="float64")
+                if len(logits) != len(texts):
+                    raise ValueError(f"{len(logits)} rows of logits for {len(texts)} texts")
+                above = np.exp(logits - logits.max(axis=1, keepdims=True))
+                return logits.argmax(axis=1), 1.0 / above.sum(axis=1)
+
+            def predict(texts: np.ndarray) -> dict[str, np.ndarray]:
+                chosen = np.zeros(len(texts), dtype="int64")
+                probability = np.zeros(len(texts))
+                error = np.full(len(texts), None, dtype=object)
                 filled = np.flatnonzero(texts != "")
-                logits = np.zeros((len(texts), 2))
-                errors = np.full(len(texts), None, dtype=object)
                 if len(filled):
-                    wanted = [str(t) for t in texts[filled]]
                     try:
-                        found, failed = np.asarray(model(wanted), dtype="float64"), None
+                        chosen[filled], probability[filled] = score(texts[filled].tolist())
                     except Exception:
-                        found, failed = one_by_one(wanted)
-                    if len(found) != len(wanted):
-                        raise ValueError(f"{name}: {len(found)} rows for {len(wanted)} texts")
-                    logits = np.zeros((len(texts), found.shape[1]))
-                    logits[filled] = found
-                    if failed is not None:
-                        errors[filled] = failed
-                return {"logits": logits, "error": errors}
+                        for place in filled:
+                            try:
+                                found = score([texts[place]])
+                                chosen[place], probability[place] = found[0][0], found[1][0]
+                            except Exception as problem:
+                                error[place] = str(problem) or type(problem).__name__
+                return {"chosen": chosen, "probability": probability, "error": error}
 
             return predict
 
-        self._udf = predict_batch_udf(make_predict_fn, return_type=RAW, batch_size=batch_size)
+        self._udf = predict_batch_udf(make_predict_fn, return_type=DECISION, batch_size=batch_size)
 
     def raw(self, text: Column) -> Column:
         return self._udf(F.coalesce(text, F.lit("")))
 
     def decide(self, raw: Column) -> Column:
-        decision = softmax_decide(raw["logits"])
-        failed = raw["error"].isNotNull()
         return F.struct(
-            F.when(failed, NOT_SPAM).otherwise(decision["label"]).alias("label"),
-            F.when(failed, 0.0).otherwise(decision["confidence"]).alias("confidence"),
+            label_to_text(raw["chosen"]).alias("label"),
+            round_n(raw["probability"]).alias("confidence"),
             raw["error"].alias("error"),
         )
 

@@ -13,7 +13,7 @@ from mailbench.functions.text import compose_for, heuristic_label, min_length_fi
 from mailbench.operators.ensemble import (
     ensemble_vote,
     models_map,
-    predictions_array,
+    labels_of,
 )
 from mailbench.operators.limits import limit_rows, sample_rows
 from mailbench.operators.metrics import confusion, model_metrics, summary_record
@@ -60,7 +60,7 @@ def metrics_of(scored: DataFrame, scorers: Sequence[Scorer]) -> DataFrame:
 def details_of(scored: DataFrame, scorers: Sequence[Scorer], key: str = "email_id") -> DataFrame:
     """Per e-mail: text, true label, majority vote, whether it is right, map of all models."""
     truth = label_to_text(F.col("label"))
-    vote = ensemble_vote(predictions_array(_names(scorers)))
+    vote = ensemble_vote(labels_of(_names(scorers)))
     return scored.select(
         key,
         "text",
@@ -127,7 +127,7 @@ def predict(df: DataFrame, scorers: Sequence[Scorer], text: str = "text", key: s
     scored = score_all(df.select(key, F.coalesce(text, F.lit("")).alias("text")), scorers)
     return scored.select(
         key,
-        ensemble_vote(predictions_array(_names(scorers))).alias("final_prediction"),
+        ensemble_vote(labels_of(_names(scorers))).alias("final_prediction"),
         models_map(_names(scorers)).alias("models"),
     )
 
