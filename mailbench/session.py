@@ -8,7 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings the jobs are tuned for.  Texts are wide, so Arrow batches are kept
-# short; speculation would repeat paid model calls, so it stays off.
+# short; speculation would repeat paid model calls, so it stays off; recording a call
+# site for each Column would take longer than planning the query.
 RECOMMENDED_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -16,6 +17,7 @@ RECOMMENDED_CONF = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     "spark.speculation": "false",
     "spark.python.worker.reuse": "true",
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

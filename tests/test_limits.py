@@ -1,0 +1,76 @@
+import hashlib
+
+import pytest
+
+from mailbench.operators import limits
+from mailbench.operators.limits import head_by_class, limit_rows, sample_rows
+
+
+@pytest.fixture
+def five(spark):
+    return spark.createDataFrame([(i,) for i in (3, 1, 5, 2, 4)], "email_id long").repartition(3)
+
+
+@pytest.fixture(params=["ranked in one task", "ranked by a distributed sort"])
+def both_ways(request, monkeypatch):
+    if "sort" in request.param:
+        monkeypatch.setattr(limits, "TOP_KEYS", 0)
+
+
+def ids(df, column="email_id"):
+    return sorted(r[column] for r in df.collect())
+
+
+@pytest.mark.parametrize("n, expected", [
+    (None, [1, 2, 3, 4, 5]), (0, [1, 2, 3, 4, 5]), (2, [1, 2]), (-2, [1, 2, 3]), (9, [1, 2, 3, 4, 5]),
+    (-9, []), (-5, []), (5, [1, 2, 3, 4, 5]), (1, [1]), (-1, [1, 2, 3, 4]),
+])
+def test_limit_rows(five, n, expected, both_ways):
+    assert ids(limit_rows(five, n)) == expected
+
+
+def test_limit_of_nothing(five, both_ways):
+    empty = five.filter("email_id > 9")
+    assert ids(limit_rows(empty, 3)) == [] and ids(limit_rows(empty, -3)) == []
+
+
+def test_limit_over_many_partitions(spark, both_ways):
+    df = spark.range(1000).selectExpr("(id * 7919) % 1000 AS email_id").repartition(7)
+    assert ids(limit_rows(df, 613)) == list(range(613))
+    assert ids(limit_rows(df, -613)) == list(range(387))
+
+
+def test_sample_matches_hash_order(spark, both_ways):
+    df = spark.range(100).withColumnRenamed("id", "email_id")
+    order = sorted(range(100), key=lambda i: (hashlib.md5(f"7:{i}".encode()).hexdigest(), i))
+    assert ids(sample_rows(df, 10, seed=7)) == sorted(order[:10])
+    assert ids(sample_rows(df.repartition(5), 10, seed=7)) == sorted(order[:10])
+    assert ids(sample_rows(df, 10, seed=8)) != sorted(order[:10])
+
+
+def test_sample_sizes(five):
+    assert ids(sample_rows(five, 99)) == [1, 2, 3, 4, 5]
+    assert ids(sample_rows(five, 0)) == []
+    with pytest.raises(ValueError):
+        sample_rows(five, -1)
+
+
+@pytest.mark.parametrize("n, expected", [
+    (3, ["s1", "s2", "s3"]), (4, ["h1", "s1", "s2", "s3"]), (1, ["s1"]), (99, ["h1", "h2", "h3", "s1", "s2", "s3"]),
+])
+def test_head_by_class(spark, n, expected, both_ways):
+    rows = [(f"{c}{i}", int(c == "s")) for c in "hs" for i in (3, 1, 2)] + [("other", 2)]
+    df = spark.createDataFrame(rows, "path string, label int")
+    assert ids(head_by_class(df, n), "path") == expected
+
+
+def test_head_by_class_needs_a_positive_number(spark):
+    with pytest.raises(ValueError):
+        head_by_class(spark.createDataFrame([("a", 1)], "path string, label int"), 0)
+
+
+def test_only_keys_are_ranked_and_the_cutoff_reaches_the_scan(spark, sf_dir):
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    plan = limit_rows(documents, 5, key="doc_id")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(doc_id), LessThanOrEqual(doc_id,ScalarSubquery" in plan
+    assert "output=[k#" in plan or "[k#" in plan  # TakeOrderedAndProject over the key alone
