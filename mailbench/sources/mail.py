@@ -77,7 +77,8 @@ def read_mail(paths: DataFrame, keep_bad: bool = False, partitions: int | None =
 
 def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in open_files(batches):
-        yield batch[["path"]].assign(body=[_text(c) for c in batch["content"]])
+        bodies = [_text(content) for content in batch["content"]]
+        yield pd.DataFrame({"path": batch["path"], "body": bodies}, dtype=object)
 
 
 def read_class_folders(spark: SparkSession, root: str, classes: Mapping[str, int] = CLASS_FOLDERS,
