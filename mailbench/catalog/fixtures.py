@@ -7,7 +7,6 @@ registered queries use the stand-ins below.  Their rules are simple enough for S
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 from mailbench.operators.classify import Request
 from mailbench.operators.scorers import BatchScorer, NativeScorer
 from mailbench.session import parallelism, scratch_path
-from mailbench.sources.files import locate
+from mailbench.sources.files import Stores
 
 WORDS = {
     "m1": ("trash", "clown", "scum", "idiot"),
@@ -178,17 +177,10 @@ def render_files(files: DataFrame, name: str) -> str:
     root = scratch_path(spark, name)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stores = Stores()
         for batch in batches:
             for relative, content in zip(batch["name"], batch["content"]):
-                store, path = locate(f"{root}/{relative}")
-                if store is None:
-                    os.makedirs(os.path.dirname(path), exist_ok=True)
-                    opened = open(path, "wb")
-                else:
-                    store.create_dir(os.path.dirname(path), recursive=True)
-                    opened = store.open_output_stream(path)
-                with opened as stream:
-                    stream.write(content.encode("utf-8"))
+                stores.write(f"{root}/{relative}", content.encode("utf-8"))
             yield batch[["name"]]
 
     spread = files.repartition(parallelism(spark))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings the jobs are tuned for.  Texts are wide, so Arrow batches are kept
@@ -21,8 +22,16 @@ RECOMMENDED_CONF = {
 }
 
 
+def ship_with_jobs() -> None:
+    """Send the package's functions along with each job, so that workers need no copy of it."""
+    import mailbench
+
+    cloudpickle.register_pickle_by_value(mailbench)
+
+
 def build_session(master: str | None = None, app: str = "mailbench", **conf: str) -> SparkSession:
     """Session with the recommended settings; ``conf`` keys use ``__`` for dots."""
+    ship_with_jobs()
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)

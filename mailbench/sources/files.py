@@ -8,7 +8,6 @@ hands the folders it has not entered to the next round, which spreads them again
 
 from __future__ import annotations
 
-import functools
 import os
 from collections.abc import Iterator
 from functools import reduce
@@ -26,56 +25,75 @@ WALKED_ENTRIES = 20_000
 CONTENT_BYTES = 32 << 20
 
 
-@functools.lru_cache(maxsize=64)
-def _store(prefix: str) -> fs.FileSystem:
-    return fs.FileSystem.from_uri(prefix)[0]
-
-
-def locate(path: str) -> tuple[fs.FileSystem | None, str]:
-    """File system and path in it; None for a path of the mounted file tree."""
-    if path.startswith("file:"):
-        return None, "/" + path.removeprefix("file:").lstrip("/")
-    scheme, found, rest = path.partition("://")
-    if not found:
-        return None, path
-    bucket = rest.split("/", 1)[0]
-    if scheme == "hdfs":
-        return _store(f"hdfs://{bucket}/"), "/" + rest.split("/", 1)[-1]
-    return _store(f"{scheme.replace('s3a', 's3')}://{bucket}"), rest
-
-
-def _children(folder: str) -> Iterator[tuple[str, bool]]:
-    """Path of everything directly in a folder, and whether it is a folder to walk into."""
-    store, inside = locate(folder)
-    base = folder.rstrip("/")
-    if store is None:
-        with os.scandir(inside) as entries:
-            for entry in entries:
-                if not entry.is_dir():
-                    yield f"{base}/{entry.name}", False
-                elif not entry.is_symlink():
-                    yield f"{base}/{entry.name}", True
-    else:
-        for info in store.get_file_info(fs.FileSelector(inside)):
-            yield f"{base}/{info.base_name}", info.type == fs.FileType.Directory
-
-
-def _readable(folder: str) -> Iterator[tuple[str, bool]]:
-    """The children listed until the folder fails; none if it is missing."""
-    try:
-        yield from _children(folder)
-    except OSError:
-        return
+class Stores:
+    """Finds the file system of a path; made once per task, where it keeps its connections."""
+
+    def __init__(self):
+        self._opened: dict[str, fs.FileSystem] = {}
+
+    def locate(self, path: str) -> tuple[fs.FileSystem | None, str]:
+        """File system and path in it; None for a path of the mounted file tree."""
+        if path.startswith("file:"):
+            return None, "/" + path.removeprefix("file:").lstrip("/")
+        scheme, found, rest = path.partition("://")
+        if not found:
+            return None, path
+        host, _, below = rest.partition("/")
+        root = f"{scheme.replace('s3a', 's3')}://{host}"
+        if root not in self._opened:
+            self._opened[root] = fs.FileSystem.from_uri(root)[0]
+        # Object stores count the bucket as part of the path, file systems do not.
+        return self._opened[root], f"/{below}" if scheme == "hdfs" else rest
+
+    def read(self, path: str) -> bytes:
+        store, inside = self.locate(path)
+        with open(inside, "rb") if store is None else store.open_input_stream(inside) as stream:
+            return stream.read()
+
+    def write(self, path: str, content: bytes) -> None:
+        store, inside = self.locate(path)
+        folder = inside.rpartition("/")[0]
+        if store is None:
+            os.makedirs(folder, exist_ok=True)
+            opened = open(inside, "wb")
+        else:
+            store.create_dir(folder, recursive=True)
+            opened = store.open_output_stream(inside)
+        with opened as stream:
+            stream.write(content)
+
+    def children(self, folder: str) -> Iterator[tuple[str, bool]]:
+        """Path of everything directly in a folder, and whether it is a folder to walk into."""
+        store, inside = self.locate(folder)
+        base = folder.rstrip("/")
+        if store is None:
+            with os.scandir(inside) as entries:
+                for entry in entries:
+                    if not entry.is_dir():
+                        yield f"{base}/{entry.name}", False
+                    elif not entry.is_symlink():
+                        yield f"{base}/{entry.name}", True
+        else:
+            for info in store.get_file_info(fs.FileSelector(inside)):
+                yield f"{base}/{info.base_name}", info.type == fs.FileType.Directory
+
+    def readable(self, folder: str) -> Iterator[tuple[str, bool]]:
+        """The children listed until the folder fails; none if it is missing."""
+        try:
+            yield from self.children(folder)
+        except OSError:
+            return
 
 
 def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Walk each folder; once it has yielded a share of entries, hand its other subfolders on."""
+    stores = Stores()
     rows: list[tuple[str, bool]] = []
     for batch in batches:
         for start in batch["path"]:
             waiting, share = [start], 0
             while waiting:
-                for path, is_folder in _readable(waiting.pop()):
+                for path, is_folder in stores.readable(waiting.pop()):
                     share += 1
                     if is_folder and share < WALKED_ENTRIES:
                         waiting.append(path)
@@ -96,9 +114,10 @@ def list_folder(spark: SparkSession, *folders: str) -> DataFrame:
     """``path`` of the files directly in the given folders; missing folders hold none."""
 
     def direct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stores = Stores()
         for batch in batches:
             for folder in batch["path"]:
-                files = (path for path, is_folder in _readable(folder) if not is_folder)
+                files = (path for path, is_folder in stores.readable(folder) if not is_folder)
                 while chunk := list(islice(files, LISTED_ROWS)):
                     yield pd.DataFrame({"path": chunk})
 
@@ -126,15 +145,13 @@ def open_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     Files that cannot be read are left out.
     """
+    stores = Stores()
     rows: list[tuple[str, bytes]] = []
     held = 0
     for batch in batches:
         for path in batch["path"]:
-            store, inside = locate(path)
             try:
-                opened = open(inside, "rb") if store is None else store.open_input_stream(inside)
-                with opened as stream:
-                    content = stream.read()
+                content = stores.read(path)
             except OSError:
                 continue
             rows.append((path, content))
