@@ -89,7 +89,7 @@ class StubClient:
             "priority": "low" if spam or system else "medium",
             "confidence": 0.9 if spam else 0.6,
         }
-        if not request.fields.startswith("intent"):
+        if "priority" not in request.schema["properties"]:
             record = {name: record[name] for name in ("is_spam", "category", "intent", "confidence")}
             record["reason"] = "abusive words" if spam else "no abusive words"
         return record if request.key % 2 else json.dumps(record)

@@ -16,6 +16,31 @@ PRIORITIES = ("high", "medium", "low")
 
 CORRUPT = "_corrupt_record"
 
+JSON_TYPES = {"string": "string", "boolean": "boolean", "double": "number"}
+
+
+def response_schema(rules: str = "v1") -> dict:
+    """JSON schema of the record, for providers that can be held to one.
+
+    It says what :func:`validate_llm` checks by the same ``rules``, as far as a schema can.
+    """
+    ddl = LLM_SPAM if rules == "spam" else LLM_OUT
+    properties = {}
+    for part in ddl.split(","):
+        name, kind = part.split()
+        properties[name] = {"type": JSON_TYPES[kind]}
+    schema = {"type": "object", "required": list(properties), "properties": properties}
+    if rules != "spam":
+        properties["reason"]["type"] = ["string", "null"]
+        properties["priority"]["enum"] = list(PRIORITIES)
+    if rules == "v1":
+        properties["intent"]["maxLength"] = MAX_INTENT
+        properties["reason"]["maxLength"] = MAX_REASON
+        properties["category"]["pattern"] = CATEGORY_PATTERN.replace(r"\z", "$")
+        properties["confidence"].update(minimum=0, maximum=1)
+        schema["additionalProperties"] = False
+    return schema
+
 
 def _kind(document: Column, field: str) -> Column:
     """JSON type of one field as Spark names it; null if the field is absent."""

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailbench.functions.replies import parse_llm_json
+from mailbench.functions.replies import parse_llm_json, response_schema
 from mailbench.functions.text import PROMPT_V1_CHARS, llm_prompt_v1, llm_prompt_v2, prefix
 from mailbench.operators.guards import EMPTY_RECORD, constant, empty_guard, is_empty
 from mailbench.schemas import LLM_OUT, LLM_SPAM, field_names
@@ -76,7 +76,7 @@ class Request:
     attempt: int
     prompt: str
     instruction: str
-    fields: str
+    schema: dict
     temperature: float | None
     timeout_sec: float | None
 
@@ -85,6 +85,7 @@ class Request:
 class Variant:
     """One way of asking: prompt, record, attempts and fallback."""
 
+    rules: str
     prompt: Callable[[Column, Column], Column]
     instruction: str
     fields: str
@@ -99,10 +100,10 @@ class Variant:
 
 # Attempts, pause, timeout, temperature and error prefix of each variant.
 VARIANTS = {
-    "v1": Variant(llm_prompt_v1, INSTRUCTION, LLM_OUT, ERROR_RECORD, timeout_sec=30),
-    "v2": Variant(llm_prompt_v2, INSTRUCTION, LLM_OUT, ERROR_RECORD,
+    "v1": Variant("v1", llm_prompt_v1, INSTRUCTION, LLM_OUT, ERROR_RECORD, timeout_sec=30),
+    "v2": Variant("v2", llm_prompt_v2, INSTRUCTION, LLM_OUT, ERROR_RECORD,
                   error_prefix="LLM Error: ", with_latency=True),
-    "spam": Variant(lambda subject, body: prefix(body, PROMPT_V1_CHARS), SPAM_INSTRUCTION,
+    "spam": Variant("spam", lambda subject, body: prefix(body, PROMPT_V1_CHARS), SPAM_INSTRUCTION,
                     LLM_SPAM, UNKNOWN_RECORD, attempts=1, temperature=None),
 }
 
@@ -119,7 +120,7 @@ def _ask(client, variant: Variant, key, prompt: str) -> dict:
         outcome["attempts"] += 1
         try:
             reply = client.send(Request(
-                key, outcome["attempts"], prompt, variant.instruction, variant.fields,
+                key, outcome["attempts"], prompt, variant.instruction, response_schema(variant.rules),
                 variant.temperature, variant.timeout_sec,
             ))
             if isinstance(reply, dict):

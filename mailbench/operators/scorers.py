@@ -38,11 +38,6 @@ class Scorer:
         """``struct<label, confidence, error>`` from the column :meth:`raw` became."""
         raise NotImplementedError
 
-    @property
-    def costly(self) -> bool:
-        """Whether scoring twice must be avoided by staging the result."""
-        return True
-
 
 class NativeScorer(Scorer):
     """Linear logits over text features, computed by Spark expressions alone.
@@ -58,10 +53,6 @@ class NativeScorer(Scorer):
         self.words, self.per_word, self.bias = tuple(words), per_word, bias
         self.if_long, self.long_over = if_long, long_over
 
-    @property
-    def costly(self) -> bool:
-        return False
-
     def raw(self, text: Column) -> Column:
         lowered = F.lower(text)
         spam = F.lit(float(self.bias))

@@ -77,19 +77,21 @@ def detailed_results(df: DataFrame, scorers: Sequence[Scorer], key: str = "email
 
 def benchmark(df: DataFrame, scorers: Sequence[Scorer], limit: int | None = None,
               detailed: bool = False, key: str = "email_id",
-              summary_models: Sequence[str] | None = None) -> Benchmark:
+              summary_models: Sequence[str] | None = None, null_as: str = "") -> Benchmark:
     """Score the composed texts and compare with the labels.
 
-    ``summary_models`` restricts the metrics; details cover every scorer.  Each text is
-    scored once per model: when scores are costly or serve several results, they are
-    written first and every result reads the table.
+    ``summary_models`` restricts the metrics; details cover every scorer.  The input is
+    read and each text scored once per model, here: scores that details will need are
+    staged first, and the few metrics rows are stored for all that refers to them.
     """
     measured = [s for s in scorers if summary_models is None or s.name in summary_models]
-    scored = score_composed(limit_rows(df, limit, key), scorers if detailed else measured, key)
-    if detailed or any(s.costly for s in measured):
+    used = scorers if detailed else measured
+    scored = score_composed(limit_rows(df, limit, key), used, key, null_as)
+    if detailed:
         scored = stage(scored, "scored")
-    metrics = metrics_of(scored, measured)
-    return Benchmark(metrics, summary_record(metrics), details_of(scored, scorers, key) if detailed else None)
+    metrics = stage(metrics_of(scored, measured), "metrics")
+    details = details_of(scored, scorers, key) if detailed else None
+    return Benchmark(metrics, summary_record(metrics), details)
 
 
 def archive_dataset(spark: SparkSession, root: str, sample: int = 200, seed: int | str = 0) -> DataFrame:

@@ -29,11 +29,23 @@ class Report(NamedTuple):
     location: str | None = None
 
 
-def _deliver(rows: DataFrame, summary: DataFrame, folder: str | None, kind: str, fmt: str) -> Report:
-    if folder is None:
-        return Report(rows, summary)
-    location = write_report(rows, folder, kind, fmt).location
-    return Report(rows, summary.withColumn("location", F.lit(location)), location)
+def _deliver(rows: DataFrame, folder: str | None, kind: str, fmt: str) -> tuple[DataFrame, str | None]:
+    """Run the calls behind ``rows`` and store their report once; returns the stored rows.
+
+    A Parquet report is itself what later readers get.  A CSV report is written from a
+    staged table, since reading it back would lose types.
+    """
+    if folder is not None and fmt == "parquet":
+        location = write_report(rows, folder, kind).location
+        return rows.sparkSession.read.schema(rows.schema).parquet(location), location
+    stored = stage(rows, kind)
+    return stored, write_report(stored, folder, kind, fmt).location if folder is not None else None
+
+
+def _report(rows: DataFrame, summary: DataFrame, location: str | None) -> Report:
+    if location is not None:
+        summary = summary.withColumn("location", F.lit(location))
+    return Report(rows, summary, location)
 
 
 def analyze_bulk(df: DataFrame, open_client: Callable[[], Any], variant: str = "v1",
@@ -43,29 +55,30 @@ def analyze_bulk(df: DataFrame, open_client: Callable[[], Any], variant: str = "
 
     ``v1`` guards e-mails without body and counts; ``v2`` sends everything, reports
     latencies and their mean.  Calls are bounded by ``concurrency`` if given.  The calls
-    are made once, here, and the report reads what was stored.
+    are made once, here, and rows and summary read what was stored.
     """
     spread = df if concurrency is None else with_concurrency(df, concurrency)
     guard = "record" if variant == "v1" else None
-    answered = stage(classify_llm(spread, open_client, variant, guard, key=key), f"bulk-{variant}")
-    rows = flatten_result(answered, f"bulk_{variant}", key)
-    if variant == "v1":
-        summary = answered.agg(F.count("*").alias("total_emails"))
-        return _deliver(rows, summary, folder, "email_analysis", fmt)
-    return _deliver(rows, latency_summary(answered), folder, "bulk", fmt)
+    answered = classify_llm(spread, open_client, variant, guard, key=key)
+    kind = "email_analysis" if variant == "v1" else "bulk"
+    rows, location = _deliver(flatten_result(answered, f"bulk_{variant}", key), folder, kind, fmt)
+    total = F.count("*").alias("total_emails")
+    return _report(rows, rows.agg(total) if variant == "v1" else latency_summary(rows), location)
 
 
 def benchmark_llm(df: DataFrame, open_client: Callable[[], Any], variant: str = "v1",
-                  folder: str | None = None, fmt: str = "parquet", key: str = "email_id") -> Report:
+                  concurrency: int | None = None, folder: str | None = None, fmt: str = "parquet",
+                  key: str = "email_id") -> Report:
     """Classify labelled e-mails and compare with the labels; no guard.
 
     The summary has accuracy (null for no e-mails) and total_samples.
     """
-    answered = stage(classify_llm(df, open_client, variant, key=key), f"benchmark-{variant}")
-    rows = flatten_result(answered, "benchmark", key)
+    spread = df if concurrency is None else with_concurrency(df, concurrency)
+    answered = classify_llm(spread, open_client, variant, key=key)
+    rows, location = _deliver(flatten_result(answered, "benchmark", key), folder, "benchmark", fmt)
     counts = confusion(rows, by=[], pred="predicted", truth="actual")
     summary = counts.select(round_n(accuracy()).alias("accuracy"), F.col("n").alias("total_samples"))
-    return _deliver(rows, summary, folder, "benchmark", fmt)
+    return _report(rows, summary, location)
 
 
 def compare(df: DataFrame, scorer: Scorer, open_client: Callable[[], Any],
@@ -73,6 +86,5 @@ def compare(df: DataFrame, scorer: Scorer, open_client: Callable[[], Any],
     """A classifier and a language model side by side over the raw text."""
     chosen = limit_rows(df, limit, key).select(key, F.coalesce("text", F.lit("")).alias("text"), "label")
     answered = classify_llm_spam(score_all(chosen, [scorer]), open_client, key=key)
-    answered = stage(answered, "compare")
-    rows = rename_llm_columns(answered, ml=scorer.name, key=key)
-    return Report(rows, answered.agg(F.count("*").alias("samples")))
+    rows = stage(rename_llm_columns(answered, ml=scorer.name, key=key), "compare")
+    return Report(rows, rows.agg(F.count("*").alias("samples")))

@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from mailbench.functions.replies import CORRUPT, parse_llm_json, validate_llm
+from mailbench.functions.replies import CORRUPT, parse_llm_json, response_schema, validate_llm
 from mailbench.schemas import LLM_OUT, LLM_SPAM
 
 GOOD = {
@@ -83,3 +83,13 @@ def test_five_field_record(spark):
     row = checked(spark, SHORT, "spam", LLM_SPAM)
     assert row.record.confidence == 1.0 and row.violations == []
     assert checked(spark, {**SHORT, "reason": None}, "spam", LLM_SPAM).violations == ["null_value"]
+
+
+def test_response_schema_has_the_record_contract():
+    v1, v2, spam = (response_schema(r) for r in ("v1", "v2", "spam"))
+    assert v1["required"] == v2["required"] == list(GOOD) and spam["required"] == list(SHORT)
+    assert v1["additionalProperties"] is False and "additionalProperties" not in v2
+    assert v1["properties"]["category"]["pattern"] == "^[a-z ]{1,30}$"
+    assert v1["properties"]["confidence"] == {"type": "number", "minimum": 0, "maximum": 1}
+    assert v2["properties"]["priority"]["enum"] == ["high", "medium", "low"]
+    assert v2["properties"]["intent"] == {"type": "string"}

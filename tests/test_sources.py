@@ -232,3 +232,19 @@ def test_json_keeps_nesting(spark, tmp_path):
     write_json(df.select("email_id", F.create_map(F.lit("m1"), F.col("m1")).alias("models")), f"{tmp_path}/out")
     row = spark.read.json(f"{tmp_path}/out").first()
     assert row.models.m1.label == "spam" and row.models.m1.error is None
+
+
+def test_object_store_paths(tmp_path):
+    from pyarrow import fs
+
+    put(tmp_path, "bucket/in/_1.", b"one")
+    stores = files_module.Stores()
+    stores._opened["s3://bucket"] = fs.SubTreeFileSystem(str(tmp_path), fs.LocalFileSystem())
+    assert list(stores.readable("s3a://bucket")) == [("s3a://bucket/in", True)]
+    assert list(stores.readable("s3a://bucket/in")) == [("s3a://bucket/in/_1.", False)]
+    assert stores.read("s3a://bucket/in/_1.") == b"one"
+    assert list(stores.readable("s3a://bucket/none")) == []
+    with pytest.raises(OSError):
+        stores.read("s3a://bucket/none")
+    stores.write("s3a://bucket/out/2.", b"two")
+    assert (tmp_path / "bucket/out/2.").read_bytes() == b"two"
