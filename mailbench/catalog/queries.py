@@ -289,6 +289,15 @@ def model_metrics_(spark, sf_dir):
     return _metric_columns(classifiers.metrics_of(scored, scorers))
 
 
+@query
+def model_metrics_label_table(spark, sf_dir):
+    """Metrics over raw texts, scored before they meet the table of labels."""
+    texts = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("email_id"), "text")
+    labels = fx.table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("email_id"), F.col("toxic").alias("label"))
+    return _metric_columns(classifiers.metrics_of_label_table(texts, labels, fx.native_scorers()))
+
+
 @query
 def model_metrics_by_source(spark, sf_dir):
     """The same per sender: groups may be many and skewed, counts are combined before the shuffle."""

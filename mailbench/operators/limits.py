@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from mailbench.session import stage
 
-# Up to this many keys one task may rank; more are ranked by a distributed sort.
-TOP_KEYS = 10_000
+# Up to this many keys are ranked by one task, which gets as many from each partition;
+# more are ranked by a distributed sort.
+TOP_KEYS = 2_000
 
 
 def _nth_key(df: DataFrame, key: Column, n: int, last: bool = False) -> Column:

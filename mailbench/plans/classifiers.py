@@ -57,6 +57,20 @@ def metrics_of(scored: DataFrame, scorers: Sequence[Scorer]) -> DataFrame:
     return model_metrics(confusion(long))
 
 
+def metrics_of_label_table(texts: DataFrame, labels: DataFrame, scorers: Sequence[Scorer],
+                           key: str = "email_id") -> DataFrame:
+    """Metrics where ``labels`` (key, label) is a table of its own.
+
+    Texts are scored where they are read; what meets the labels is a row of a few
+    numbers, so no text is shuffled however large both tables are.
+    """
+    scored = score_all(texts.select(key, F.col("text")), scorers)
+    said = scored.select(key, *[
+        F.struct(F.col(s.name)["label"].alias("label")).alias(s.name) for s in scorers
+    ])
+    return metrics_of(said.join(labels.select(key, "label"), key), scorers)
+
+
 def details_of(scored: DataFrame, scorers: Sequence[Scorer], key: str = "email_id") -> DataFrame:
     """Per e-mail: text, true label, majority vote, whether it is right, map of all models."""
     truth = label_to_text(F.col("label"))
@@ -134,6 +148,7 @@ def predict(df: DataFrame, scorers: Sequence[Scorer], text: str = "text", key: s
     )
 
 
-def benchmark_single(df: DataFrame, scorer: Scorer, text: str = "text") -> DataFrame:
+def benchmark_single(df: DataFrame, scorer: Scorer, text: str = "text", null_as: str = "") -> DataFrame:
     """Metrics of one model over the raw text."""
-    return metrics_of(score_all(df.select(F.col(text).alias("text"), "label"), [scorer]), [scorer])
+    raw = F.coalesce(text, F.lit(null_as)).alias("text")
+    return metrics_of(score_all(df.select(raw, "label"), [scorer]), [scorer])

@@ -5,20 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Any, NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailbench.functions.decisions import round_n
 from mailbench.operators.classify import classify_llm, classify_llm_spam, with_concurrency
-from mailbench.operators.limits import limit_rows
+from mailbench.operators.limits import head_by_class, limit_rows
 from mailbench.operators.metrics import accuracy, confusion, latency_summary
 from mailbench.operators.reshape import flatten_result, rename_llm_columns
 from mailbench.operators.scorers import Scorer, score_all
 from mailbench.session import stage
 from mailbench.sinks.reports import write_report
+from mailbench.sources.mail import class_paths, read_class_folders
 
-# Fixed value: rows compared by default.
+# Rows compared, and e-mails of a corpus classified, by default.
 COMPARED = 20
+CORPUS = 100
 
 
 class Report(NamedTuple):
@@ -81,10 +83,23 @@ def benchmark_llm(df: DataFrame, open_client: Callable[[], Any], variant: str =
     return _report(rows, summary, location)
 
 
+def benchmark_class_folders(spark: SparkSession, root: str, open_client: Callable[[], Any],
+                            variant: str = "v1", n: int = CORPUS, **options) -> Report:
+    """:func:`benchmark_llm` over the first ``n`` e-mails of a class-folder corpus.
+
+    Paths are chosen before any file is opened; a chosen file that cannot be read is
+    left out and not replaced.
+    """
+    paths = head_by_class(class_paths(spark, root), n)
+    return benchmark_llm(read_class_folders(spark, root, paths=paths), open_client, variant,
+                         key="path", **options)
+
+
 def compare(df: DataFrame, scorer: Scorer, open_client: Callable[[], Any],
-            limit: int | None = COMPARED, key: str = "email_id") -> Report:
+            limit: int | None = COMPARED, key: str = "email_id", null_as: str = "") -> Report:
     """A classifier and a language model side by side over the raw text."""
-    chosen = limit_rows(df, limit, key).select(key, F.coalesce("text", F.lit("")).alias("text"), "label")
+    text = F.coalesce("text", F.lit(null_as)).alias("text")
+    chosen = limit_rows(df, limit, key).select(key, text, "label")
     answered = classify_llm_spam(score_all(chosen, [scorer]), open_client, key=key)
     rows = stage(rename_llm_columns(answered, ml=scorer.name, key=key), "compare")
     return Report(rows, rows.agg(F.count("*").alias("samples")))

@@ -2,26 +2,33 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailbench.schemas import EMAIL_IN
 
+# Where a dataset is looked for if no path is given.
+PATH_VARIABLE = "DATA_PATH"
+SHEET_VARIABLE = "DATA_URL"
+DEFAULT_PATH = "spam_data.csv"
+
 
-def _raw_csv(spark: SparkSession, path: str, key: str | None) -> DataFrame:
+def _raw_csv(spark: SparkSession, path: str, key: str | None, multi_line: bool) -> DataFrame:
     # No schema: Spark would bind it by position, and columns may come in any order.
     # Without column pruning every field of a row is counted, so that FAILFAST also
     # reports rows with a missing or an extra field when few columns are selected.
     raw = spark.read.option("columnPruning", False).csv(
-        path, header=True, multiLine=True, escape='"', mode="FAILFAST"
+        path, header=True, multiLine=multi_line, escape='"', mode="FAILFAST"
     )
     for needed in ("text", "label"):
         if needed not in raw.columns:
             raise ValueError(f"{path}: no column {needed!r}")
     if key is not None:
         return raw.withColumn("email_id", F.col(key).cast("long"))
-    if len(raw.inputFiles()) > 1:
-        raise ValueError(f"{path}: several files; name their key column")
+    if not multi_line or len(raw.inputFiles()) > 1:
+        raise ValueError(f"{path}: read in several parts; name the key column")
     # One multi-line file is one partition, in which this is the row number.
     return raw.withColumn("email_id", F.monotonically_increasing_id())
 
@@ -48,15 +55,16 @@ def _number(label: Column) -> Column:
 
 
 def read_labeled_csv(spark: SparkSession, path: str, key: str | None = None,
-                     strict: bool = True) -> DataFrame:
+                     strict: bool = True, multi_line: bool = True) -> DataFrame:
     """LABELED rows of CSV with a header naming ``text``, ``label``, optionally ``subject``, ``from``.
 
     Strict: a label other than 0 and 1 ends the job.  Otherwise rows without a numeric
     label are left out (:func:`labeled_csv_rejects` has them) and labels other than 1
     become 0.  Large or many files need a ``key`` column; without one there must be a
-    single file, and the key is the row number.
+    single file, and the key is the row number.  A file is one task as long as line ends
+    may be quoted; ``multi_line=False`` lets Spark split files that have none.
     """
-    raw = _raw_csv(spark, path, key)
+    raw = _raw_csv(spark, path, key, multi_line)
     number = _number(F.col("label"))
     if strict:
         message = F.concat(F.lit("label is not 0 or 1: "), F.coalesce("label", F.lit("null")))
@@ -65,17 +73,24 @@ def read_labeled_csv(spark: SparkSession, path: str, key: str | None = None,
     return _labeled(raw.filter(number.isNotNull()), F.when(number == 1, 1).otherwise(0))
 
 
-def labeled_csv_rejects(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
+def labeled_csv_rejects(spark: SparkSession, path: str, key: str | None = None,
+                        multi_line: bool = True) -> DataFrame:
     """The rows a non-strict read leaves out, labels as text."""
-    raw = _raw_csv(spark, path, key)
+    raw = _raw_csv(spark, path, key, multi_line)
     return _labeled(raw.filter(_number(F.col("label")).isNull()), F.col("label"))
 
 
-def read_dataset(spark: SparkSession, source: str, path: str, alt_uri: str | None = None,
-                 key: str | None = None, strict: bool = True) -> DataFrame:
-    """The ``sheet`` at ``alt_uri`` if asked for and known, else the file at ``path``."""
+def read_dataset(spark: SparkSession, source: str = "file", path: str | None = None,
+                 alt_uri: str | None = None, key: str | None = None, strict: bool = True,
+                 multi_line: bool = True) -> DataFrame:
+    """The ``sheet`` at ``alt_uri`` if asked for and known, else the file at ``path``.
+
+    Either defaults to what the environment of the driver names.
+    """
+    path = path or os.environ.get(PATH_VARIABLE, DEFAULT_PATH)
+    alt_uri = os.environ.get(SHEET_VARIABLE) if alt_uri is None else alt_uri
     where = alt_uri if source == "sheet" and alt_uri else path
-    return read_labeled_csv(spark, where, key, strict)
+    return read_labeled_csv(spark, where, key, strict, multi_line)
 
 
 def emails_from_rows(df: DataFrame) -> DataFrame:

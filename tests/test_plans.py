@@ -130,6 +130,25 @@ def test_llm_benchmark_of_nothing(spark, mail):
     assert (summary.accuracy, summary.total_samples) == (None, 0)
 
 
+class AnyKeyClient(fx.StubClient):
+    def send(self, request):
+        assert request.key.endswith(".txt")
+        return {"intent": "i", "is_spam": "buy" in request.prompt, "is_system_generated": False, "reason": None,
+                "category": "c", "priority": "low", "confidence": 1}
+
+
+def test_class_folder_benchmark(spark, tmp_path):
+    for name in ("spam/1", "spam/2", "ham/1", "ham/2"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / f"{name}.txt").write_text("buy" if name in ("spam/1", "ham/2") else "hello")
+    run = lambda n: structured.benchmark_class_folders(spark, str(tmp_path), AnyKeyClient, "v2", n)
+    report = run(3)
+    assert {(os.path.basename(os.path.dirname(r.path)), r.actual, r.predicted, r.correct) for r in report.rows.collect()} == {
+        ("spam", 1, 1, True), ("spam", 1, 0, False), ("ham", 0, 0, True)}
+    assert tuple(report.summary.first()) == (0.6667, 3)
+    assert tuple(run(100).summary.first()) == (0.5, 4)
+
+
 def test_compare_columns_and_default_limit(mail):
     report = structured.compare(mail, fx.native_scorers()[0], fx.StubClient)
     assert report.rows.columns[1:] == [

@@ -85,17 +85,25 @@ def test_csv_needs_columns_and_a_key_for_many_files(spark, tmp_path):
     put(tmp_path, "many/2.csv", "id,text,label\n6,b,0\n")
     with pytest.raises(ValueError, match="key column"):
         read_labeled_csv(spark, str(tmp_path / "many"))
-    rows = read_labeled_csv(spark, str(tmp_path / "many"), key="id").orderBy("email_id").collect()
-    assert [(r.email_id, r.text) for r in rows] == [(5, "a"), (6, "b")]
+    for multi_line in (True, False):
+        rows = read_labeled_csv(spark, str(tmp_path / "many"), "id", multi_line=multi_line).collect()
+        assert sorted((r.email_id, r.text) for r in rows) == [(5, "a"), (6, "b")]
+    with pytest.raises(ValueError, match="key column"):
+        read_labeled_csv(spark, str(tmp_path / "many" / "1.csv"), multi_line=False)
 
 
-def test_dataset_choice(spark, tmp_path):
+def test_dataset_choice(spark, tmp_path, monkeypatch):
     file, sheet = (put(tmp_path, f"{n}.csv", f"text,label\n{n},1\n") for n in ("file", "sheet"))
 
     def text(source, uri):
         return read_dataset(spark, source, file, uri).first().text
 
     assert text("sheet", sheet) == "sheet"
+    monkeypatch.setenv("DATA_PATH", sheet)
+    assert read_dataset(spark).first().text == "sheet"
+    monkeypatch.setenv("DATA_URL", file)
+    assert read_dataset(spark, "sheet").first().text == "file"
+    monkeypatch.delenv("DATA_URL")
     assert text("sheet", None) == text("sheet", "") == text("file", sheet) == text("other", sheet) == "file"
 
 
