@@ -19,7 +19,7 @@ from mailbench.session import build_session
 HEADLINE = (
     "model_metrics", "detailed_results", "score_all_documents", "score_batch_udf", "benchmark_detailed",
     "vote_counts", "sample_rows", "limit_first", "head_by_class", "softmax_decide",
-    "validate_llm", "llm_bulk_v1", "llm_bulk_v2", "benchmark_llm", "compare_ml_llm",
+    "validate_llm", "llm_bulk_v1", "llm_bulk_v2", "benchmark_llm", "compare",
     "read_csv_roundtrip", "read_json_roundtrip", "stream_scoring", "benchmark_archive",
 )
 REPEATS = 2

@@ -462,7 +462,7 @@ def oracle() -> dict[str, str]:
         f"WITH {EMAILS}, {answered('v1')} SELECT round_even(avg((is_spam::INT = label)::INT), 4) AS accuracy, "
         "count(*) AS total_samples FROM answered"
     )
-    sql["compare_ml_llm"] = comparison(logit("m1"))
+    sql["compare"] = comparison(logit("m1"))
     sql["compare_first"] = comparison(BATCH_Z, "ORDER BY email_id LIMIT 20")
     sql["flatten_result"] = f"WITH {EMAILS}, {answered('v1')} {llm_benchmark('')}"
 

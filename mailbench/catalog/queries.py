@@ -479,7 +479,7 @@ def benchmark_llm_summary(spark, sf_dir):
 
 
 @query
-def compare_ml_llm(spark, sf_dir):
+def compare_(spark, sf_dir):
     """Side by side over all e-mails."""
     return structured.compare(fx.emails(spark, sf_dir), fx.native_scorers()[0], fx.StubClient, None).rows
 

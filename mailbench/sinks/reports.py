@@ -19,17 +19,18 @@ class Written(NamedTuple):
 
 
 def write_report(df: DataFrame, folder: str, kind: str, fmt: str = "parquet",
-                 now: datetime | None = None) -> Written:
+                 now: datetime | None = None, order_by: str | None = None) -> Written:
     """Write ``df`` to ``folder/kind_time`` as Parquet, or as CSV with a header.
 
     The rows are counted while they are written.  A report of the same second is not
-    overwritten.
+    overwritten.  ``order_by`` restores the order of the input across the files.
     """
     if kind not in KINDS:
         raise ValueError(f"unknown kind of report: {kind}")
     location = f"{folder.rstrip('/')}/{kind}_{(now or datetime.now()).strftime(STAMP)}"
     counted = Observation()
-    writer = df.observe(counted, F.count(F.lit(1)).alias("rows")).write.mode("errorifexists")
+    ordered = df if order_by is None else df.orderBy(order_by)
+    writer = ordered.observe(counted, F.count(F.lit(1)).alias("rows")).write.mode("errorifexists")
     if fmt == "csv":
         writer.csv(
             location, header=True, escape='"', quoteAll=True,

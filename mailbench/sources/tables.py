@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 
 from mailbench.schemas import EMAIL_IN
 
-# Where a dataset is looked for if no path is given.
+# Environment variables that say where the dataset is.
 PATH_VARIABLE = "DATA_PATH"
 SHEET_VARIABLE = "DATA_URL"
-DEFAULT_PATH = "spam_data.csv"
 
 
 def _raw_csv(spark: SparkSession, path: str, key: str | None, multi_line: bool) -> DataFrame:
@@ -87,9 +86,11 @@ def read_dataset(spark: SparkSession, source: str = "file", path: str | None = N
 
     Either defaults to what the environment of the driver names.
     """
-    path = path or os.environ.get(PATH_VARIABLE, DEFAULT_PATH)
+    path = os.environ.get(PATH_VARIABLE) if path is None else path
     alt_uri = os.environ.get(SHEET_VARIABLE) if alt_uri is None else alt_uri
     where = alt_uri if source == "sheet" and alt_uri else path
+    if not where:
+        raise ValueError(f"no path given, and {PATH_VARIABLE} is not set")
     return read_labeled_csv(spark, where, key, strict, multi_line)
 
 

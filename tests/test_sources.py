@@ -104,6 +104,9 @@ def test_dataset_choice(spark, tmp_path, monkeypatch):
     monkeypatch.setenv("DATA_URL", file)
     assert read_dataset(spark, "sheet").first().text == "file"
     monkeypatch.delenv("DATA_URL")
+    monkeypatch.delenv("DATA_PATH")
+    with pytest.raises(ValueError):
+        read_dataset(spark)
     assert text("sheet", None) == text("sheet", "") == text("file", sheet) == text("other", sheet) == "file"
 
 
@@ -231,6 +234,10 @@ def test_report_location_rows_and_no_overwrite(spark, tmp_path):
     with pytest.raises(PySparkException, match="PATH_ALREADY_EXISTS"):
         write_report(df, str(tmp_path), "bulk", "csv", now)
     assert write_report(df, str(tmp_path), "benchmark", now=now).rows == 2
+    ordered = write_report(df.repartition(2), str(tmp_path), "email_analysis", now=now, order_by="id")
+    files = sorted(name for name in os.listdir(ordered.location) if name.startswith("part-"))
+    firsts = [spark.read.parquet(f"{ordered.location}/{name}").first() for name in files]
+    assert [r.id for r in firsts if r] == sorted(r.id for r in firsts if r)
     with pytest.raises(ValueError):
         write_report(df, str(tmp_path), "other")
 
