@@ -95,8 +95,17 @@ class StubClient:
         return record if request.key % 2 else json.dumps(record)
 
 
+# The given tables that hold what e-mails are made of.
+TABLES = {
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+    "labels": "doc_id long, quality int, toxic int",
+    "embeddings": "vec_id long, embedding array<float>, label int",
+    "conversations": "conv_id long, turn long, role string, text string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def emails(spark: SparkSession, sf_dir: str) -> DataFrame:

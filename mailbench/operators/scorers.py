@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import add
 
 import numpy as np
 from pyspark.ml.functions import predict_batch_udf
@@ -50,18 +52,18 @@ class NativeScorer(Scorer):
     def __init__(self, name: str, words: Sequence[str] = (), per_word: float = 2.0,
                  bias: float = -1.0, if_long: float = 0.0, long_over: int | None = None):
         super().__init__(name)
-        self.words, self.per_word, self.bias = tuple(words), per_word, bias
-        self.if_long, self.long_over = if_long, long_over
+        self.words, self.per_word, self.bias = tuple(words), float(per_word), float(bias)
+        self.if_long, self.long_over = float(if_long), long_over
 
     def raw(self, text: Column) -> Column:
-        lowered = F.lower(text)
-        spam = F.lit(float(self.bias))
-        for word in self.words:
-            hit = F.coalesce(F.contains(lowered, F.lit(word)), F.lit(False))
-            spam = spam + hit.cast("double") * float(self.per_word)
+        known = F.coalesce(text, F.lit(""))
+        lowered = F.lower(known)
+        spam = F.lit(self.bias)
+        if self.words:
+            found = reduce(add, [lowered.contains(word).cast("int") for word in self.words])
+            spam = spam + found * self.per_word
         if self.long_over is not None:
-            is_long = F.coalesce(F.length(text) > self.long_over, F.lit(False))
-            spam = spam + is_long.cast("double") * float(self.if_long)
+            spam = spam + (F.length(known) > self.long_over).cast("int") * self.if_long
         return spam
 
     def decide(self, raw: Column) -> Column:
