@@ -100,7 +100,6 @@ TABLES = {
     "documents": "doc_id long, text string, lang string, source string, n_chars long",
     "labels": "doc_id long, quality int, toxic int",
     "embeddings": "vec_id long, embedding array<float>, label int",
-    "conversations": "conv_id long, turn long, role string, text string",
 }
 
 

@@ -452,6 +452,10 @@ def oracle() -> dict[str, str]:
         f"WITH {EMAILS}, {answered('v2')} SELECT email_id, sender, subject, {RECORD}, latency_sec FROM answered"
     )
     sql["llm_bulk_v1_summary"] = f"WITH {EMAILS} SELECT count(*) AS total_emails FROM emails"
+    sql["llm_calls"] = (
+        f"WITH {EMAILS}, {answered('v1')} SELECT email_id, attempts, error, "
+        "CASE WHEN failed THEN NULL ELSE 0 END::INT AS n_violations FROM answered"
+    )
     sql["latency_summary"] = (
         f"WITH {REQUESTS}, {answered('v2', 'requests', 'body', NO_BODY)} SELECT "
         "round_even(coalesce(avg(coalesce(latency_sec, 0.0)), 0.0), 3) AS avg_latency_sec, "

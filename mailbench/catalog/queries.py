@@ -468,6 +468,13 @@ def latency_summary_(spark, sf_dir):
     return latency_summary(answered)
 
 
+@query
+def llm_calls(spark, sf_dir):
+    """How the calls of a bulk analysis went: attempts, errors, broken rules."""
+    calls = structured.analyze_bulk(_bodies(spark, sf_dir), fx.StubClient, "v1").calls
+    return calls.select("email_id", "attempts", "error", F.size("violations").alias("n_violations"))
+
+
 @query
 def benchmark_llm_(spark, sf_dir):
     return structured.benchmark_llm(_bodies(spark, sf_dir), fx.StubClient, "v2").rows
@@ -593,7 +600,7 @@ def report_parquet(spark, sf_dir):
     """A bulk report written as Parquet and read back, with its row count."""
     folder = scratch_path(spark, "reports")
     report = structured.analyze_bulk(fx.requests(spark, sf_dir), fx.StubClient, "v1", folder=folder)
-    rows = spark.read.schema(report.rows.schema).parquet(report.location)
+    rows = spark.read.parquet(report.location)
     return rows.select("email_id", "sender", "intent", "is_spam", "priority")
 
 

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailbench.functions.replies import parse_llm_json, response_schema
+from mailbench.functions.replies import parse_llm_json, response_schema, validate_llm
 from mailbench.functions.text import PROMPT_V1_CHARS, llm_prompt_v1, llm_prompt_v2, prefix
 from mailbench.operators.guards import EMPTY_RECORD, constant, empty_guard, is_empty
 from mailbench.schemas import LLM_OUT, LLM_SPAM, field_names
@@ -159,7 +159,8 @@ def classify_llm(df: DataFrame, open_client: Callable[[], Any], variant: str = "
                  key: str = "email_id") -> DataFrame:
     """``df`` with the record ``res`` of each e-mail and how it was come by.
 
-    Adds reply, attempts, error, res, and latency_sec where the variant reports it.
+    Adds reply, attempts, error, violations of the record's rules, res, and latency_sec
+    where the variant reports it.  A record with violations is reported as it came.
     With a ``guard``, e-mails without body are not sent: ``'record'`` gives them the
     empty record, ``'error'`` a null record and an error.  The result costs calls: stage
     it before using it more than once.
@@ -174,7 +175,8 @@ def classify_llm(df: DataFrame, open_client: Callable[[], Any], variant: str = "
 
     asked = df.select("*", _call_column(open_client, how, F.col(key), prompt).alias("call"))
     answered = asked.select("*", F.col("call.reply").alias("reply"))
-    typed = parse_llm_json(answered, out="typed", schema=how.fields)
+    typed = validate_llm(parse_llm_json(answered, out="typed", schema=how.fields),
+                         record="typed", rules=how.rules)
 
     names = field_names(how.fields)
     fallback = constant({**how.fallback, "reason": ""}, how.fields)
@@ -195,6 +197,7 @@ def classify_llm(df: DataFrame, open_client: Callable[[], Any], variant: str = "
         "reply",
         F.col("call.attempts").alias("attempts"),
         error.alias("error"),
+        "violations",
         res.alias("res"),
         *latency,
     )

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailbench.functions.decisions import round_n
+from mailbench.functions.text import PREVIEW_CHARS, prefix
 from mailbench.operators.classify import classify_llm, classify_llm_spam, with_concurrency
 from mailbench.operators.limits import head_by_class, limit_rows
 from mailbench.operators.metrics import accuracy, confusion, latency_summary
@@ -24,30 +25,30 @@ CORPUS = 100
 
 
 class Report(NamedTuple):
-    """Per-e-mail rows, a one-row summary, and where the rows were written, if they were."""
+    """Per-e-mail rows, a one-row summary, how the calls went, and where the rows were written."""
 
     rows: DataFrame
     summary: DataFrame
+    calls: DataFrame
     location: str | None = None
 
 
-def _deliver(rows: DataFrame, folder: str | None, kind: str, fmt: str) -> tuple[DataFrame, str | None]:
-    """Run the calls behind ``rows`` and store their report once; returns the stored rows.
-
-    A Parquet report is itself what later readers get.  A CSV report is written from a
-    staged table, since reading it back would lose types.
-    """
-    if folder is not None and fmt == "parquet":
-        location = write_report(rows, folder, kind).location
-        return rows.sparkSession.read.schema(rows.schema).parquet(location), location
-    stored = stage(rows, kind)
-    return stored, write_report(stored, folder, kind, fmt).location if folder is not None else None
+def _answer(df: DataFrame, open_client: Callable[[], Any], variant: str, guard: str | None,
+            concurrency: int | None, key: str) -> DataFrame:
+    """Make the calls, once, and store what they gave; of bodies only the preview is kept."""
+    spread = df if concurrency is None else with_concurrency(df, concurrency)
+    answered = classify_llm(spread, open_client, variant, guard, key=key)
+    preview = prefix(F.coalesce("body", F.lit("")), PREVIEW_CHARS)
+    return stage(answered.withColumn("body", preview), f"answers-{variant}")
 
 
-def _report(rows: DataFrame, summary: DataFrame, location: str | None) -> Report:
-    if location is not None:
-        summary = summary.withColumn("location", F.lit(location))
-    return Report(rows, summary, location)
+def _report(answered: DataFrame, rows: DataFrame, summary: DataFrame, folder: str | None, kind: str,
+            fmt: str, key: str) -> Report:
+    calls = answered.select(key, "attempts", "error", "violations", "reply")
+    if folder is None:
+        return Report(rows, summary, calls)
+    location = write_report(rows, folder, kind, fmt).location
+    return Report(rows, summary.withColumn("location", F.lit(location)), calls, location)
 
 
 def analyze_bulk(df: DataFrame, open_client: Callable[[], Any], variant: str = "v1",
@@ -57,15 +58,14 @@ def analyze_bulk(df: DataFrame, open_client: Callable[[], Any], variant: str = "
 
     ``v1`` guards e-mails without body and counts; ``v2`` sends everything, reports
     latencies and their mean.  Calls are bounded by ``concurrency`` if given.  The calls
-    are made once, here, and rows and summary read what was stored.
+    are made here; rows, summary and calls read what was stored.
     """
-    spread = df if concurrency is None else with_concurrency(df, concurrency)
-    guard = "record" if variant == "v1" else None
-    answered = classify_llm(spread, open_client, variant, guard, key=key)
-    kind = "email_analysis" if variant == "v1" else "bulk"
-    rows, location = _deliver(flatten_result(answered, f"bulk_{variant}", key), folder, kind, fmt)
-    total = F.count("*").alias("total_emails")
-    return _report(rows, rows.agg(total) if variant == "v1" else latency_summary(rows), location)
+    answered = _answer(df, open_client, variant, "record" if variant == "v1" else None, concurrency, key)
+    rows = flatten_result(answered, f"bulk_{variant}", key)
+    if variant == "v1":
+        total = answered.agg(F.count("*").alias("total_emails"))
+        return _report(answered, rows, total, folder, "email_analysis", fmt, key)
+    return _report(answered, rows, latency_summary(answered), folder, "bulk", fmt, key)
 
 
 def benchmark_llm(df: DataFrame, open_client: Callable[[], Any], variant: str = "v1",
@@ -75,12 +75,11 @@ def benchmark_llm(df: DataFrame, open_client: Callable[[], Any], variant: str =
 
     The summary has accuracy (null for no e-mails) and total_samples.
     """
-    spread = df if concurrency is None else with_concurrency(df, concurrency)
-    answered = classify_llm(spread, open_client, variant, key=key)
-    rows, location = _deliver(flatten_result(answered, "benchmark", key), folder, "benchmark", fmt)
+    answered = _answer(df, open_client, variant, None, concurrency, key)
+    rows = flatten_result(answered, "benchmark", key)
     counts = confusion(rows, by=[], pred="predicted", truth="actual")
     summary = counts.select(round_n(accuracy()).alias("accuracy"), F.col("n").alias("total_samples"))
-    return _report(rows, summary, location)
+    return _report(answered, rows, summary, folder, "benchmark", fmt, key)
 
 
 def benchmark_class_folders(spark: SparkSession, root: str, open_client: Callable[[], Any],
@@ -100,6 +99,6 @@ def compare(df: DataFrame, scorer: Scorer, open_client: Callable[[], Any],
     """A classifier and a language model side by side over the raw text."""
     text = F.coalesce("text", F.lit(null_as)).alias("text")
     chosen = limit_rows(df, limit, key).select(key, text, "label")
-    answered = classify_llm_spam(score_all(chosen, [scorer]), open_client, key=key)
-    rows = stage(rename_llm_columns(answered, ml=scorer.name, key=key), "compare")
-    return Report(rows, rows.agg(F.count("*").alias("samples")))
+    answered = stage(classify_llm_spam(score_all(chosen, [scorer]), open_client, key=key), "compare")
+    rows = rename_llm_columns(answered, ml=scorer.name, key=key)
+    return _report(answered, rows, answered.agg(F.count("*").alias("samples")), None, "", "", key)

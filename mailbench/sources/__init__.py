@@ -8,6 +8,7 @@ from mailbench.sources.tables import (
     read_dataset,
     read_emails_json,
     read_labeled_csv,
+    read_texts_json,
     split_rejects,
 )
 
@@ -23,5 +24,6 @@ __all__ = [
     "read_files",
     "read_labeled_csv",
     "read_mail",
+    "read_texts_json",
     "split_rejects",
 ]

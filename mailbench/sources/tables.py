@@ -98,11 +98,11 @@ def emails_from_rows(df: DataFrame) -> DataFrame:
     """EMAIL_IN columns with subject and sender defaulting to ''.
 
     A nested column ``emails`` (array of records) becomes one row per record; its rows
-    need a ``request_id``, from which the keys are made.
+    need a ``request_id``, and the key of a record is that with its place in the array.
     """
     if "emails" in df.columns:
         df = df.select("request_id", F.posexplode("emails").alias("place", "e")).select(
-            F.xxhash64("request_id", "place").alias("email_id"), "e.sender", "e.subject", "e.body"
+            F.concat_ws(":", "request_id", "place").alias("email_id"), "e.sender", "e.subject", "e.body"
         )
 
     def optional(name: str) -> Column:
@@ -117,6 +117,12 @@ def read_emails_json(spark: SparkSession, path: str) -> DataFrame:
     return emails_from_rows(spark.read.schema(EMAIL_IN).json(path))
 
 
+def read_texts_json(spark: SparkSession, path: str) -> DataFrame:
+    """Bare texts to predict, one JSON object with ``text`` per line; a missing text is ''."""
+    raw = spark.read.schema("email_id long, text string").json(path)
+    return raw.select("email_id", F.coalesce("text", F.lit("")).alias("text"))
+
+
 def split_rejects(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """E-mails with a body, and those that lack the required body."""
     return df.filter(F.col("body").isNotNull()), df.filter(F.col("body").isNull())

@@ -125,3 +125,16 @@ def test_instruction_names_every_key():
     for name in ("v1", "v2"):
         for key in RECORD:
             assert key in VARIANTS[name].instruction
+
+
+def test_broken_rules_are_reported_with_the_record(mail):
+    row = classify_llm(mail, lambda: Script({**RECORD, "priority": "urgent", "category": "No"}), "v1").first()
+    assert row.violations == ["priority", "category_pattern"] and row.res.priority == "urgent"
+    assert classify_llm(mail, lambda: Script(RECORD), "v1").first().violations == []
+    assert classify_llm(mail, lambda: Script("no", "no", "no"), "v1").first().violations is None
+
+
+def test_wrong_types_become_null(mail):
+    row = classify_llm(mail, lambda: Script({**RECORD, "is_spam": "yes", "intent": 3}), "v1").first()
+    assert row.res.is_spam is None and row.res.intent is None and row.res.category == "work"
+    assert row.violations == ["wrong_type"]

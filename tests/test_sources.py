@@ -21,6 +21,7 @@ from mailbench.sources import (
     read_files,
     read_labeled_csv,
     read_mail,
+    read_texts_json,
     split_rejects,
 )
 from mailbench.sources import files as files_module
@@ -131,7 +132,12 @@ def test_nested_request(spark):
     )
     rows = emails_from_rows(df).collect()
     assert sorted((r.sender, r.subject, r.body) for r in rows) == [("", "s1", "b1"), ("x", "", "b2")]
-    assert len({r.email_id for r in rows}) == 2
+    assert sorted(r.email_id for r in rows) == ["7:0", "7:1"]
+
+
+def test_texts_to_predict(spark, tmp_path):
+    path = put(tmp_path, "t.json", '{"email_id": 1, "text": "hi"}\n{"email_id": 2}\n')
+    assert sorted(map(tuple, read_texts_json(spark, path).collect())) == [(1, "hi"), (2, "")]
 
 
 # Files
