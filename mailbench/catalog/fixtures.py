@@ -107,18 +107,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def emails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """LABELED e-mails: documents with their toxicity as the spam label."""
-    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    return documents.join(labels, "doc_id").select(
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as e-mails without a label."""
+    return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("email_id"),
         F.col("source").alias("sender"),
         F.substring_index("text", "\n", 1).alias("subject"),
         "text",
-        F.col("toxic").alias("label"),
     )
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity as the spam label."""
+    return table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("email_id"), F.col("toxic").alias("label")
+    )
+
+
+def emails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LABELED e-mails: the documents that have a label."""
+    return texts(spark, sf_dir).join(labels(spark, sf_dir), "email_id")
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EMAIL_IN records of the same e-mails; every tenth body is '', another tenth null."""
     return emails(spark, sf_dir).select(

@@ -392,8 +392,8 @@ def oracle() -> dict[str, str]:
         f"WITH {EMAILS}, {scored('emails', M4)}, {long_form(M4, 'label')} SELECT model, {COUNTS} FROM long GROUP BY model"
     )
     sql["model_metrics"] = f"WITH {COMPOSED}, {LONG3} SELECT *, {METRICS} FROM counts"
-    sql["model_metrics_label_table"] = (
-        f"WITH {EMAILS}, {scored('emails', M3)}, {long_form(M3, 'label')}, "
+    sql["model_metrics_raw"] = (
+        f"WITH {EMAILS}, {scored('emails', M4)}, {long_form(M4, 'label')}, "
         f"counts AS (SELECT model, {COUNTS} FROM long GROUP BY model) SELECT *, {METRICS} FROM counts"
     )
     sql["model_metrics_by_source"] = (

@@ -283,19 +283,19 @@ def confusion_(spark, sf_dir):
 
 @query
 def model_metrics_(spark, sf_dir):
-    """Metrics of three models over composed texts; the flagship query."""
-    scorers = fx.native_scorers()
-    scored = classifiers.score_composed(fx.emails(spark, sf_dir), scorers)
-    return _metric_columns(classifiers.metrics_of(scored, scorers))
+    """Metrics of three models over composed texts; the flagship query.
+
+    Documents and labels are two tables: texts are scored before they meet the labels.
+    """
+    return _metric_columns(classifiers.metrics_of_label_table(
+        fx.texts(spark, sf_dir), fx.labels(spark, sf_dir), fx.native_scorers()))
 
 
 @query
-def model_metrics_label_table(spark, sf_dir):
-    """Metrics over raw texts, scored before they meet the table of labels."""
-    texts = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("email_id"), "text")
-    labels = fx.table(spark, sf_dir, "labels").select(
-        F.col("doc_id").alias("email_id"), F.col("toxic").alias("label"))
-    return _metric_columns(classifiers.metrics_of_label_table(texts, labels, fx.native_scorers()))
+def model_metrics_raw(spark, sf_dir):
+    """The same over raw texts, with a fourth model."""
+    return _metric_columns(classifiers.metrics_of_label_table(
+        fx.texts(spark, sf_dir), fx.labels(spark, sf_dir), fx.native_scorers(with_noisy=True), composed=False))
 
 
 @query
@@ -307,9 +307,8 @@ def model_metrics_by_source(spark, sf_dir):
 
 @query
 def best_model_(spark, sf_dir):
-    scorers = fx.native_scorers(with_noisy=True)
-    scored = score_all(fx.emails(spark, sf_dir), scorers)
-    return best_model(classifiers.metrics_of(scored, scorers))
+    return best_model(classifiers.metrics_of_label_table(
+        fx.texts(spark, sf_dir), fx.labels(spark, sf_dir), fx.native_scorers(with_noisy=True), composed=False))
 
 
 @query

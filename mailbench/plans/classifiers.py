@@ -58,13 +58,14 @@ def metrics_of(scored: DataFrame, scorers: Sequence[Scorer]) -> DataFrame:
 
 
 def metrics_of_label_table(texts: DataFrame, labels: DataFrame, scorers: Sequence[Scorer],
-                           key: str = "email_id") -> DataFrame:
+                           key: str = "email_id", composed: bool = True) -> DataFrame:
     """Metrics where ``labels`` (key, label) is a table of its own.
 
-    Texts are scored where they are read; what meets the labels is a row of a few
-    numbers, so no text is shuffled however large both tables are.
+    Texts, composed or raw, are scored where they are read; what meets the labels is a
+    row of a few numbers, so no text is shuffled however large both tables are.
     """
-    scored = score_all(texts.select(key, F.col("text")), scorers)
+    text = compose_for(texts) if composed else F.coalesce("text", F.lit(""))
+    scored = score_all(texts.select(key, text.alias("text")), scorers)
     said = scored.select(key, *[
         F.struct(F.col(s.name)["label"].alias("label")).alias(s.name) for s in scorers
     ])

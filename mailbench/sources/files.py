@@ -111,7 +111,10 @@ def _round(folders: DataFrame) -> DataFrame:
 
 
 def list_folder(spark: SparkSession, *folders: str) -> DataFrame:
-    """``path`` of the files directly in the given folders; missing folders hold none."""
+    """``path`` of the files directly in the given folders; missing folders hold none.
+
+    The listing is a staged table, so limits and readers see the same files.
+    """
 
     def direct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         stores = Stores()
@@ -121,8 +124,8 @@ def list_folder(spark: SparkSession, *folders: str) -> DataFrame:
                 while chunk := list(islice(files, LISTED_ROWS)):
                     yield pd.DataFrame({"path": chunk})
 
-    return spark.createDataFrame([(f,) for f in folders], "path string").repartition(
-        len(folders)).mapInPandas(direct, "path string")
+    given = spark.createDataFrame([(f,) for f in folders], "path string").repartition(len(folders))
+    return stage(given.mapInPandas(direct, "path string"), "listing")
 
 
 def list_mail_paths(spark: SparkSession, root: str) -> DataFrame:
