@@ -43,13 +43,12 @@ def score_composed(df: DataFrame, scorers: Sequence[Scorer], key: str = "email_i
     return score_all(df.select(key, compose_for(df, null_as).alias("text"), "label"), scorers)
 
 
-def metrics_of(scored: DataFrame, scorers: Sequence[Scorer]) -> DataFrame:
-    """One metrics row per scorer: a single aggregation with one group per model.
+def _said(scored: DataFrame, names: Sequence[str], *keep: str) -> DataFrame:
+    """``keep`` and each model's 0/1 answer."""
+    return scored.select(*keep, *[text_to_label(F.col(name)["label"]).alias(name) for name in names])
 
-    Labels are taken out before rows are multiplied, so nothing else is computed.
-    """
-    names = _names(scorers)
-    said = scored.select("label", *[text_to_label(F.col(name)["label"]).alias(name) for name in names])
+
+def _metrics(said: DataFrame, names: Sequence[str]) -> DataFrame:
     long = said.select("label", F.inline(F.array(*[
         F.struct(F.lit(name).alias("model"), F.lit(place).alias("ordinal"), F.col(name).alias("pred"))
         for place, name in enumerate(names)
@@ -57,6 +56,14 @@ def metrics_of(scored: DataFrame, scorers: Sequence[Scorer]) -> DataFrame:
     return model_metrics(confusion(long))
 
 
+def metrics_of(scored: DataFrame, scorers: Sequence[Scorer]) -> DataFrame:
+    """One metrics row per scorer: a single aggregation with one group per model.
+
+    Answers are taken out before rows are multiplied, so nothing else is computed.
+    """
+    return _metrics(_said(scored, _names(scorers), "label"), _names(scorers))
+
+
 def metrics_of_label_table(texts: DataFrame, labels: DataFrame, scorers: Sequence[Scorer],
                            key: str = "email_id", composed: bool = True) -> DataFrame:
     """Metrics where ``labels`` (key, label) is a table of its own.
@@ -66,10 +73,8 @@ def metrics_of_label_table(texts: DataFrame, labels: DataFrame, scorers: Sequenc
     """
     text = compose_for(texts) if composed else F.coalesce("text", F.lit(""))
     scored = score_all(texts.select(key, text.alias("text")), scorers)
-    said = scored.select(key, *[
-        F.struct(F.col(s.name)["label"].alias("label")).alias(s.name) for s in scorers
-    ])
-    return metrics_of(said.join(labels.select(key, "label"), key), scorers)
+    said = _said(scored, _names(scorers), key)
+    return _metrics(said.join(labels.select(key, "label"), key), _names(scorers))
 
 
 def details_of(scored: DataFrame, scorers: Sequence[Scorer], key: str = "email_id") -> DataFrame:
