@@ -44,13 +44,12 @@ from mailbench.operators.reshape import flatten_result
 from mailbench.operators.scorers import score_all, score_native, score_transformer
 from mailbench.plans import classifiers, structured
 from mailbench.schemas import LLM_OUT, field_names
-from mailbench.session import scratch_path, stage
+from mailbench.session import scratch_path
 from mailbench.sinks.reports import write_json, write_report
 from mailbench.sources import (
     read_class_folders,
     read_dataset,
     read_emails_json,
-    read_mail,
     split_rejects,
 )
 from mailbench.sources.files import list_mail_paths, read_files

@@ -43,34 +43,35 @@ def _answer(df: DataFrame, open_client: Callable[[], Any], variant: str, guard:
 
 
 def _report(answered: DataFrame, rows: DataFrame, summary: DataFrame, folder: str | None, kind: str,
-            fmt: str, key: str) -> Report:
+            fmt: str, key: str, ordered: bool) -> Report:
     calls = answered.select(key, "attempts", "error", "violations", "reply")
     if folder is None:
         return Report(rows, summary, calls)
-    location = write_report(rows, folder, kind, fmt).location
+    location = write_report(rows, folder, kind, fmt, order_by=key if ordered else None).location
     return Report(rows, summary.withColumn("location", F.lit(location)), calls, location)
 
 
 def analyze_bulk(df: DataFrame, open_client: Callable[[], Any], variant: str = "v1",
                  concurrency: int | None = None, folder: str | None = None, fmt: str = "parquet",
-                 key: str = "email_id") -> Report:
+                 key: str = "email_id", ordered: bool = False) -> Report:
     """Classify EMAIL_IN rows and report on each.
 
     ``v1`` guards e-mails without body and counts; ``v2`` sends everything, reports
     latencies and their mean.  Calls are bounded by ``concurrency`` if given.  The calls
-    are made here; rows, summary and calls read what was stored.
+    are made here; rows, summary and calls read what was stored.  ``ordered`` writes the
+    report in the order of the keys.
     """
     answered = _answer(df, open_client, variant, "record" if variant == "v1" else None, concurrency, key)
     rows = flatten_result(answered, f"bulk_{variant}", key)
     if variant == "v1":
         total = answered.agg(F.count("*").alias("total_emails"))
-        return _report(answered, rows, total, folder, "email_analysis", fmt, key)
-    return _report(answered, rows, latency_summary(answered), folder, "bulk", fmt, key)
+        return _report(answered, rows, total, folder, "email_analysis", fmt, key, ordered)
+    return _report(answered, rows, latency_summary(answered), folder, "bulk", fmt, key, ordered)
 
 
 def benchmark_llm(df: DataFrame, open_client: Callable[[], Any], variant: str = "v1",
                   concurrency: int | None = None, folder: str | None = None, fmt: str = "parquet",
-                  key: str = "email_id") -> Report:
+                  key: str = "email_id", ordered: bool = False) -> Report:
     """Classify labelled e-mails and compare with the labels; no guard.
 
     The summary has accuracy (null for no e-mails) and total_samples.
@@ -79,7 +80,7 @@ def benchmark_llm(df: DataFrame, open_client: Callable[[], Any], variant: str =
     rows = flatten_result(answered, "benchmark", key)
     counts = confusion(rows, by=[], pred="predicted", truth="actual")
     summary = counts.select(round_n(accuracy()).alias("accuracy"), F.col("n").alias("total_samples"))
-    return _report(answered, rows, summary, folder, "benchmark", fmt, key)
+    return _report(answered, rows, summary, folder, "benchmark", fmt, key, ordered)
 
 
 def benchmark_class_folders(spark: SparkSession, root: str, open_client: Callable[[], Any],
@@ -101,4 +102,4 @@ def compare(df: DataFrame, scorer: Scorer, open_client: Callable[[], Any],
     chosen = limit_rows(df, limit, key).select(key, text, "label")
     answered = stage(classify_llm_spam(score_all(chosen, [scorer]), open_client, key=key), "compare")
     rows = rename_llm_columns(answered, ml=scorer.name, key=key)
-    return _report(answered, rows, answered.agg(F.count("*").alias("samples")), None, "", "", key)
+    return _report(answered, rows, answered.agg(F.count("*").alias("samples")), None, "", "", key, False)

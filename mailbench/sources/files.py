@@ -105,9 +105,9 @@ def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(rows, columns=["path", "is_folder"])
 
 
-def _round(folders: DataFrame) -> DataFrame:
-    spread = folders.select("path").repartition(parallelism(folders.sparkSession))
-    return spread.mapInPandas(_list_folders, "path string, is_folder boolean")
+def _round(folders: DataFrame, count: int) -> DataFrame:
+    tasks = min(count, parallelism(folders.sparkSession))
+    return folders.select("path").repartition(tasks).mapInPandas(_list_folders, "path string, is_folder boolean")
 
 
 def list_folder(spark: SparkSession, *folders: str) -> DataFrame:
@@ -134,13 +134,13 @@ def list_mail_paths(spark: SparkSession, root: str) -> DataFrame:
     One job per round; each round is a staged table, so the next starts from it.
     """
     rounds = []
-    folders = spark.createDataFrame([(root,)], "path string")
-    while True:
-        found = stage(_round(folders), "listing")
+    folders, left = spark.createDataFrame([(root,)], "path string"), 1
+    while left:
+        found = stage(_round(folders, left), "listing")
         rounds.append(found.filter(~F.col("is_folder")).select("path"))
         folders = found.filter("is_folder")
-        if folders.isEmpty():
-            return reduce(DataFrame.union, rounds)
+        left = folders.count()
+    return reduce(DataFrame.union, rounds)
 
 
 def open_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -124,6 +124,28 @@ def test_bulk_calls_once_per_mail(spark, mail, tmp_path):
     assert summary.avg_latency_sec == round((27 * 0.25 + 2 * 2.75 + 1.5) / 30, 3)
 
 
+def test_ordered_report(spark, mail, tmp_path):
+    report = structured.analyze_bulk(mail.withColumnRenamed("text", "body").repartition(4), fx.StubClient, "v1",
+                                     folder=str(tmp_path), ordered=True)
+    parts = sorted(n for n in os.listdir(report.location) if n.startswith("part-"))
+    written = [r.email_id for n in parts for r in spark.read.parquet(f"{report.location}/{n}").collect()]
+    assert written == list(range(1, 31))
+
+
+def test_metrics_with_labels_in_another_table(spark, mail):
+    scorers = [*fx.native_scorers(), fx.batch_scorer()]
+    unlabelled = spark.createDataFrame([(99, "", "", "trash")], "email_id long, sender string, subject string, text string")
+    texts = mail.drop("label").unionByName(unlabelled)
+    for threshold in ("10MB", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            apart = classifiers.metrics_of_label_table(texts, mail.select("email_id", "label"), scorers).collect()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        together = classifiers.benchmark(mail, scorers).metrics.collect()
+        assert sorted(map(tuple, apart)) == sorted(map(tuple, together))
+
+
 def test_llm_benchmark_of_nothing(spark, mail):
     empty = mail.filter("email_id > 99").withColumnRenamed("text", "body")
     summary = structured.benchmark_llm(empty, fx.StubClient).summary.first()

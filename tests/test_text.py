@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,3 +87,19 @@ def test_labels(spark):
 def test_correct_is_never_null(spark):
     df = spark.createDataFrame([("a", "a"), ("a", None), (None, None)], "p string, t string")
     assert [r[0] for r in df.select(correct(F.col("p"), F.col("t"))).collect()] == [True, False, True]
+
+
+def test_random_texts_agree_with_python(spark):
+    draw = random.Random(11)
+    alphabet = WHITESPACE + "\x00abcÄß€😀👍🏽\u200b\u0301freewinmoneyoffer"
+    texts = ["".join(draw.choices(alphabet, k=draw.randint(0, 40))) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    rows = df.select(
+        "i", strip_text(F.col("t")).alias("stripped"), prefix("t", 7).alias("cut"),
+        F.length("t").alias("n"), heuristic_label(F.col("t")).alias("hit"),
+    ).collect()
+    for row in rows:
+        text = texts[row.i]
+        assert row.stripped == text.replace("\x00", "").strip()
+        assert (row.cut, row.n) == (text[:7], len(text))
+        assert row.hit == int(any(w in text.lower() for w in ("free", "win", "money", "offer")))
