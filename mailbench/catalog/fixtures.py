@@ -42,7 +42,8 @@ def load_word_model(max_tokens: int):
     words = WORDS["m1"] + WORDS["m2"]
 
     def model(texts: list[str]) -> np.ndarray:
-        hits = np.array([sum(w in t.lower() for w in words) for t in texts], dtype="float64")
+        lowered = [text.lower() for text in texts]
+        hits = np.array([sum(word in text for word in words) for text in lowered], dtype="float64")
         return np.column_stack([np.full(len(texts), 0.5), 1.75 * hits - 0.25])
 
     return model
