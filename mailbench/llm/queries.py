@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from mailbench.llm import packing, quality_rules, simhash, token_counts, wavelet
+from mailbench.llm import (
+    ann, license_scan, packing, paragraph_dedup, quality_rules, sentencepieces, simhash, token_counts, warc, wavelet,
+)
 from mailbench.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def query(function):
@@ -21,17 +25,41 @@ def query(function):
     return function
 
 
+@query
+def op1_license_scan(spark, sf_dir):
+    return license_scan.license_scan(
+        table(spark, sf_dir, "documents"), "doc_id", "text", license_scan.known_licenses(spark))
+
+
+ORACLE["op1_license_scan"] = license_scan.license_scan_sql()
+
+
 @query
 def op2_quality_rules(spark, sf_dir):
     return quality_rules.quality_verdicts(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_multi_index_hashing(spark, sf_dir):
+    return ann.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 100 == 0)
+
+
+@query
+def op4_warc_segments(spark, sf_dir):
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 @query
 def op5_wavelet_shards(spark, sf_dir):
     manifest = wavelet.write_token_shards(table(spark, sf_dir, "documents"), "doc_id", "text", BYTE_BPE, end_id=2)
     return wavelet.read_token_shards(manifest)
 
 
+@query
+def op6_paragraph_dedup(spark, sf_dir):
+    return paragraph_dedup.repeated_passages(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 @query
 def op7_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text", BYTE_BPE)
@@ -42,6 +70,11 @@ def op8_pattern_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), "doc_id", "text", BYTE_BPE)
 
 
+@query
+def op9_piece_codec(spark, sf_dir):
+    return sentencepieces.piece_codec(table(spark, sf_dir, "documents"), "doc_id", "text", PIECES, full=False)
+
+
 @query
 def op10_simhash(spark, sf_dir):
     return simhash.simhash_components(table(spark, sf_dir, "documents"), "doc_id", "text")
