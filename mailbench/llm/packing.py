@@ -62,13 +62,20 @@ def plan_packs(histogram: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
 
     The fitted repeats are rounded with the remainder carried on, cut to the pieces there
     are, and what is left is packed best-fit by decreasing length, always on counts: the
-    work depends on the pack size alone, not on the number of pieces.
+    work depends on the pack size alone, not on the number of pieces.  Where one length is so
+    frequent that too few others fill up its packs, leaving all to the second step can need
+    fewer packs; then that plan counts.
     """
+    plans = [_plan(histogram, fitted) for fitted in (True, False)]
+    return min(plans, key=lambda plan: sum(times for _, times in plan))
+
+
+def _plan(histogram: np.ndarray, fitted: bool) -> list[tuple[tuple[int, ...], int]]:
     left = histogram.astype(np.int64).copy()
     left[0] = 0
     size = len(left) - 1
     packs: Counter = Counter()
-    table = patterns(np.flatnonzero(left), size)
+    table = patterns(np.flatnonzero(left), size) if fitted else ()
     if len(table):
         repeats = np.diff(np.floor(np.append(0, np.cumsum(fit(table, left))) + 0.5)).astype(np.int64)
         for row, times in zip(table[repeats > 0].tolist(), repeats[repeats > 0].tolist(), strict=True):
