@@ -79,6 +79,21 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return pa.schema([(name, kinds[kind]) for name, kind in (part.split() for part in ddl.split(", "))])
 
 
+def slices(texts: list[str], characters: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about so many characters, or of one longer text.
+
+    A batch has a fixed number of rows, however long they are; work on words takes many times their size.
+    """
+    start = held = 0
+    for i, text in enumerate(texts):
+        if held and held + len(text) > characters:
+            yield start, i
+            start, held = i, 0
+        held += len(text)
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     return [x or "" for x in batch.column(batch.schema.get_field_index(column)).to_pylist()]
 
@@ -89,6 +104,8 @@ def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
 _GAP = re.compile(r" (?=\S)")
 # Anything but single spaces and single line ends between words.
 _ODD_SPACE = re.compile(r"\s\s|[^\S \n]|\A\s|\s\Z|\x00")
+# One word and no other white space than a space before it.
+_PLAIN = re.compile(r" ?\S+").fullmatch
 _LONGEST_KEPT = 64
 
 
@@ -116,6 +133,10 @@ class ChunkCache:
 
     def values(self, texts: list[str]) -> Iterator[list]:
         """For each text the values of its chunks."""
+        for start, stop in slices(texts):
+            yield from self._values(texts[start:stop])
+
+    def _values(self, texts: list[str]) -> Iterator[list]:
         cut = [chunks(x) for x in texts]
         if len(self.known) > self.entries:
             self.known.clear()
@@ -162,8 +183,9 @@ class ByteEncoder:
     def _encode(self, new: list[str]) -> list[bytes]:
         """Plain chunks travel joined by line ends, whose id then parts them again."""
         out: dict[str, bytes] = {}
-        plain = [x for x in new if x and not re.search(r"\s", x[1:]) and x[0] in " " or x.isalnum()]
-        plain = [x for x in plain if not any(a in x for a in self.added)] if self.line_end is not None else []
+        plain = list(filter(_PLAIN, new)) if self.line_end is not None else []
+        for special in self.added:
+            plain = [x for x in plain if special not in x]
         groups = [plain[i:i + 64] for i in range(0, len(plain), 64)]
         for group, whole in zip(groups, self._library(["\n".join(g) for g in groups]), strict=True):
             ids = np.frombuffer(whole, self.dtype)

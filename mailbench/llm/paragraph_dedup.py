@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mailbench.llm.common import arrow_schema, connected_components, kept, texts_of
+from mailbench.llm.common import arrow_schema, connected_components, kept, slices, texts_of
 from mailbench.session import stage
 
 SHINGLE = 5
@@ -102,10 +102,16 @@ def units(df: DataFrame, key: str, text: str, min_words: int, bands: int, rows:
     def run(batches):
         import xxhash
 
-        for batch in batches:
+        def parts():
+            for batch in batches:
+                names, texts = batch.column(0).to_pylist(), texts_of(batch, "_text")
+                for a, b in slices(texts):
+                    yield names[a:b], texts[a:b]
+
+        for names, texts in parts():
             out: list[list] = [[] for _ in range(5)]
             lines, line_rows = [], []
-            for name, whole in zip(batch.column(0).to_pylist(), texts_of(batch, "_text"), strict=True):
+            for name, whole in zip(names, texts, strict=True):
                 at, pieces = 0, []
                 for start, stop in [*(m.span() for m in _BREAK.finditer(whole)), (len(whole), len(whole))]:
                     norm = " ".join(whole[at:start].lower().split())

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailbench.llm.common import arrow_schema, kept, texts_of
+from mailbench.llm.common import arrow_schema, kept, slices, texts_of
 
 SPACE = "▁"
 _BASE = np.uint64(0x100000001B3 * 2 + 1)
@@ -316,7 +316,7 @@ def piece_codec(df: DataFrame, key: str, text: str, path: str, full: bool = True
         encoder = kept(("pieces", path), lambda: PieceEncoder(model.value))
         for batch in batches:
             texts = texts_of(batch, "_text")
-            ids = encoder.encode(texts)
+            ids = [x for a, b in slices(texts) for x in encoder.encode(texts[a:b])]
             decoded = [encoder.decode(x) for x in ids]
             columns = [batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()),
                        pa.array([a == b for a, b in zip(texts, decoded, strict=True)], pa.bool_())]

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -145,12 +146,12 @@ class WaveletMatrix:
 
 
 def write_shard(keys: list, lengths: np.ndarray, ids: np.ndarray) -> bytes:
-    """File: magic, lengths of the parts, then zlib parts (keys, lengths, alphabet, planes)."""
+    """File: magic, lengths of the parts, then Zstandard frames (head, keys, lengths, alphabet, planes)."""
     matrix = WaveletMatrix.build(ids)
     head = json.dumps({"length": matrix.length, "zeros": matrix.zeros}).encode()
     parts = [head, json.dumps(keys).encode(), lengths.astype("<i8").tobytes(), matrix.alphabet.astype("<u4").tobytes(),
              *(p.tobytes() for p in matrix.planes)]
-    packed = [zlib.compress(p, 1) for p in parts]
+    packed = [zstandard.ZstdCompressor(1).compress(p) for p in parts]
     out = io.BytesIO()
     out.write(MAGIC + struct.pack("<I", len(packed)) + struct.pack(f"<{len(packed)}Q", *map(len, packed)))
     for p in packed:
@@ -165,7 +166,7 @@ def read_shard(data: bytes) -> tuple[list, np.ndarray, WaveletMatrix]:
     (n,) = struct.unpack_from("<I", data, 8)
     sizes, at, parts = struct.unpack_from(f"<{n}Q", data, 12), 12 + 8 * n, []
     for size in sizes:
-        parts.append(zlib.decompress(data[at:at + size]))
+        parts.append(zstandard.ZstdDecompressor().decompress(data[at:at + size]))
         at += size
     head = json.loads(parts[0])
     matrix = WaveletMatrix(np.frombuffer(parts[3], "<u4").astype(np.int64), head["length"],
