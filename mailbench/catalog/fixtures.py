@@ -49,6 +49,18 @@ def load_word_model(max_tokens: int):
     return model
 
 
+def load_failing_model(max_tokens: int):
+    """The same, but it raises for any batch with a text that speaks of a clown."""
+    model = load_word_model(max_tokens)
+
+    def scored(texts: list[str]) -> np.ndarray:
+        if any("clown" in text.lower() for text in texts):
+            raise RuntimeError("no clowns")
+        return model(texts)
+
+    return scored
+
+
 def batch_scorer(name: str = "batched") -> BatchScorer:
     return BatchScorer(name, load_word_model)
 
@@ -72,7 +84,9 @@ class StubClient:
 
     def send(self, request: Request) -> str | dict:
         self.now += self.SEND_SEC
-        case = request.key % 50
+        # Keys that are paths of the class-folder corpus end in the number.
+        number = request.key if isinstance(request.key, int) else int(request.key.rpartition("/")[2].partition(".")[0])
+        case = number % 50
         if case == 13:
             raise RuntimeError("provider unavailable")
         if case == 11 and request.attempt == 1:
@@ -93,7 +107,7 @@ class StubClient:
         if "priority" not in request.schema["properties"]:
             record = {name: record[name] for name in ("is_spam", "category", "intent", "confidence")}
             record["reason"] = "abusive words" if spam else "no abusive words"
-        return record if request.key % 2 else json.dumps(record)
+        return record if number % 2 else json.dumps(record)
 
 
 # The given tables that hold what e-mails are made of.

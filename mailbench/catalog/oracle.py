@@ -368,6 +368,17 @@ def oracle() -> dict[str, str]:
         f"WITH {EMAILS}, l AS (SELECT email_id, {BATCH_Z} AS z FROM emails) SELECT email_id, "
         f"{text_label('z > 0')} AS label, {confidence('z')} AS confidence, NULL::VARCHAR AS error FROM l"
     )
+    docs = "docs AS (SELECT doc_id AS email_id, text FROM documents)"
+    sql["failing_batches"] = (
+        f"WITH {docs}, l AS (SELECT email_id, contains(lower(text), 'clown') AS bad, {BATCH_Z} AS z FROM docs) SELECT email_id, "
+        f"CASE WHEN bad THEN 'not spam' ELSE {text_label('z > 0')} END AS label, "
+        f"CASE WHEN bad THEN 0.0 ELSE {confidence('z')} END AS confidence, CASE WHEN bad THEN 'no clowns' END AS error FROM l"
+    )
+    vote = "((m1_label = 'spam')::INT + (m2_label = 'spam')::INT + (z > 0)::INT) * 2 > 3"
+    sql["wrong_predictions"] = (
+        f"WITH {COMPOSED}, {scored('texts', ['m1', 'm2'], f'email_id, label, {BATCH_Z} AS z')} SELECT email_id, "
+        f"{text_label('label = 1')} AS true_label, {text_label(vote)} AS ensemble_prediction FROM scored WHERE ({vote}) <> (label = 1)"
+    )
     sql["score_all_documents"] = (
         "WITH docs AS (SELECT doc_id AS email_id, text FROM documents), "
         f"{scored('docs', M3, f'email_id, {BATCH_Z} AS z')} SELECT email_id, "
@@ -494,7 +505,11 @@ def oracle() -> dict[str, str]:
     )
     sql["read_json_roundtrip"] = sql["detailed_results"]
     sql["read_csv_roundtrip"] = f"WITH {EMAILS} SELECT * FROM emails"
-    sql["report_parquet"] = f"SELECT email_id, sender, intent, is_spam, priority FROM ({bulk_v1()})"
+    sql["read_csv_any_order"] = sql["read_csv_roundtrip"]
+    sql["read_texts_json"] = "SELECT doc_id AS email_id, CASE WHEN doc_id % 7 = 3 THEN '' ELSE text END AS text FROM documents"
+    sql["report_parquet"] = (
+        f"SELECT email_id, sender, intent, is_spam, priority, count(*) OVER () AS n_rows FROM ({bulk_v1()})"
+    )
 
     sql["stream_scoring"] = (
         f"WITH {REQUESTS}, arrived AS (SELECT email_id, body AS text FROM requests WHERE body IS NOT NULL), "

@@ -29,7 +29,7 @@ from mailbench.operators.ensemble import (
     long_predictions,
     models_map,
     labels_of,
-    vote_counts,
+    vote_sums,
 )
 from mailbench.operators.guards import EMPTY_RECORD, constant, empty_guard, is_empty
 from mailbench.operators.limits import head_by_class, limit_rows, sample_rows
@@ -50,6 +50,8 @@ from mailbench.sources import (
     read_class_folders,
     read_dataset,
     read_emails_json,
+    read_labeled_csv,
+    read_texts_json,
     split_rejects,
 )
 from mailbench.sources.files import list_mail_paths, read_files
@@ -60,9 +62,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 
-# Sample size beyond any number of files or e-mails in the tables: takes all of them.
-EVERYTHING = 1 << 40
-
 
 def query(function: Query) -> Query:
     """Register under the function's name, less the underscore that avoids a clash."""
@@ -228,6 +227,22 @@ def score_batch_udf(spark, sf_dir):
     return scored.select("email_id", "model.label", "model.confidence", "model.error")
 
 
+@query
+def failing_batches(spark, sf_dir):
+    """A batched model that raises on some texts: those alone carry the error."""
+    df = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("email_id"), "text")
+    scored = score_transformer(df, "text", fx.load_failing_model)
+    return scored.select("email_id", "model.label", "model.confidence", "model.error")
+
+
+@query
+def wrong_predictions(spark, sf_dir):
+    """Details of those e-mails alone that the vote gets wrong."""
+    scorers = [*fx.native_scorers()[:2], fx.batch_scorer()]
+    details = classifiers.detailed_results(fx.texts(spark, sf_dir), scorers, labels=fx.labels(spark, sf_dir))
+    return details.where("NOT ensemble_correct").select("email_id", "true_label", "ensemble_prediction")
+
+
 @query
 def score_all_documents(spark, sf_dir):
     """All documents, labelled or not, by native and batched models together."""
@@ -249,7 +264,7 @@ def _scored(spark, sf_dir, with_noisy: bool = False):
 @query
 def vote_counts_(spark, sf_dir):
     scored, names = _scored(spark, sf_dir, with_noisy=True)
-    return vote_counts(long_predictions(scored, names, ["email_id"]))
+    return vote_sums(scored, names)
 
 
 @query
@@ -312,7 +327,7 @@ def best_model_(spark, sf_dir):
 
 @query
 def benchmark_report(spark, sf_dir):
-    result = classifiers.benchmark(fx.emails(spark, sf_dir), fx.native_scorers())
+    result = classifiers.benchmark(fx.texts(spark, sf_dir), fx.native_scorers(), labels=fx.labels(spark, sf_dir))
     return _metric_columns(with_summary(result.metrics))
 
 
@@ -333,7 +348,7 @@ def _flat_details(details: DataFrame, names, key="email_id") -> DataFrame:
 @query
 def detailed_results(spark, sf_dir):
     scorers = fx.native_scorers()
-    details = classifiers.detailed_results(fx.emails(spark, sf_dir), scorers)
+    details = classifiers.detailed_results(fx.texts(spark, sf_dir), scorers, labels=fx.labels(spark, sf_dir))
     return _flat_details(details, [s.name for s in scorers])
 
 
@@ -341,7 +356,8 @@ def detailed_results(spark, sf_dir):
 def benchmark_detailed(spark, sf_dir):
     """Details of a benchmark with a Python model among the scorers: scored once, then read."""
     scorers = [*fx.native_scorers()[:2], fx.batch_scorer()]
-    result = classifiers.benchmark(fx.emails(spark, sf_dir), scorers, detailed=True)
+    result = classifiers.benchmark(
+        fx.texts(spark, sf_dir), scorers, detailed=True, labels=fx.labels(spark, sf_dir))
     return _flat_details(result.details, [s.name for s in scorers])
 
 
@@ -356,7 +372,8 @@ def predict_raw(spark, sf_dir):
 
 @query
 def benchmark_single(spark, sf_dir):
-    return _metric_columns(classifiers.benchmark_single(fx.emails(spark, sf_dir), fx.batch_scorer()))
+    return _metric_columns(classifiers.benchmark_single(
+        fx.texts(spark, sf_dir), fx.batch_scorer(), labels=fx.labels(spark, sf_dir)))
 
 
 # Structured replies
@@ -492,7 +509,7 @@ def compare_(spark, sf_dir):
 @query
 def compare_first(spark, sf_dir):
     """The default report: the first 20."""
-    return structured.compare(fx.emails(spark, sf_dir), fx.batch_scorer("ml"), fx.StubClient).rows
+    return structured.compare(fx.emails(spark, sf_dir), fx.batch_scorer("ml"), fx.StubClient, structured.COMPARED).rows
 
 
 @query
@@ -522,14 +539,14 @@ def parse_mail_(spark, sf_dir):
 def archive_rows(spark, sf_dir):
     """Dataset of a whole mail archive: read, length filter, keyword label."""
     root = fx.render_files(fx.mail_files(spark, sf_dir), "mails")
-    mails = classifiers.archive_dataset(spark, root, sample=EVERYTHING)
+    mails = classifiers.archive_dataset(spark, root)
     return mails.select(_file_id().alias("email_id"), F.col("from").alias("sender"), "subject", "text", "label")
 
 
 @query
 def benchmark_archive(spark, sf_dir):
     root = fx.render_files(fx.mail_files(spark, sf_dir), "mails")
-    result = classifiers.benchmark_archive(spark, root, fx.native_scorers(), EVERYTHING, detailed=False)
+    result = classifiers.benchmark_archive(spark, root, fx.native_scorers(), detailed=False)
     return _metric_columns(with_summary(result.metrics))
 
 
@@ -537,7 +554,7 @@ def benchmark_archive(spark, sf_dir):
 def benchmark_archive_details(spark, sf_dir):
     root = fx.render_files(fx.mail_files(spark, sf_dir), "mails")
     scorers = fx.native_scorers()
-    result = classifiers.benchmark_archive(spark, root, scorers, EVERYTHING)
+    result = classifiers.benchmark_archive(spark, root, scorers)
     keyed = result.details.withColumn("email_id", _file_id())
     return _flat_details(keyed, [s.name for s in scorers])
 
@@ -553,9 +570,7 @@ def read_class_folders_(spark, sf_dir):
 def class_folder_benchmark(spark, sf_dir):
     """Structured benchmark of a class-folder corpus, all of it."""
     root = fx.render_files(fx.class_files(spark, sf_dir), "classes")
-    paths = head_by_class(class_paths(spark, root), EVERYTHING)
-    corpus = read_class_folders(spark, root, paths=paths).withColumn("email_id", _file_id())
-    return structured.benchmark_llm(corpus, fx.StubClient, "v1").summary
+    return structured.benchmark_class_folders(spark, root, fx.StubClient, "v1", calls_per_task=4).summary
 
 
 @query
@@ -593,13 +608,32 @@ def read_csv_roundtrip(spark, sf_dir):
     return read_dataset(spark, "sheet", written.location, None, key="id")
 
 
+@query
+def read_csv_any_order(spark, sf_dir):
+    """Two folders of labelled CSV with columns in different orders, read by name."""
+    df = fx.emails(spark, sf_dir).select("label", F.col("sender").alias("from"), "text", "subject", F.col("email_id").alias("id"))
+    orders = {0: ["id", "subject", "text", "label", "from"], 1: ["label", "text", "from", "id", "subject"]}
+    written = [write_report(df.where(F.col("id") % 2 == part).select(*names), scratch_path(spark, "csv"), "benchmark", "csv").location
+               for part, names in orders.items()]
+    return read_labeled_csv(spark, written, key="id")
+
+
+@query
+def read_texts_json_(spark, sf_dir):
+    """Bare texts as JSON, some without a text."""
+    path = scratch_path(spark, "texts")
+    fx.table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("email_id"), F.when(F.col("doc_id") % 7 != 3, F.col("text")).alias("text")).write.json(path)
+    return read_texts_json(spark, path)
+
+
 @query
 def report_parquet(spark, sf_dir):
     """A bulk report written as Parquet and read back, with its row count."""
     folder = scratch_path(spark, "reports")
     report = structured.analyze_bulk(fx.requests(spark, sf_dir), fx.StubClient, "v1", folder=folder)
     rows = spark.read.parquet(report.location)
-    return rows.select("email_id", "sender", "intent", "is_spam", "priority")
+    return rows.select("email_id", "sender", "intent", "is_spam", "priority", rows.agg(F.count("*").alias("n")).scalar().alias("n_rows"))
 
 
 # Streams

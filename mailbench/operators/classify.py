@@ -13,12 +13,14 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mailbench.functions.replies import parse_llm_json, response_schema, validate_llm
 from mailbench.functions.text import PROMPT_V1_CHARS, llm_prompt_v1, llm_prompt_v2, prefix
@@ -134,9 +136,12 @@ def _ask(client, variant: Variant, key, prompt: str) -> dict:
     return outcome
 
 
-def _call_column(open_client: Callable[[], Any], variant: Variant, key: Column, prompt: Column) -> Column:
+def _call_column(open_client: Callable[[], Any], variant: Variant, key: Column, prompt: Column,
+                 whole: bool, calls_per_task: int) -> Column:
     """Call outcome as a column; a null prompt is not sent.
 
+    Keys travel as text, since a null among numbers would make floats of all; ``whole`` ones are numbers
+    again for the client.  ``calls_per_task`` calls are in flight at a time, by one client, in a batch's order.
     Only key and prompt go to Python.  The function is marked nondeterministic so that
     no plan rewrite duplicates it or moves a filter across it.
     """
@@ -145,26 +150,35 @@ def _call_column(open_client: Callable[[], Any], variant: Variant, key: Column,
         client = open_client()
         unasked = {"reply": None, "attempts": 0, "error": None, "latency_sec": None}
         for keys, prompts in batches:
-            rows = [
-                unasked if prompt is None else _ask(client, variant, key, prompt)
-                for key, prompt in zip(keys, prompts)
-            ]
+            def ask(key, prompt):
+                if prompt is None:
+                    return unasked
+                return _ask(client, variant, int(key) if whole and key is not None else key, prompt)
+
+            if calls_per_task == 1:
+                rows = [ask(*pair) for pair in zip(keys, prompts)]
+            else:
+                with ThreadPoolExecutor(calls_per_task) as pool:
+                    rows = list(pool.map(ask, keys, prompts))
             yield pd.DataFrame(rows, columns=["reply", "attempts", "error", "latency_sec"])
 
-    return F.pandas_udf(calls, CALL).asNondeterministic()(key, prompt)
+    return F.pandas_udf(calls, CALL).asNondeterministic()(key.cast("string"), prompt)
 
 
 def classify_llm(df: DataFrame, open_client: Callable[[], Any], variant: str = "v1",
                  guard: str | None = None, subject: str = "subject", body: str = "body",
-                 key: str = "email_id") -> DataFrame:
+                 key: str = "email_id", calls_per_task: int = 1) -> DataFrame:
     """``df`` with the record ``res`` of each e-mail and how it was come by.
 
     Adds reply, attempts, error, violations of the record's rules, res, and latency_sec
     where the variant reports it.  A record with violations is reported as it came.
     With a ``guard``, e-mails without body are not sent: ``'record'`` gives them the
     empty record, ``'error'`` a null record and an error.  The result costs calls: stage
-    it before using it more than once.
+    it before using it more than once.  A task has ``calls_per_task`` calls in flight, so a client
+    must stand being used from as many threads.
     """
+    if calls_per_task < 1:
+        raise ValueError("calls_per_task must be positive")
     how = VARIANTS[variant]
     subject_text = F.coalesce(F.col(subject), F.lit("")) if subject in df.columns else F.lit("")
     body_text = F.coalesce(F.col(body), F.lit(""))
@@ -173,7 +187,8 @@ def classify_llm(df: DataFrame, open_client: Callable[[], Any], variant: str = "
     if guard:
         prompt = F.when(~empty, prompt)
 
-    asked = df.select("*", _call_column(open_client, how, F.col(key), prompt).alias("call"))
+    asked = df.select("*", _call_column(
+        open_client, how, F.col(key), prompt, isinstance(df.schema[key].dataType, T.IntegralType), calls_per_task).alias("call"))
     answered = asked.select("*", F.col("call.reply").alias("reply"))
     typed = validate_llm(parse_llm_json(answered, out="typed", schema=how.fields),
                          record="typed", rules=how.rules)
@@ -204,11 +219,11 @@ def classify_llm(df: DataFrame, open_client: Callable[[], Any], variant: str = "
 
 
 def classify_llm_spam(df: DataFrame, open_client: Callable[[], Any], text: str = "text",
-                      key: str = "email_id") -> DataFrame:
+                      key: str = "email_id", calls_per_task: int = 1) -> DataFrame:
     """Five-field classification of the bare text, one attempt."""
-    return classify_llm(df, open_client, "spam", body=text, key=key)
+    return classify_llm(df, open_client, "spam", body=text, key=key, calls_per_task=calls_per_task)
 
 
 def with_concurrency(df: DataFrame, n: int = 5) -> DataFrame:
-    """At most ``n`` calls in flight: one per partition."""
+    """At most ``n`` tasks that call; with ``calls_per_task`` calls each."""
     return df.repartition(n)

@@ -55,8 +55,14 @@ def long_predictions(scored: DataFrame, names: Sequence[str], keep: Sequence[str
     return scored.select(*keep, F.inline(rows))
 
 
+def vote_sums(scored: DataFrame, names: Sequence[str], key: str = "email_id") -> DataFrame:
+    """Spam votes and all votes per e-mail, from the predictions in its row.  No shuffle."""
+    spam = reduce(add, [text_to_label(label) for label in labels_of(names)])
+    return scored.select(key, spam.cast("long").alias("spam_votes"), F.lit(len(names)).cast("long").alias("votes"))
+
+
 def vote_counts(long: DataFrame, key: str = "email_id") -> DataFrame:
-    """Spam votes and all votes per e-mail, from one row per e-mail and model."""
+    """:func:`vote_sums` of input that arrives with one row per e-mail and model."""
     return long.groupBy(key).agg(
         F.count_if(F.col("predicted") == SPAM).alias("spam_votes"),
         F.count("*").alias("votes"),

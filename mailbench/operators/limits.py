@@ -1,95 +1,157 @@
 """Limits and samples, all in an explicit order.
 
-Every operator here finds the key of the last row wanted and then filters on that
-key.  Only keys are ever sorted: the wide rows stay where they are, and on a plain
-key column the comparison reaches the file scan.  Put limits on a source or on a
-staged table, not behind model calls, since the input is read twice.
+Every operator here finds the key of the last row wanted and then filters on that key.
+The key is found by narrowing, in the same way for every n: quantiles of all keys give a
+range that surely holds the rank, quantiles within that range a smaller one, until few
+keys are left to be counted one by one.  Each step is one aggregation over the key column that is
+combined before it is shuffled and gives the driver one row of a fixed size, so nothing is sorted and no task
+receives n rows.  The steps run when the operator is called; what it returns is a
+plain comparison with a constant, which for a bare key column reaches the file scan.  Put limits on a source
+or on a staged table, not behind model calls, since the keys are read several times.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from math import ceil, floor
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from mailbench.session import stage
-
-# Up to this many keys are ranked by one task, which gets as many from each partition;
-# more are ranked by a distributed sort.
-TOP_KEYS = 2_000
-
-
-def _nth_key(df: DataFrame, key: Column, n: int, last: bool = False) -> Column:
-    """The ``n``-th smallest (``last``: largest) key, the extreme one if there are fewer, null if none."""
-    keys = df.select(key.alias("k"))
-    order = F.col("k").desc() if last else F.col("k").asc()
-    if n <= TOP_KEYS:
-        extreme = F.min("k") if last else F.max("k")
-        return keys.orderBy(order).limit(n).agg(extreme).scalar()
-
-    # Sort across the cluster, count per partition, and pick one row of one partition.
-    ranked = stage(
-        keys.orderBy(order).select(
-            "k", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("pos")
-        ),
-        "ranked-keys",
-    )
-    counts = ranked.groupBy("part").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
-    before = 0
-    part, offset = None, None
-    for row in sorted(counts.collect(), key=lambda r: r["part"]):  # one row per sort partition
-        part, offset = row["part"], row["first"] + min(n - before, row["n"]) - 1
-        before += row["n"]
-        if before >= n:
+STEPS = 256  # quantiles of a range; the error of one is a tenth of a step
+MARGIN = 1  # step on either side of the rank
+FEW = 4096  # codes that are counted one by one
+_LEAST, _MOST = -(1 << 63), (1 << 63) - 1
+_PREFIX_BYTES = 6  # quantiles are exact up to 53 bits
+
+
+def _common_prefix(df: DataFrame, key: Column) -> int:
+    """Characters that all keys begin with: those that the first and the last share."""
+    first, last = df.agg(F.min(key), F.max(key)).first()
+    pairs = zip(first or "", last or "")
+    return next((i for i, (a, b) in enumerate(pairs) if a != b), min(len(first or ""), len(last or "")))
+
+
+def _code(df: DataFrame, key: str) -> Column:
+    """A long that never falls while the key rises; nulls come after all others."""
+    column = F.col(key)
+    if isinstance(df.schema[key].dataType, T.IntegralType):
+        code = column.cast("long")
+    else:
+        text = column.cast("string")
+        rest = F.substring(text, _common_prefix(df, text) + 1, _PREFIX_BYTES)
+        digits = 2 * _PREFIX_BYTES
+        code = F.conv(F.rpad(F.substring(F.hex(rest), 1, digits), digits, "0"), 16, 10).cast("long")
+    return F.coalesce(code, F.lit(_MOST - 1))  # the outermost numbers are ends of ranges
+
+
+def _cut(codes: DataFrame, n: int) -> tuple[int, int]:
+    """The code of the row of rank ``n`` and how many rows of that code are wanted; the last code if there are fewer."""
+    code = F.col("code")
+    low, high, tried = _LEAST, _MOST, None  # the range is above `low`, up to `high`
+    while True:
+        inside = (code > low) & (code <= high)
+        row = codes.agg(
+            F.count_if(code <= low).alias("before"), F.count_if(inside).alias("total"),
+            F.min(F.when(inside, code)).alias("least"), F.max(F.when(inside, code)).alias("most"),
+            F.percentile_approx(F.when(inside, code), [i / STEPS for i in range(STEPS + 1)], 10 * STEPS).alias("at"),
+        ).first()
+        if not row["total"]:
+            return _LEAST, 0
+        if row["least"] == row["most"]:
+            return row["most"], n - row["before"]
+        if row["total"] <= FEW or (low, high) == tried:
             break
-    if part is None:
-        return F.lit(None).cast(keys.schema["k"].dataType)
-    return ranked.filter((F.col("part") == part) & (F.col("pos") == offset)).select("k").scalar()
+        tried = low, high
+        place = (n - row["before"]) * STEPS / row["total"]
+        # Quantiles pass through doubles: step outwards by what those may be off.
+        if floor(place) - MARGIN >= 0:
+            low = max(low, (q := row["at"][floor(place) - MARGIN]) - 1 - (abs(q) >> 50))
+        if ceil(place) + MARGIN <= STEPS:
+            high = min(high, (q := row["at"][ceil(place) + MARGIN]) + (abs(q) >> 50))
+    upto = F.sum("n").over(Window.orderBy("code").rowsBetween(Window.unboundedPreceding, 0))
+    counts = codes.where(inside).groupBy("code").agg(F.count("*").alias("n")).select("code", "n", upto.alias("upto"))
+    here = F.struct("code", (F.lit(n - row["before"]) - F.col("upto") + F.col("n")).alias("quota"))
+    found = counts.agg(F.coalesce(F.min(F.when(F.col("upto") >= n - row["before"], here)), F.max(F.struct("code", F.col("n").alias("quota"))))).first()[0]
+    return found[0], found[1]
+
+
+def _first(df: DataFrame, n: int, code: Column, exact: Sequence[Column], plain: Column | None = None) -> DataFrame:
+    """The ``n`` first rows by ``code`` and, among rows of the last code, by ``exact``.
+
+    ``plain`` is the bare key where the code is its value: comparisons with it reach the scan.
+    """
+    cut, quota = _cut(df.select(code.alias("code")), n)
+    nth = F.row_number().over(Window.orderBy(*exact))
+    last = df.where(code == cut).withColumn("_nth", nth).where(F.col("_nth") <= quota).drop("_nth")
+    return df.where((code if plain is None else plain) < cut).union(last)
+
+
+def _bare(df: DataFrame, key: str) -> Column | None:
+    return F.col(key) if isinstance(df.schema[key].dataType, T.IntegralType) else None
 
 
 def limit_rows(df: DataFrame, n: int | None, key: str = "email_id") -> DataFrame:
     """First ``n`` rows by ``key``; all rows for None and 0; all but the last ``-n`` if negative.
 
-    ``key`` must be unique and not null.
+    Null keys come last.  Of rows with the last key wanted as many are taken as are wanted.
     """
     if not n:
         return df
-    column = F.col(key)
+    column, code = F.col(key), _code(df, key)
     if n > 0:
-        return df.filter(column <= _nth_key(df, column, n))
-    return df.filter(column < _nth_key(df, column, -n, last=True))
+        return _first(df, n, code, [column.asc_nulls_last()], _bare(df, key))
+    # What goes are the first rows in the opposite order.
+    cut, gone = _cut(df.select(F.bitwise_not(code).alias("code")), -n)
+    cut = ~cut
+    nth = F.row_number().over(Window.orderBy(column.desc_nulls_first()))
+    ties = df.where(code == cut).withColumn("_nth", nth).where(F.col("_nth") > gone).drop("_nth")
+    plain = _bare(df, key)
+    return df.where((code if plain is None else plain) < cut).union(ties)
 
 
-def sample_rows(df: DataFrame, n: int, seed: int | str = 0, key: str = "email_id") -> DataFrame:
-    """``n`` rows drawn without replacement, or all if there are fewer.
+def sample_rows(df: DataFrame, n: int | None, seed: int | str = 0, key: str = "email_id") -> DataFrame:
+    """``n`` rows drawn without replacement, or all if there are fewer or ``n`` is None.
 
     Rows are ordered by a hash of seed and key: the same seed gives the same sample
     whatever the partitioning.
     """
+    if n is None:
+        return df
     if n < 0:
         raise ValueError("sample size must not be negative")
     if n == 0:
         return df.limit(0)
     drawn = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
-    rank = F.struct(drawn.alias("h"), F.col(key).alias("key"))
-    return df.filter(rank <= _nth_key(df, rank, n))
+    code = F.conv(F.substring(drawn, 1, 13), 16, 10).cast("long")
+    return _first(df, n, code, [drawn.asc(), F.col(key).asc_nulls_last()])
 
 
 def head_by_class(
     df: DataFrame,
-    n: int = 100,
+    n: int | None = 100,
     class_order: Sequence[int] = (1, 0),
     key: str = "path",
     label: str = "label",
 ) -> DataFrame:
-    """First ``n`` rows, taking whole classes in ``class_order`` and keys in order within one.
+    """First ``n`` rows (None: all), taking whole classes in ``class_order`` and keys in order within one.
 
     If the first class has ``n`` rows, the result holds that class only.
     """
-    if n <= 0:
+    if n is not None and n <= 0:
         raise ValueError("n must be positive")
-    place = F.array_position(F.array(*[F.lit(c) for c in class_order]), F.col(label))
-    known = df.filter(place > 0)
-    rank = F.struct(place.alias("place"), F.col(key).alias("key"))
-    return known.filter(rank <= _nth_key(known, rank, n))
+    known = df.where(F.col(label).isin(list(class_order)))
+    if n is None:
+        return known
+    sizes = dict(map(tuple, known.groupBy(label).count().collect()))  # a row per class asked for
+    taken = [df.limit(0)]
+    for value in class_order:
+        own = df.where(F.col(label) == value)
+        size = sizes.get(value, 0)
+        taken.append(own if size <= n else _first(own, n, _code(own, key), [F.col(key).asc_nulls_last()], _bare(df, key)))
+        n -= min(n, size)
+        if not n:
+            break
+    return reduce(DataFrame.union, taken[1:])

@@ -15,8 +15,9 @@ LATENCY_DIGITS = 3
 
 def confusion(df: DataFrame, by: Sequence[str] = ("model", "ordinal"), pred: str = "pred",
               truth: str = "label") -> DataFrame:
-    """n, tp, fp, fn, tn per group; 1 is the positive class."""
-    said, was = F.col(pred) == 1, F.col(truth) == 1
+    """n, tp, fp, fn, tn per group; 1 is the positive class.  A row without truth ends the job."""
+    said = F.col(pred) == 1
+    was = F.coalesce(F.col(truth) == 1, F.raise_error(F.lit(f"a row has no {truth}")).cast("boolean"))
     return df.groupBy(*by).agg(
         F.count("*").alias("n"),
         F.count_if(said & was).alias("tp"),

@@ -117,7 +117,8 @@ class BatchScorer(Scorer):
 
             return predict
 
-        self._udf = predict_batch_udf(make_predict_fn, return_type=DECISION, batch_size=batch_size)
+        # Not deterministic, so that no filter on its result is pushed down as a second run of the model.
+        self._udf = predict_batch_udf(make_predict_fn, return_type=DECISION, batch_size=batch_size).asNondeterministic()
 
     def raw(self, text: Column) -> Column:
         return self._udf(F.coalesce(text, F.lit("")))

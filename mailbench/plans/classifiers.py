@@ -22,6 +22,8 @@ from mailbench.session import stage
 from mailbench.sources.files import list_mail_paths
 from mailbench.sources.mail import read_mail
 
+# Fixed value: files that the described service samples from an archive; pass it as ``sample``.
+ARCHIVE_SAMPLE = 200
 ARCHIVE_NOTE = "labels come from keywords, so the metrics are approximate"
 
 
@@ -38,9 +40,21 @@ def _names(scorers: Sequence[Scorer]) -> list[str]:
 
 
 def score_composed(df: DataFrame, scorers: Sequence[Scorer], key: str = "email_id",
-                   null_as: str = "") -> DataFrame:
-    """Key, composed text, label and one prediction per scorer."""
-    return score_all(df.select(key, compose_for(df, null_as).alias("text"), "label"), scorers)
+                   null_as: str = "", labels: DataFrame | None = None) -> DataFrame:
+    """Key, composed text, label and one prediction per scorer.
+
+    With ``labels``, a table of key and label, texts are scored where they are read and meet
+    their label after; columns that nothing uses are not shuffled.
+    """
+    text = compose_for(df, null_as).alias("text")
+    if labels is None:
+        return score_all(df.select(key, text, "label"), scorers)
+    return score_all(df.select(key, text), scorers).join(labels.select(key, "label"), key)
+
+
+def _labelled(df: DataFrame, labels: DataFrame | None, key: str, only: bool) -> DataFrame:
+    """Texts that have a label, found by keys alone: for models dearer than a join."""
+    return df if labels is None or not only else df.join(labels.select(key), key, "left_semi")
 
 
 def _said(scored: DataFrame, names: Sequence[str], *keep: str) -> DataFrame:
@@ -91,22 +105,29 @@ def details_of(scored: DataFrame, scorers: Sequence[Scorer], key: str = "email_i
     )
 
 
-def detailed_results(df: DataFrame, scorers: Sequence[Scorer], key: str = "email_id") -> DataFrame:
-    return details_of(score_composed(df, scorers, key), scorers, key)
+def detailed_results(df: DataFrame, scorers: Sequence[Scorer], key: str = "email_id",
+                     labels: DataFrame | None = None, only_labelled: bool = False) -> DataFrame:
+    """:func:`details_of` the composed texts; labels in ``df``, or in a table of their own."""
+    return details_of(score_composed(_labelled(df, labels, key, only_labelled), scorers, key, labels=labels), scorers, key)
 
 
 def benchmark(df: DataFrame, scorers: Sequence[Scorer], limit: int | None = None,
               detailed: bool = False, key: str = "email_id",
-              summary_models: Sequence[str] | None = None, null_as: str = "") -> Benchmark:
+              summary_models: Sequence[str] | None = None, null_as: str = "",
+              labels: DataFrame | None = None, only_labelled: bool = False) -> Benchmark:
     """Score the composed texts and compare with the labels.
 
     ``summary_models`` restricts the metrics; details cover every scorer.  The input is
     read and each text scored once per model, here: scores that details will need are
     staged first, and the few metrics rows are stored for all that refers to them.
+    ``labels`` may be a table of its own; ``only_labelled`` then keeps unlabelled texts from
+    being scored, at the price of shuffling texts by key if the labels are too many to broadcast.
+    A ``limit`` counts labelled texts.
     """
     measured = [s for s in scorers if summary_models is None or s.name in summary_models]
     used = scorers if detailed else measured
-    scored = score_composed(limit_rows(df, limit, key), used, key, null_as)
+    chosen = limit_rows(_labelled(df, labels, key, only_labelled or bool(limit)), limit, key)
+    scored = score_composed(chosen, used, key, null_as, labels)
     if detailed:
         scored = stage(scored, "scored")
     metrics = stage(metrics_of(scored, measured), "metrics")
@@ -114,22 +135,25 @@ def benchmark(df: DataFrame, scorers: Sequence[Scorer], limit: int | None = None
     return Benchmark(metrics, summary_record(metrics), details)
 
 
-def archive_dataset(spark: SparkSession, root: str, sample: int = 200, seed: int | str = 0) -> DataFrame:
-    """``path, from, subject, text, label`` of sampled mail files.
+def archive_dataset(spark: SparkSession, root: str | DataFrame, sample: int | None = None,
+                    seed: int | str = 0) -> DataFrame:
+    """``path, from, subject, text, label`` of the mail files below ``root``, or of ``sample`` of them.
 
-    Paths are sampled before any file is opened; mails that do not parse or are too
+    ``root`` may also be a table with a column ``path``, such as a bucket inventory; then nothing
+    is listed.  Paths are sampled before any file is opened; mails that do not parse or are too
     short are dropped after, so fewer rows than ``sample`` may remain.
     """
-    paths = sample_rows(list_mail_paths(spark, root), sample, seed, key="path")
+    listed = root.select("path") if isinstance(root, DataFrame) else list_mail_paths(spark, root)
+    paths = sample_rows(listed, sample, seed, key="path")
     mails = min_length_filter(read_mail(paths))
     return mails.select("*", heuristic_label(F.col("text")).alias("label"))
 
 
-def benchmark_archive(spark: SparkSession, root: str, scorers: Sequence[Scorer], sample: int = 200,
+def benchmark_archive(spark: SparkSession, root: str | DataFrame, scorers: Sequence[Scorer], sample: int | None = None,
                       seed: int | str = 0, detailed: bool = True,
                       summary_models: Sequence[str] | None = None,
                       dataset: str = "mail archive (keyword labels)") -> Benchmark:
-    """:func:`benchmark` over a sampled mail archive labelled by keywords.
+    """:func:`benchmark` over a mail archive, or a sample of it, labelled by keywords.
 
     By default the second scorer alone is summarised (the first, if there is but one)
     and the details cover all of them.
@@ -154,7 +178,10 @@ def predict(df: DataFrame, scorers: Sequence[Scorer], text: str = "text", key: s
     )
 
 
-def benchmark_single(df: DataFrame, scorer: Scorer, text: str = "text", null_as: str = "") -> DataFrame:
-    """Metrics of one model over the raw text."""
+def benchmark_single(df: DataFrame, scorer: Scorer, text: str = "text", null_as: str = "",
+                     labels: DataFrame | None = None, key: str = "email_id") -> DataFrame:
+    """Metrics of one model over the raw text; labels in ``df``, or in a table of their own."""
     raw = F.coalesce(text, F.lit(null_as)).alias("text")
-    return metrics_of(score_all(df.select(raw, "label"), [scorer]), [scorer])
+    if labels is None:
+        return metrics_of(score_all(df.select(raw, "label"), [scorer]), [scorer])
+    return metrics_of(score_all(df.select(key, raw), [scorer]).join(labels.select(key, "label"), key), [scorer])

@@ -19,7 +19,7 @@ from mailbench.session import stage
 from mailbench.sinks.reports import write_report
 from mailbench.sources.mail import class_paths, read_class_folders
 
-# Rows compared, and e-mails of a corpus classified, by default.
+# Rows compared, and e-mails of a corpus classified, by the described service.
 COMPARED = 20
 CORPUS = 100
 
@@ -34,10 +34,10 @@ class Report(NamedTuple):
 
 
 def _answer(df: DataFrame, open_client: Callable[[], Any], variant: str, guard: str | None,
-            concurrency: int | None, key: str) -> DataFrame:
+            concurrency: int | None, key: str, calls_per_task: int) -> DataFrame:
     """Make the calls, once, and store what they gave; of bodies only the preview is kept."""
     spread = df if concurrency is None else with_concurrency(df, concurrency)
-    answered = classify_llm(spread, open_client, variant, guard, key=key)
+    answered = classify_llm(spread, open_client, variant, guard, key=key, calls_per_task=calls_per_task)
     preview = prefix(F.coalesce("body", F.lit("")), PREVIEW_CHARS)
     return stage(answered.withColumn("body", preview), f"answers-{variant}")
 
@@ -53,15 +53,16 @@ def _report(answered: DataFrame, rows: DataFrame, summary: DataFrame, folder: st
 
 def analyze_bulk(df: DataFrame, open_client: Callable[[], Any], variant: str = "v1",
                  concurrency: int | None = None, folder: str | None = None, fmt: str = "parquet",
-                 key: str = "email_id", ordered: bool = False) -> Report:
+                 key: str = "email_id", ordered: bool = False, calls_per_task: int = 1) -> Report:
     """Classify EMAIL_IN rows and report on each.
 
     ``v1`` guards e-mails without body and counts; ``v2`` sends everything, reports
-    latencies and their mean.  Calls are bounded by ``concurrency`` if given.  The calls
+    latencies and their mean.  Calls are bounded by ``concurrency`` tasks, if given, of
+    ``calls_per_task`` calls each.  The calls
     are made here; rows, summary and calls read what was stored.  ``ordered`` writes the
     report in the order of the keys.
     """
-    answered = _answer(df, open_client, variant, "record" if variant == "v1" else None, concurrency, key)
+    answered = _answer(df, open_client, variant, "record" if variant == "v1" else None, concurrency, key, calls_per_task)
     rows = flatten_result(answered, f"bulk_{variant}", key)
     if variant == "v1":
         total = answered.agg(F.count("*").alias("total_emails"))
@@ -71,12 +72,12 @@ def analyze_bulk(df: DataFrame, open_client: Callable[[], Any], variant: str = "
 
 def benchmark_llm(df: DataFrame, open_client: Callable[[], Any], variant: str = "v1",
                   concurrency: int | None = None, folder: str | None = None, fmt: str = "parquet",
-                  key: str = "email_id", ordered: bool = False) -> Report:
+                  key: str = "email_id", ordered: bool = False, calls_per_task: int = 1) -> Report:
     """Classify labelled e-mails and compare with the labels; no guard.
 
     The summary has accuracy (null for no e-mails) and total_samples.
     """
-    answered = _answer(df, open_client, variant, None, concurrency, key)
+    answered = _answer(df, open_client, variant, None, concurrency, key, calls_per_task)
     rows = flatten_result(answered, "benchmark", key)
     counts = confusion(rows, by=[], pred="predicted", truth="actual")
     summary = counts.select(round_n(accuracy()).alias("accuracy"), F.col("n").alias("total_samples"))
@@ -84,8 +85,8 @@ def benchmark_llm(df: DataFrame, open_client: Callable[[], Any], variant: str =
 
 
 def benchmark_class_folders(spark: SparkSession, root: str, open_client: Callable[[], Any],
-                            variant: str = "v1", n: int = CORPUS, **options) -> Report:
-    """:func:`benchmark_llm` over the first ``n`` e-mails of a class-folder corpus.
+                            variant: str = "v1", n: int | None = None, **options) -> Report:
+    """:func:`benchmark_llm` over a class-folder corpus, or its first ``n`` e-mails.
 
     Paths are chosen before any file is opened; a chosen file that cannot be read is
     left out and not replaced.
@@ -96,7 +97,7 @@ def benchmark_class_folders(spark: SparkSession, root: str, open_client: Callabl
 
 
 def compare(df: DataFrame, scorer: Scorer, open_client: Callable[[], Any],
-            limit: int | None = COMPARED, key: str = "email_id", null_as: str = "") -> Report:
+            limit: int | None = None, key: str = "email_id", null_as: str = "") -> Report:
     """A classifier and a language model side by side over the raw text."""
     text = F.coalesce("text", F.lit(null_as)).alias("text")
     chosen = limit_rows(df, limit, key).select(key, text, "label")

@@ -9,9 +9,11 @@ hands the folders it has not entered to the next round, which spreads them again
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import islice
+from urllib.parse import quote, unquote_to_bytes
 
 import pandas as pd
 from pyarrow import fs
@@ -23,6 +25,33 @@ from mailbench.session import parallelism, stage
 LISTED_ROWS = 10_000
 WALKED_ENTRIES = 20_000
 CONTENT_BYTES = 32 << 20
+ATTEMPTS, PAUSE_SEC = 4, 1.0
+
+# Missing, forbidden or no folder at all: nothing that another attempt would find.
+PASSED_OVER = (FileNotFoundError, PermissionError, NotADirectoryError, IsADirectoryError)
+RAW = "raw-path:"
+
+
+def as_text(path: str) -> str:
+    """A path as valid text: names that are not UTF-8 are written as quoted bytes."""
+    try:
+        path.encode("utf-8")
+        return path
+    except UnicodeEncodeError:
+        return RAW + quote(os.fsencode(path))
+
+
+def attempted(action: Callable):
+    """The action's result; other errors than those above are tried again, then raised."""
+    for left in reversed(range(ATTEMPTS)):
+        try:
+            return action()
+        except PASSED_OVER:
+            raise
+        except OSError:
+            if not left:
+                raise
+            time.sleep(PAUSE_SEC * (ATTEMPTS - left))
 
 
 class Stores:
@@ -33,6 +62,8 @@ class Stores:
 
     def locate(self, path: str) -> tuple[fs.FileSystem | None, str]:
         """File system and path in it; None for a path of the mounted file tree."""
+        if path.startswith(RAW):
+            return None, os.fsdecode(unquote_to_bytes(path.removeprefix(RAW)))
         if path.startswith("file:"):
             return None, "/" + path.removeprefix("file:").lstrip("/")
         scheme, found, rest = path.partition("://")
@@ -69,19 +100,20 @@ class Stores:
         if store is None:
             with os.scandir(inside) as entries:
                 for entry in entries:
+                    name = as_text(f"{inside.rstrip('/') if base.startswith(RAW) else base}/{entry.name}")
                     if not entry.is_dir():
-                        yield f"{base}/{entry.name}", False
+                        yield name, False
                     elif not entry.is_symlink():
-                        yield f"{base}/{entry.name}", True
+                        yield name, True
         else:
             for info in store.get_file_info(fs.FileSelector(inside)):
                 yield f"{base}/{info.base_name}", info.type == fs.FileType.Directory
 
     def readable(self, folder: str) -> Iterator[tuple[str, bool]]:
-        """The children listed until the folder fails; none if it is missing."""
+        """The children; none if the folder is missing or forbidden.  Any other error ends the job, not the list."""
         try:
-            yield from self.children(folder)
-        except OSError:
+            yield from attempted(lambda: list(self.children(folder)))
+        except PASSED_OVER:
             return
 
 
@@ -93,13 +125,16 @@ def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for start in batch["path"]:
             waiting, share = [start], 0
             while waiting:
+                if share >= WALKED_ENTRIES:
+                    rows += [(path, True) for path in waiting]
+                    break
                 for path, is_folder in stores.readable(waiting.pop()):
                     share += 1
-                    if is_folder and share < WALKED_ENTRIES:
+                    if is_folder:
                         waiting.append(path)
                     else:
                         rows.append((path, is_folder))
-                    if len(rows) == LISTED_ROWS:
+                    if len(rows) >= LISTED_ROWS:
                         yield pd.DataFrame(rows, columns=["path", "is_folder"])
                         rows = []
     yield pd.DataFrame(rows, columns=["path", "is_folder"])
@@ -146,7 +181,7 @@ def list_mail_paths(spark: SparkSession, root: str) -> DataFrame:
 def open_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Task side: ``path`` to ``path, content``, in batches bounded by bytes.
 
-    Files that cannot be read are left out.
+    Files that are gone or forbidden are left out; other errors are tried again and then end the job.
     """
     stores = Stores()
     rows: list[tuple[str, bytes]] = []
@@ -154,8 +189,8 @@ def open_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for path in batch["path"]:
             try:
-                content = stores.read(path)
-            except OSError:
+                content = attempted(lambda: stores.read(path))
+            except PASSED_OVER:
                 continue
             rows.append((path, content))
             held += len(content)

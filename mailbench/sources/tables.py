@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +20,8 @@ def _raw_csv(spark: SparkSession, path: str, key: str | None, multi_line: bool)
     # No schema: Spark would bind it by position, and columns may come in any order.
     # Without column pruning every field of a row is counted, so that FAILFAST also
     # reports rows with a missing or an extra field when few columns are selected.
-    raw = spark.read.option("columnPruning", False).csv(
+    # Spark takes one file's header for all; with enforceSchema off, a file with another one fails.
+    raw = spark.read.option("columnPruning", False).option("enforceSchema", False).csv(
         path, header=True, multiLine=multi_line, escape='"', mode="FAILFAST"
     )
     for needed in ("text", "label"):
@@ -53,7 +56,7 @@ def _number(label: Column) -> Column:
     return label.try_cast("double").try_cast("int")
 
 
-def read_labeled_csv(spark: SparkSession, path: str, key: str | None = None,
+def read_labeled_csv(spark: SparkSession, path: str | Sequence[str], key: str | None = None,
                      strict: bool = True, multi_line: bool = True) -> DataFrame:
     """LABELED rows of CSV with a header naming ``text``, ``label``, optionally ``subject``, ``from``.
 
@@ -62,7 +65,14 @@ def read_labeled_csv(spark: SparkSession, path: str, key: str | None = None,
     become 0.  Large or many files need a ``key`` column; without one there must be a
     single file, and the key is the row number.  A file is one task as long as line ends
     may be quoted; ``multi_line=False`` lets Spark split files that have none.
+
+    The files of one folder must have the same header; a file that differs fails.  Several
+    paths may be given, with columns in any order: each is read by its own names.
     """
+    if not isinstance(path, str):
+        if key is None and len(path) > 1:
+            raise ValueError(f"{path}: read in several parts; name the key column")
+        return reduce(DataFrame.unionByName, [read_labeled_csv(spark, p, key, strict, multi_line) for p in path])
     raw = _raw_csv(spark, path, key, multi_line)
     number = _number(F.col("label"))
     if strict:
@@ -112,9 +122,22 @@ def emails_from_rows(df: DataFrame) -> DataFrame:
     return df.select("email_id", optional("sender"), optional("subject"), "body")
 
 
-def read_emails_json(spark: SparkSession, path: str) -> DataFrame:
-    """E-mail records, one JSON object per line, with defaults filled in."""
-    return emails_from_rows(spark.read.schema(EMAIL_IN).json(path))
+def read_emails_json(spark: SparkSession, path: str, key: str | None = "email_id", text_keys: bool = False) -> DataFrame:
+    """E-mail records, one JSON object per line, with defaults filled in.
+
+    ``key`` names the field that identifies a record, a number or, with ``text_keys``, any text;
+    a record without it ends the job.  With None the key is the file, the part of it and the row
+    in that part, which stays the same as long as the files and the split size do.
+    """
+    fields = ", ".join(f for f in EMAIL_IN.split(", ") if not f.startswith("email_id"))
+    if key is None:
+        raw = spark.read.schema(fields).json(path)
+        row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+        return emails_from_rows(raw.withColumn(
+            "email_id", F.concat_ws(":", "_metadata.file_path", "_metadata.file_block_start", row)))
+    raw = spark.read.schema(f"{fields}, `{key}` {'string' if text_keys else 'long'}").json(path)
+    missing = F.raise_error(F.lit(f"e-mail record without {key}")).cast("string" if text_keys else "long")
+    return emails_from_rows(raw.withColumn("email_id", F.coalesce(F.col(key), missing)))
 
 
 def read_texts_json(spark: SparkSession, path: str) -> DataFrame:

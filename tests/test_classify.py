@@ -1,4 +1,6 @@
 import json
+import threading
+import time
 
 import pytest
 
@@ -138,3 +140,30 @@ def test_wrong_types_become_null(mail):
     row = classify_llm(mail, lambda: Script({**RECORD, "is_spam": "yes", "intent": 3}), "v1").first()
     assert row.res.is_spam is None and row.res.intent is None and row.res.category == "work"
     assert row.violations == ["wrong_type"]
+
+
+class Overlapping:
+    """Counts how many calls are under way at once."""
+
+    def __init__(self):
+        self.lock, self.now, self.most = threading.Lock(), 0, 0
+
+    def send(self, request):
+        with self.lock:
+            self.now += 1
+            self.most = max(self.most, self.now)
+        time.sleep(0.05)
+        with self.lock:
+            self.now -= 1
+        return {"is_spam": False, "category": str(self.most), "intent": repr(request.key), "confidence": 0.5, "reason": None}
+
+
+def test_calls_in_flight_and_intact_keys(spark):
+    keys = [9007199254740993, None, *range(10)]
+    df = spark.createDataFrame([(k, f"t{k}") for k in keys], "email_id long, text string").coalesce(1)
+    for width in (1, 4):
+        rows = classify_llm_spam(df, Overlapping, calls_per_task=width).collect()
+        assert [r.email_id for r in rows] == keys and [r.res.intent for r in rows] == [repr(k) for k in keys]
+        assert max(int(r.res.category) for r in rows) == width
+    with pytest.raises(ValueError):
+        classify_llm_spam(df, Overlapping, calls_per_task=0)

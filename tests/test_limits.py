@@ -2,7 +2,6 @@ import hashlib
 
 import pytest
 
-from mailbench.operators import limits
 from mailbench.operators.limits import head_by_class, limit_rows, sample_rows
 
 
@@ -11,12 +10,6 @@ def five(spark):
     return spark.createDataFrame([(i,) for i in (3, 1, 5, 2, 4)], "email_id long").repartition(3)
 
 
-@pytest.fixture(params=["ranked in one task", "ranked by a distributed sort"])
-def both_ways(request, monkeypatch):
-    if "sort" in request.param:
-        monkeypatch.setattr(limits, "TOP_KEYS", 0)
-
-
 def ids(df, column="email_id"):
     return sorted(r[column] for r in df.collect())
 
@@ -25,22 +18,22 @@ def ids(df, column="email_id"):
     (None, [1, 2, 3, 4, 5]), (0, [1, 2, 3, 4, 5]), (2, [1, 2]), (-2, [1, 2, 3]), (9, [1, 2, 3, 4, 5]),
     (-9, []), (-5, []), (5, [1, 2, 3, 4, 5]), (1, [1]), (-1, [1, 2, 3, 4]),
 ])
-def test_limit_rows(five, n, expected, both_ways):
+def test_limit_rows(five, n, expected):
     assert ids(limit_rows(five, n)) == expected
 
 
-def test_limit_of_nothing(five, both_ways):
+def test_limit_of_nothing(five):
     empty = five.filter("email_id > 9")
     assert ids(limit_rows(empty, 3)) == [] and ids(limit_rows(empty, -3)) == []
 
 
-def test_limit_over_many_partitions(spark, both_ways):
+def test_limit_over_many_partitions(spark):
     df = spark.range(1000).selectExpr("(id * 7919) % 1000 AS email_id").repartition(7)
     assert ids(limit_rows(df, 613)) == list(range(613))
     assert ids(limit_rows(df, -613)) == list(range(387))
 
 
-def test_sample_matches_hash_order(spark, both_ways):
+def test_sample_matches_hash_order(spark):
     df = spark.range(100).withColumnRenamed("id", "email_id")
     order = sorted(range(100), key=lambda i: (hashlib.md5(f"7:{i}".encode()).hexdigest(), i))
     assert ids(sample_rows(df, 10, seed=7)) == sorted(order[:10])
@@ -58,7 +51,7 @@ def test_sample_sizes(five):
 @pytest.mark.parametrize("n, expected", [
     (3, ["s1", "s2", "s3"]), (4, ["h1", "s1", "s2", "s3"]), (1, ["s1"]), (99, ["h1", "h2", "h3", "s1", "s2", "s3"]),
 ])
-def test_head_by_class(spark, n, expected, both_ways):
+def test_head_by_class(spark, n, expected):
     rows = [(f"{c}{i}", int(c == "s")) for c in "hs" for i in (3, 1, 2)] + [("other", 2)]
     df = spark.createDataFrame(rows, "path string, label int")
     assert ids(head_by_class(df, n), "path") == expected
@@ -69,8 +62,36 @@ def test_head_by_class_needs_a_positive_number(spark):
         head_by_class(spark.createDataFrame([("a", 1)], "path string, label int"), 0)
 
 
-def test_only_keys_are_ranked_and_the_cutoff_reaches_the_scan(spark, sf_dir):
+def test_the_cutoff_reaches_the_scan_and_no_task_gathers_n_rows(spark, sf_dir):
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    plan = limit_rows(documents, 5, key="doc_id")._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [IsNotNull(doc_id), LessThanOrEqual(doc_id,ScalarSubquery" in plan
-    assert "output=[k#" in plan or "[k#" in plan  # TakeOrderedAndProject over the key alone
+    plan = limit_rows(documents, 101, key="doc_id")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(doc_id), LessThan(doc_id," in plan
+    assert "TakeOrderedAndProject(limit=1," in plan and plan.count("TakeOrdered") == 1  # of the last key alone
+    assert "Sort" not in plan.replace("SortOrder", "").split("Union")[0]
+
+
+@pytest.mark.parametrize("n", [1, 2_001, 1_000_000])
+def test_one_path_for_every_size(spark, n):
+    df = spark.range(0, 1_200_000, numPartitions=8).selectExpr("(id * 7919) % 1200000 - 600000 AS email_id").cache()
+    first = limit_rows(df, n).agg({"*": "count", "email_id": "max"}).first()
+    assert (first["count(1)"], first["max(email_id)"]) == (n, n - 600_001)
+    assert limit_rows(df, -n).count() == 1_200_000 - n
+    assert sample_rows(df, n, seed=3).distinct().count() == n
+
+
+def test_null_and_repeated_keys_keep_the_count(spark):
+    df = spark.createDataFrame([(k,) for k in [None, None, 1, 1, 1, 2, 2, 3]], "email_id long")
+    for n in range(1, 10):
+        assert limit_rows(df, n).count() == min(n, 8) and limit_rows(df, -n).count() == max(8 - n, 0)
+        assert sample_rows(df, n).count() == min(n, 8)
+    texts = df.selectExpr("concat('common/', email_id) AS path", "1 AS label")
+    for n in range(1, 10):
+        assert head_by_class(texts, n).count() == min(n, 8) and limit_rows(texts, n, "path").count() == min(n, 8)
+    assert ids(limit_rows(df, 4)) == [1, 1, 1, 2] and ids(limit_rows(df, -5)) == [1, 1, 1]
+
+
+def test_none_takes_everything_unranked(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 0), ("c", 7)], "path string, label int")
+    for all_ in (sample_rows(df, None, key="path"), head_by_class(df, None), limit_rows(df, None, "path")):
+        assert "Window" not in all_._jdf.queryExecution().executedPlan().toString()
+    assert ids(head_by_class(df, None), "path") == ["a", "b"]

@@ -78,3 +78,9 @@ def test_counts_add_up_whatever_the_partitioning(spark):
     assert row.precision == pytest.approx(precision, abs=1e-4)
     assert df.select(F.avg((F.col("pred") == F.col("label")).cast("int"))).first()[0] == pytest.approx(
         row.accuracy, abs=1e-4)
+
+
+def test_rows_without_truth_are_not_counted_silently(spark):
+    df = spark.createDataFrame([(1, 1), (0, None)], "pred int, label int")
+    with pytest.raises(Exception, match="no label"):
+        confusion(df, by=[]).collect()

@@ -172,7 +172,7 @@ def test_class_folder_benchmark(spark, tmp_path):
 
 
 def test_compare_columns_and_default_limit(mail):
-    report = structured.compare(mail, fx.native_scorers()[0], fx.StubClient)
+    report = structured.compare(mail, fx.native_scorers()[0], fx.StubClient, structured.COMPARED)
     assert report.rows.columns[1:] == [
         "text", "true_label", "ml_prediction", "ml_correct", "llm_prediction", "llm_correct",
         "llm_category", "llm_intent", "llm_confidence", "llm_reason"]

@@ -2,11 +2,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mailbench.catalog.fixtures import batch_scorer, native_scorers
+from mailbench.catalog.fixtures import batch_scorer, load_word_model, native_scorers
 from mailbench.functions.decisions import round_n, softmax_decide
-from mailbench.operators.ensemble import ensemble_vote, long_predictions, models_map, vote_counts
+from mailbench.operators.ensemble import ensemble_vote, long_predictions, models_map, vote_counts, vote_sums
 from mailbench.operators.guards import EMPTY_RECORD, empty_guard, is_empty
 from mailbench.operators.scorers import BatchScorer, NativeScorer, score_all, score_transformer
+from mailbench.plans.classifiers import benchmark, benchmark_single, detailed_results, predict
 
 
 @pytest.mark.parametrize("logits, label, confidence", [
@@ -110,6 +111,60 @@ def test_batched_model_is_called_once_per_text_in_the_plan(spark):
     assert plan.count("ArrowEvalPython") == 1
 
 
+def test_filters_on_predictions_do_not_run_the_model_again(spark, tmp_path):
+    """30 calls for 30 texts, whatever is filtered on."""
+    calls = str(tmp_path / "calls")
+
+    def load(max_tokens):
+        model = load_word_model(max_tokens)
+
+        def counted(texts):
+            with open(calls, "a") as out:
+                out.write("x" * len(texts))
+            return model(texts)
+
+        return counted
+
+    df = spark.createDataFrame([(i, "s", "t", "scum" if i % 3 else "fine", i % 2) for i in range(30)],
+                               "email_id long, sender string, subject string, text string, label int").coalesce(1)
+    scorers = [BatchScorer("model", load)]
+    for found in (predict(df, scorers).filter("final_prediction = 'spam'"), detailed_results(df, scorers).filter("NOT ensemble_correct"),
+                  score_transformer(df, "text", load).filter("model.label = 'spam'")):
+        found.collect()
+        with open(calls) as done:
+            assert len(done.read()) == 30
+        open(calls, "w").close()
+
+
+def test_labels_meet_answers_not_texts(spark):
+    rows = [(i, "s", "t", "scum " * (i % 3), i % 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "email_id long, sender string, subject string, text string, label int")
+    labels, texts = df.select("email_id", "label").where("email_id < 35"), df.drop("label")
+    both = df.where("email_id < 35")
+    want = benchmark(both, native_scorers()).metrics.orderBy("model").collect()
+    assert benchmark(texts, native_scorers(), labels=labels).metrics.orderBy("model").collect() == want
+    assert benchmark(texts, native_scorers(), labels=labels, only_labelled=True).metrics.orderBy("model").collect() == want
+    assert benchmark(texts, native_scorers(), 10, labels=labels).summary.first().dataset_size == 10
+    assert sorted(map(str, detailed_results(texts, native_scorers(), labels=labels).collect())) == sorted(map(str, detailed_results(both, native_scorers()).collect()))
+    single = benchmark_single(texts, native_scorers()[0], labels=labels)
+    assert single.collect() == benchmark_single(both, native_scorers()[0]).collect()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = benchmark_single(texts.repartition(3), native_scorers()[0], labels=labels)._jdf.queryExecution().executedPlan().toString()
+        join = plan[plan.index("SortMergeJoin"):]
+        exchanged = [line for line in join.split("\n") if "Exchange hashpartitioning" in line]
+        assert exchanged and plan.index("SortMergeJoin") < plan.index("text#")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_vote_sums_need_no_shuffle(spark):
+    df = spark.createDataFrame([(1, "trash moron"), (2, "x")], "email_id long, text string")
+    votes = vote_sums(score_all(df, native_scorers()), ["m1", "m2", "m3"])
+    assert sorted(map(tuple, votes.collect())) == [(1, 3, 3), (2, 0, 3)]
+    assert "Exchange" not in votes._jdf.queryExecution().executedPlan().toString()
+
+
 def test_map_and_votes(spark):
     df = spark.createDataFrame([(1, "trash moron"), (2, "x")], "email_id long, text string")
     names = ["m1", "m2", "m3"]

@@ -1,6 +1,7 @@
 import os
 from datetime import datetime
 
+import pandas as pd
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from py4j.protocol import Py4JJavaError
 
 from mailbench.catalog.fixtures import native_scorers
 from mailbench.operators.scorers import score_all
+from mailbench.plans.classifiers import archive_dataset
 from mailbench.sinks import write_json, write_report
 from mailbench.sources import (
     emails_from_rows,
@@ -269,3 +271,75 @@ def test_object_store_paths(tmp_path):
         stores.read("s3a://bucket/none")
     stores.write("s3a://bucket/out/2.", b"two")
     assert (tmp_path / "bucket/out/2.").read_bytes() == b"two"
+
+
+# Listing and reading that lose nothing
+
+
+def test_a_task_hands_on_what_it_has_not_entered(spark, tmp_path, monkeypatch):
+    for folder in range(5):
+        (tmp_path / f"d{folder}").mkdir()
+        for name in range(10):
+            (tmp_path / f"d{folder}" / f"{name}").write_text("x")
+    monkeypatch.setattr(files_module, "WALKED_ENTRIES", 6)
+    first = pd.concat(files_module._list_folders(iter([pd.DataFrame({"path": [str(tmp_path)]})])))
+    assert (~first.is_folder.astype(bool)).sum() <= 10 and first.is_folder.astype(bool).sum() == 4
+    assert list_mail_paths(spark, str(tmp_path)).count() == 50
+
+
+def test_names_that_are_not_utf8(spark, tmp_path):
+    folder = os.fsencode(str(tmp_path)) + b"/caf\xe9"
+    os.mkdir(folder)
+    for name in (b"/a%41", b"/\xff", "/é".encode()):
+        with open(folder + name, "wb") as out:
+            out.write(name)
+    (tmp_path / "plain").write_text("p")
+    paths = list_mail_paths(spark, str(tmp_path))
+    assert sorted(bytes(r.content) for r in read_files(paths).collect()) == sorted([b"/a%41", b"/\xff", "/é".encode(), b"p"])
+
+
+def test_errors_are_tried_again_and_then_raised(monkeypatch):
+    monkeypatch.setattr(files_module, "PAUSE_SEC", 0)
+    left = [OSError("slow down"), OSError("slow down")]
+
+    def action():
+        if left:
+            raise left.pop()
+        return "read"
+
+    assert files_module.attempted(action) == "read"
+    left += [OSError("slow down")] * 9
+    with pytest.raises(OSError):
+        files_module.attempted(action)
+    with pytest.raises(FileNotFoundError):
+        files_module.attempted(lambda: open("/nowhere/at/all"))
+
+
+def test_csv_files_with_other_headers(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "b").mkdir()
+    (tmp_path / "a" / "1.csv").write_text("id,subject,text,label\n1,s1,t1,0\n")
+    (tmp_path / "b" / "2.csv").write_text("id,text,subject,label\n2,t2,s2,1\n")
+    for multi_line in (True, False):
+        both = read_labeled_csv(spark, [str(tmp_path / "a"), str(tmp_path / "b")], key="id", multi_line=multi_line)
+        assert sorted((r.email_id, r.subject, r.text) for r in both.collect()) == [(1, "s1", "t1"), (2, "s2", "t2")]
+        with pytest.raises(Exception):
+            read_labeled_csv(spark, str(tmp_path / "*"), key="id", multi_line=multi_line).collect()
+
+
+def test_keys_of_json_records(spark, tmp_path):
+    path = tmp_path / "r.json"
+    path.write_text('{"body": "x", "id": "k1"}\n{"body": "y"}\n')
+    derived = read_emails_json(spark, str(path), key=None).collect()
+    assert len({r.email_id for r in derived}) == 2 and all(r.email_id for r in derived)
+    with pytest.raises(Exception, match="without id"):
+        read_emails_json(spark, str(path), key="id", text_keys=True).collect()
+    path.write_text('{"body": "x", "id": "k1"}\n')
+    assert read_emails_json(spark, str(path), key="id", text_keys=True).first().email_id == "k1"
+
+
+def test_archive_from_a_table_of_paths(spark, tmp_path):
+    (tmp_path / "m1").write_text("Subject: a\n\n" + "long enough text " * 3)
+    (tmp_path / "m2").write_text("Subject: b\n\n" + "long enough text " * 3)
+    paths = spark.createDataFrame([(str(tmp_path / "m1"),)], "path string")
+    assert [r.subject for r in archive_dataset(spark, paths).collect()] == ["a"]
