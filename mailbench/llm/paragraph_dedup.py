@@ -270,7 +270,8 @@ def repeated_units(df: DataFrame, key: str, text: str, similarity: float = SIMIL
     named = often.join(links, "node", "full").select(
         F.col("node").alias("key"), F.coalesce("component", "node").alias("component"))
     hits = stage(found.select("doc_id", "start", "stop", "key").join(named, "key").drop("key"), "paragraph-hits")
-    first = hits.groupBy("component").agg(F.min(F.struct("doc_id", "start", "stop")).alias("first"))
+    # Written, so that the join below deals out the rows anew and can split a component of many.
+    first = stage(hits.groupBy("component").agg(F.min(F.struct("doc_id", "start", "stop")).alias("first")), "paragraph-first")
     return hits.join(first, "component").select(
         "doc_id", "start", "stop", F.col("first.doc_id").alias("first_doc_id"),
         (F.struct("doc_id", "start", "stop") != F.col("first")).alias("removed"))
