@@ -121,10 +121,12 @@ def first_estimates(vectors: DataFrame) -> DataFrame:
     """Three starts per group: robust scales alone, signs about the median, and plain moments."""
     middle = vectors.groupBy("grp").agg(
         F.count("*").alias("size"), *(F.percentile_approx(f"x{i}", 0.5, 10000).alias(f"o_{i}") for i in range(5)))
+    middle = stage(middle, "mcd")  # a row per group: its size is known to the joins, and no group is gathered for it
     near = vectors.join(middle, "grp")
     scale = near.groupBy("grp", "size", *(f"o_{i}" for i in range(5))).agg(
         *(F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"o_{i}")), 0.5, 10000).alias(f"q_{i}") for i in range(5)))
     scale = scale.select("*", *((1.4826 * F.col(f"q_{i}") + FLOORS[i]).alias(f"w_{i}") for i in range(5)))
+    scale = stage(scale, "mcd")
     about = vectors.join(scale, "grp")
     dx = [F.col(f"x{i}") - F.col(f"o_{i}") for i in range(5)]
     length = reduce(lambda a, b: a + b, ((d / F.col(f"w_{i}")) ** 2 for i, d in enumerate(dx)))
