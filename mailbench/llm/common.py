@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailbench.session import scratch_path, stage
@@ -131,12 +131,12 @@ class ChunkCache:
     def __init__(self, answer, entries: int = 1 << 20):
         self.answer, self.entries, self.known = answer, entries, {}
 
-    def values(self, texts: list[str]) -> Iterator[list]:
-        """For each text the values of its chunks."""
+    def values(self, texts: list[str]) -> Iterator[Iterator]:
+        """For each text the values of its chunks, to be used before the next text's."""
         for start, stop in slices(texts):
             yield from self._values(texts[start:stop])
 
-    def _values(self, texts: list[str]) -> Iterator[list]:
+    def _values(self, texts: list[str]) -> Iterator[Iterator]:
         cut = [chunks(x) for x in texts]
         if len(self.known) > self.entries:
             self.known.clear()
@@ -145,7 +145,7 @@ class ChunkCache:
         for chunk, value in zip(new, self.answer(new), strict=True):
             known[chunk] = value
         for parts in cut:
-            yield [known[x] for x in parts]
+            yield map(known.__getitem__, parts)
         for chunk in new:
             if len(chunk) > _LONGEST_KEPT:
                 del known[chunk]
@@ -180,6 +180,14 @@ class ByteEncoder:
         batch = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, self.dtype).tobytes() for x in batch]
 
+    def _parted(self, ids: bytes) -> list[bytes]:
+        """The ids between line ends.  Two-byte ids below the surrogates are cut as the UTF-16 text they look like."""
+        if self.dtype.itemsize == 2 and self.tokenizer.get_vocab_size() < 0xD800:
+            return [x.encode("utf-16-le") for x in ids.decode("utf-16-le").split(chr(self.line_end))]
+        array = np.frombuffer(ids, self.dtype)
+        first, *others = np.split(array, np.flatnonzero(array == self.line_end))
+        return [first.tobytes(), *(x[1:].tobytes() for x in others)]
+
     def _encode(self, new: list[str]) -> list[bytes]:
         """Plain chunks travel joined by line ends, whose id then parts them again."""
         out: dict[str, bytes] = {}
@@ -188,12 +196,9 @@ class ByteEncoder:
             plain = [x for x in plain if special not in x]
         groups = [plain[i:i + 64] for i in range(0, len(plain), 64)]
         for group, whole in zip(groups, self._library(["\n".join(g) for g in groups]), strict=True):
-            ids = np.frombuffer(whole, self.dtype)
-            ends = np.flatnonzero(ids == self.line_end)
-            if len(ends) == len(group) - 1:
-                starts, stops = [0, *(ends + 1)], [*ends, len(ids)]
-                size = self.dtype.itemsize
-                out.update((x, whole[a * size:b * size]) for x, a, b in zip(group, starts, stops, strict=True))
+            parts = self._parted(whole)
+            if len(parts) == len(group):
+                out.update(zip(group, parts, strict=True))
         rest = [x for x in new if x not in out]
         out.update(zip(rest, self._library(rest), strict=True))
         return [out[x] for x in new]
@@ -242,7 +247,3 @@ def connected_components(edges: DataFrame, name: str) -> DataFrame:
             .union(least.select(F.col("k"), F.col("m"))).distinct(), name)
     return (links.select(F.col("a").alias("node"), F.col("b").alias("component"))
             .union(links.select("b", "b").distinct()))
-
-
-def hash_bits(*columns: str | Column) -> Column:
-    return F.xxhash64(*columns)

@@ -57,11 +57,11 @@ class WaveletMatrix:
 
     def ids(self) -> np.ndarray:
         """All ids in order: each plane, from the last up, puts the symbols back in place."""
-        symbols = None
+        symbols, kind = None, np.uint16 if len(self.planes) <= 16 else np.uint32
         for depth in reversed(range(len(self.planes))):
             ones = np.unpackbits(self.planes[depth], count=self.length, bitorder="little").view(bool)
-            bit = 1 << len(self.planes) - 1 - depth
-            back = np.empty(self.length, np.uint32)
+            bit = kind(1 << len(self.planes) - 1 - depth)
+            back = np.empty(self.length, kind)
             zeros = self.zeros[depth]
             back[~ones] = 0 if symbols is None else symbols[:zeros]
             back[ones] = bit if symbols is None else symbols[zeros:] | bit
