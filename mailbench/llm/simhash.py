@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,7 +31,7 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     rows = zip(*(words[i:] for i in range(width))) if len(words) >= width else [words]
     hashes = map(xxhash.xxh64_intdigest, map(b" ".join, rows), iter(lambda: seed, None))
     total, bits = 0, np.zeros(64, np.int64)
-    while len(block := np.fromiter((h for h, _ in zip(hashes, range(_SHINGLES_AT_ONCE))), np.uint64)):
+    while len(block := np.fromiter(islice(hashes, _SHINGLES_AT_ONCE), np.uint64)):
         total += len(block)
         bits += np.unpackbits(block.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         if len(block) < _SHINGLES_AT_ONCE:

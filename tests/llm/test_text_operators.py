@@ -78,6 +78,15 @@ def test_fingerprints():
         assert fingerprint(text) == (brute_fingerprint(text) if len(text or "") < 30000 else fingerprint(text.upper()))
 
 
+@pytest.mark.parametrize("n", [65538, 65539, 140000])
+def test_fingerprints_of_long_texts(n):
+    text = " ".join(words(n, n))
+    assert fingerprint(text) == brute_fingerprint(text)
+    # Two kinds of shingles in nearly equal number: one that is lost turns a bit.
+    even = " ".join(["x"] * (n // 2 + 1) + ["y"] * (n - n // 2 - 1))
+    assert fingerprint(even) == brute_fingerprint(even)
+
+
 @pytest.mark.parametrize("radius", [1, 2, 3, 4, 5])
 def test_links_connect_all_within_the_radius(spark, radius):
     rng = np.random.default_rng(radius)
