@@ -15,8 +15,8 @@ from mailbench.session import stage
 
 MIN_WORDS = 50
 MAX_REPEATED = 50  # percent of words
-MIN_GROUP = 200  # documents; smaller groups are judged with their language
-MIN_POOL = 50  # documents; smaller pools judge no one
+MIN_GROUP = 200  # documents; smaller groups are judged by their language
+MIN_POOL = 50  # documents; smaller languages are judged by all, and fewer in all judge no one
 ROUNDS = 12
 BINS = 32  # per doubling of the squared distance
 
@@ -190,30 +190,44 @@ def _name(*columns: str) -> Column:
     return F.concat_ws("\x01", *(F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in columns))
 
 
+def judging_groups(vectors: DataFrame) -> DataFrame:
+    """``own, pool, grp, within``: by which group the rows of a language and source are judged, and which they count in.
+
+    A pool holds all documents of its language that pass the base rules, those of large groups too,
+    so ``within`` names up to three groups.  Pools that judge no row hold none.
+    """
+    sizes = stage(vectors.groupBy("own", "pool").agg(F.count_if(~F.col("base_failed")).alias("n")), "quality-groups")
+    pools = sizes.groupBy("pool").agg(F.sum("n").alias("pool_n"), F.min("n").alias("least"))
+    total, fewest = pools.agg(F.sum("pool_n"), F.min("pool_n")).first()
+    everyone = F.lit("all") if total and total >= MIN_POOL else F.lit(None).cast("string")
+    own, pool = (F.concat(F.lit(f"{c}\x01"), F.col(c)) for c in ("own", "pool"))
+    large, enough = F.col("n") >= MIN_GROUP, F.col("pool_n") >= MIN_POOL
+    counted = [F.when(large, own), F.when(enough & (F.col("least") < MIN_GROUP), pool),
+               everyone if total and fewest < MIN_POOL else F.lit(None).cast("string")]
+    return stage(sizes.join(pools, "pool").select(
+        "own", "pool", F.when(large, own).when(enough, pool).otherwise(everyone).alias("grp"),
+        F.array_compact(F.array(*counted)).alias("within")), "quality-groups")
+
+
 def quality_verdicts(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source",
                      cutoff: float = CUTOFF) -> DataFrame:
     """One row per row of ``df``: counts, ``base_failed``, ``distance`` and ``kept``.
 
     Base rules: fewer than 50 words, or over half of the words in repeated windows of three.  The
-    others are compared with the robust centre and spread of their language and source, or of their
-    language where that has fewer than 200 such documents; a language pool of fewer than 50
-    judges no one (``distance`` null, kept).  Null languages and sources are groups of their own,
-    null texts fail the base rules, null keys and repeated rows keep their rows.
+    others are compared with the robust centre and spread of their language and source; where that
+    has fewer than 200 such documents, of all those of their language, whatever their source; where
+    the language has fewer than 50, of all.  Fewer than 50 in all judge no one (``distance`` null,
+    kept).  Null languages and sources are groups of their own, null texts fail the base rules, null
+    keys and repeated rows keep their rows.
     """
     plain = df.select(F.col(key).alias("_key"), F.col(text).alias("_text_in"), F.col(lang).alias("_lang"), F.col(source).alias("_source"))
     counts = word_statistics(plain, "_key", "_text_in", ("_lang", "_source"))
     counts = stage(counts.withColumn("base_failed", (F.col("n_words") < MIN_WORDS)
                                      | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))), "quality")
     vectors = counts.select("*", *features(), _name("_lang", "_source").alias("own"), _name("_lang").alias("pool"))
-    good = vectors.where(~F.col("base_failed"))
-    sizes = good.groupBy("own").agg((F.count("*") >= MIN_GROUP).alias("large"))
-    grouped = stage(
-        vectors.join(sizes, "own", "left")
-        .withColumn("grp", F.when(F.coalesce("large", F.lit(False)), F.col("own")).otherwise(F.col("pool")))
-        .drop("own", "pool", "large"), "quality-vectors")
-    judged = grouped.where(~F.col("base_failed")).select("grp", *FEATURES)
-    pools = judged.groupBy("grp").agg(F.count("*").alias("_n")).where(F.col("_n") >= MIN_POOL).select("grp")
-    judged = judged.join(pools, "grp", "left_semi")
+    groups = judging_groups(vectors)
+    grouped = stage(vectors.join(groups, ["own", "pool"], "left").drop("own", "pool"), "quality-vectors")
+    judged = grouped.where(~F.col("base_failed")).select(F.explode("within").alias("grp"), *FEATURES)
     estimates = stage(robust_estimates(judged), "mcd")
     rows = with_distance(grouped.join(estimates, "grp", "left"), "distance")
     return rows.select(

@@ -183,6 +183,17 @@ def test_quality_verdicts(spark):
     assert quality_verdicts(frame(spark, clean[:1]).limit(0)).count() == 0
 
 
+def test_small_groups_are_judged_by_their_language(spark):
+    clean = [sentences(i, 60 + i % 90) for i in range(340)]
+    junk = [" ".join(w + "###$$$" for w in words(1000 + i, 120)) for i in range(70)]
+    rows = [(i, t, "en", "large" if i < 300 else "rare" if i < 320 else "new") for i, t in enumerate(clean)]
+    rows += [(1000 + i, t, "en", "rare" if i < 60 else "new") for i, t in enumerate(junk[:65])]
+    rows += [(2000 + i, t, "xx", "new") for i, t in enumerate([clean[0], *junk[65:]])]
+    got = {r.doc_id: r for r in quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert len(got) == len(rows) and all(r.distance is not None for r in got.values())
+    assert {k for k, r in got.items() if r.kept} == {*range(340), 2000}  # a rare source of mostly junk, and a rare language
+
+
 # Licences
 
 
