@@ -28,7 +28,9 @@ CUTOFF = 45.0  # squared robust distance beyond which a document is rejected
 FEATURES = ("x0", "x1", "x2", "x3", "x4")
 # Standard deviations that no group's estimate goes below, so that a statistic which is
 # the same in nearly all documents of a group does not reject the others for any value.
-FLOORS = (0.25, 0.05, 0.5, 1.0, 1.0)
+# Where nearly all have no repeats, shares of repeated lines above 55 % and of repeated
+# words above 40 % pass the cutoff alone: log1p(55) / 0.6 and log1p(40) / 0.55 are about sqrt(45).
+FLOORS = (0.25, 0.05, 0.5, 0.6, 0.55)
 _PAIRS = [(i, j) for i in range(5) for j in range(i + 1)]
 
 

@@ -194,6 +194,18 @@ def test_small_groups_are_judged_by_their_language(spark):
     assert {k for k, r in got.items() if r.kept} == {*range(340), 2000}  # a rare source of mostly junk, and a rare language
 
 
+def test_repeats_alone_reject(spark):
+    w = [words(5000 + i, 220) for i in range(403)]
+    texts = [" ".join(x) for x in w[:400]]
+    texts.append(" ".join(w[400][:110]) + "\nmenus" * 100)  # 99 % of the lines, 48 % of the words
+    texts.append("\n".join(f"{a} {b}\nhomes\nabout" for a, b in zip(w[401][:110:2], w[401][1:110:2])))  # two thirds of the lines alone
+    texts.append(" ".join([*w[402][:110], *w[402][110:155], *w[402][110:155]]))  # 45 % of the words alone
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert {k for k in got if not got[k].kept} == {400, 401, 402}
+    assert not any(r.base_failed for r in got.values())
+
+
 # Licences
 
 
