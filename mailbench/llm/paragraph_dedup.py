@@ -86,6 +86,57 @@ def band_keys(paragraphs: list[str], bands: int, rows: int) -> np.ndarray:
     return keys.view(np.int64)
 
 
+_SPACE = np.zeros(12290, bool)
+_SPACE[[i for i in range(12290) if chr(i).isspace()]] = True
+
+
+def _over(x: np.ndarray, width: int, ufunc, fill) -> np.ndarray:
+    """``ufunc`` over each element and the ``width`` - 1 after it."""
+    done, size = x, 1
+    while size < width:
+        step = min(size, width - size)
+        done = ufunc(done, np.append(done[step:], np.full(min(step, len(done)), fill, x.dtype)))
+        size += step
+    return done
+
+
+def anchors(texts: list[str], width: int) -> tuple[np.ndarray, ...]:
+    """Text, start, stop and hash of windows of ``width`` words, at places that the words alone choose.
+
+    Of any ``width`` + 1 windows in a row the one with the least hash is taken, so texts that share
+    2 * ``width`` words in a row share an anchor, wherever sentences end.  Windows with one
+    hash do not overlap in a text.
+    """
+    joined = "\n".join(texts)
+    words = joined.lower().split()
+    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    edges = np.diff(np.concatenate([[True], _SPACE[np.minimum(codes, len(_SPACE) - 1)], [True]]).astype(np.int8))
+    starts, stops = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
+    begins = np.cumsum([0, *(len(x) + 1 for x in texts[:-1])])
+    text = np.searchsorted(begins, starts, "right") - 1
+    n = len(words) - width + 1
+    if n < 1:
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
+    single = kept(("word hashes",), WordHashes).of(words)
+    total = np.zeros(n, np.uint64)
+    for k in range(width):
+        total = _mix(total * _PRIME + single[k:k + n])
+    inside = text[:n] == text[width - 1:]
+    least = _over(total, width + 1, np.minimum, 0)
+    least[:max(n - width, 0)][text[:max(n - width, 0)] != text[2 * width - 1:]] = 0  # such ranges leave the text
+    least[max(n - width, 0):] = 0
+    reach = _over(least[::-1], width + 1, np.maximum, 0)[::-1]
+    at = np.flatnonzero(inside & (reach == total))
+    last: dict[tuple[int, int], int] = {}
+    chosen = []
+    for i, t, h in zip(at.tolist(), text[at].tolist(), total[at].tolist()):
+        if last.get((t, h), -width) + width <= i:
+            last[t, h] = i
+            chosen.append(i)
+    at = np.array(chosen, np.int64)
+    return text[at], starts[at] - begins[text[at]], stops[at + width - 1] - begins[text[at]], total[at]
+
+
 UNITS = "doc_id long, start int, stop int, n_words int, key long, bands array<long>"
 
 
@@ -95,6 +146,7 @@ def units(df: DataFrame, key: str, text: str, min_words: int, bands: int, rows:
     A paragraph is a line, and has band keys.  A passage starts at any sentence and takes
     sentences, over line ends too, until it has ``min_words`` words: so a passage that was put
     in the middle of a line is met from its second sentence on, whatever stands around it.
+    Anchors are windows of ``min_words`` words, for passages whose edges are inside sentences.
     ``start`` and ``stop`` count code points.
     """
     schema = arrow_schema(UNITS)
@@ -143,6 +195,10 @@ def units(df: DataFrame, key: str, text: str, min_words: int, bands: int, rows:
                         for column, value in zip(out, (name, *span, total, h), strict=True):
                             column.append(value)
                     total -= n
+            which, *spans, anchor_hashes = anchors(texts, min_words)
+            for column, values in zip(out, ([names[i] for i in which], *(x.tolist() for x in spans),
+                                            [min_words] * len(which), anchor_hashes.tolist()), strict=True):
+                column += values
             found: list = [None] * len(out[0])
             for i in range(0, len(lines), 4096):
                 for row, keys in zip(line_rows[i:i + 4096], band_keys(lines[i:i + 4096], bands, rows).tolist(), strict=True):

@@ -13,7 +13,7 @@ from mailbench.llm import quality_rules
 from mailbench.llm.common import connected_components
 from mailbench.llm.license_scan import known_licenses, license_scan, license_scan_sql
 from mailbench.llm.license_texts import LICENSES
-from mailbench.llm.paragraph_dedup import linked, repeated_passages, tune_bands, without_repeats
+from mailbench.llm.paragraph_dedup import anchors, linked, repeated_passages, tune_bands, without_repeats
 from mailbench.llm.quality_rules import quality_verdicts, word_statistics
 from mailbench.llm.simhash import fingerprint, fingerprint_links, simhash_components
 from mailbench.llm.token_counts import token_counts
@@ -252,6 +252,40 @@ def test_repeated_passages(spark):
     assert repeated_passages(frame(spark, texts).limit(0), "doc_id", "text").count() == 0
 
 
+def test_anchors_meet_in_any_fifty_words():
+    texts = ["", "a", " ".join(words(1, 49)), "É\u2003ß " + " ".join(words(2, 300)), "tok " * 400, " \n" + "\n".join(words(3, 50)), " ".join(words(4, 25))]
+    which, starts, stops, hashes = anchors(texts, 25)
+    spans = collections.defaultdict(list)
+    for t, a, b, h in zip(which, starts, stops, hashes):
+        assert len(texts[t][a:b].split()) == 25 and texts[t][a:b].strip() == texts[t][a:b]
+        spans[t].append((a, b, h))
+    assert set(spans) == {3, 4, 5} and all(a[1] <= b[0] for a, b in zip(spans[4], spans[4][1:]))
+    rng = np.random.default_rng(0)
+    shared = words(9, 400)
+    for _ in range(300):  # any cut of 50 words, in any surroundings
+        at = rng.integers(0, 350)
+        left, right = (" ".join([*words(rng.integers(1 << 30), 60), *shared[at:at + 50], *words(rng.integers(1 << 30), 60)]) for _ in range(2))
+        assert set(anchors([left], 25)[3]) & set(anchors([left, right], 25)[3][anchors([left, right], 25)[0] == 1])
+
+
+def test_passages_cut_in_mid_sentence(spark):
+    def prose(seed, n, sentence):
+        w = words(seed, n)
+        return " ".join(" ".join(w[i:i + sentence]) + "." for i in range(0, n, sentence))
+
+    rows, shapes = [], []
+    for sentence in (12, 20, 25, 1000):
+        for k in range(10):
+            seed = 100 * sentence + 10 * k
+            passage = prose(seed, 400, sentence).split(" ")[k + 3:k + 53]
+            for half in (1, 2):
+                rows.append((len(rows), f"{prose(seed + half, 70, sentence)[:-9]} {' '.join(passage)} {prose(seed + half + 2, 70, sentence)[5:]}"))
+            shapes.append(len(rows) - 1)
+    got = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").where("removed").collect()
+    assert {r.doc_id for r in got} == set(shapes)
+    assert all(r.first_doc_id == r.doc_id - 1 for r in got)
+
+
 def test_many_copies_keep_one(spark):
     rows = [(i, sentences(50, 40) + ("" if i % 3 else " " + words(i, 1)[0])) for i in range(60)]
     got = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()
