@@ -291,10 +291,17 @@ def verified(candidates: DataFrame, similarity: float) -> DataFrame:
 
 
 def class_shingles(paragraphs: DataFrame) -> DataFrame:
-    """``key, shingles`` (distinct hashes) of ``key, line``."""
+    """``key, shingles`` (distinct hashes) of ``key, line``, of those lines whose key it is.
+
+    Where a document key is repeated, other texts have something else at the place.
+    """
 
     def run(batches):
+        import xxhash
+
         for batch in batches:
+            own = np.array([xxhash.xxh64_intdigest(" ".join(x.lower().split())) for x in texts_of(batch, "line")], np.uint64)
+            batch = batch.filter(pa.array(own.view(np.int64) == batch.column(0).to_numpy()))
             hashes, counts = shingle_hashes(texts_of(batch, "line"))
             parts = np.split(hashes.view(np.int64), np.cumsum(counts)[:-1]) if len(counts) else []
             yield pa.RecordBatch.from_arrays(
@@ -316,7 +323,7 @@ def repeated_units(df: DataFrame, key: str, text: str, similarity: float = SIMIL
         F.first("bands").alias("bands"), F.min(F.struct("doc_id", "start", "stop")).alias("at")))
     pairs = stage(colliding(classes), "paragraph-bands")
     wanted = pairs.select("key").distinct()
-    places = (found.where("bands IS NOT NULL").select("key", "doc_id", "start", "stop").join(wanted, "key", "left_semi")
+    places = (found.where("bands IS NOT NULL AND doc_id IS NOT NULL").select("key", "doc_id", "start", "stop").join(wanted, "key", "left_semi")
               .groupBy("key").agg(F.min(F.struct("doc_id", "start", "stop")).alias("at")).select("key", "at.*"))
     whole = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("_text"))
     lines = whole.join(places, "doc_id").select("key", F.expr("substring(_text, start + 1, stop - start)").alias("line"))

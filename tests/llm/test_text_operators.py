@@ -292,6 +292,18 @@ def test_many_copies_keep_one(spark):
     assert {r.doc_id for r in got if r.removed} == set(range(1, 60)) and {r.first_doc_id for r in got} == {0}
 
 
+def test_null_keys_leave_near_copies_linked(spark):
+    line = words(60, 90)
+    near = " ".join([*line[:45], "changed", *line[46:]])
+    rows = [(None, " ".join(line)), (1, " ".join(line)), (2, near)]
+    got = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()
+    assert any(r.doc_id == 2 and r.removed and r.n_chars == len(near) for r in got)
+    keyed = [(1, " ".join(words(61, 90))), (1, " ".join(line)), (2, near)]  # another text under the same key
+    for rows in (keyed, [keyed[1], keyed[0], keyed[2]]):
+        got = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()
+        assert any(r.doc_id == 2 and r.removed and r.n_chars == len(near) for r in got)
+
+
 # Pipeline
 
 
