@@ -1,4 +1,6 @@
-"""Texts of short permissive licences. The wording is that of the licences."""
+"""Texts of licences; the long ones are files. The wording is that of the licences."""
+
+from pathlib import Path
 
 _AS_IS = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
 WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR
@@ -74,6 +76,32 @@ software.
 3. This notice may not be removed or altered from any source distribution."""),
 }
 
+LICENSES["Unlicense"] = ("The Unlicense", """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or
+as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright
+interest in the software to the public domain. We make this dedication for the benefit of the public at large and to
+the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity
+of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE
+LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <http://unlicense.org/>""")
+
+_END = "END OF TERMS AND CONDITIONS"
+# Where the official notice stands in the text of a long licence, and for what it stands.
+_NOTICE_IN = {
+    "Apache-2.0": ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License")', None),
+    **{name: (f"{name}-or-later", f"This {what} is free software", "Also add information on how to contact")
+       for name, what in (("GPL-1.0", "program"), ("GPL-2.0", "program"), ("GPL-3.0", "program"), ("LGPL-2.0", "library"), ("LGPL-2.1", "library"))},
+    "MPL-2.0": ("MPL-2.0", "This Source Code Form is subject to the terms", "\n\n"),
+}
+
 # Whole texts that are nothing but a notice.
 NOTICES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -83,7 +111,23 @@ NOTICES = {
 }
 
 
+def long_texts() -> list[tuple[str, str]]:
+    """Whole files, the terms without what follows them, and the notices that they give."""
+    out = []
+    for file in sorted(Path(__file__).with_name("licenses").glob("*.txt")):
+        name, text = file.stem, file.read_text("utf-8")
+        out.append((name, text))
+        terms, end, _ = text.partition(_END)
+        if end:
+            out += [(name, terms), (name, terms + end)]
+        if name in _NOTICE_IN:
+            of, first, last = _NOTICE_IN[name]
+            notice = text[text.index(first):]
+            out.append((of, notice[:notice.index(last)] if last else notice))
+    return out
+
+
 def known_texts() -> list[tuple[str, str]]:
     """Identifier and text, one pair per form in which a licence is known."""
     whole = [(name, text) for name, (title, body) in LICENSES.items() for text in (body, f"{title}\n\n{body}")]
-    return whole + list(NOTICES.items())
+    return whole + list(NOTICES.items()) + long_texts()

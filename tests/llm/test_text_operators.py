@@ -12,7 +12,7 @@ import corpus_pipeline
 from mailbench.llm import quality_rules
 from mailbench.llm.common import connected_components
 from mailbench.llm.license_scan import known_licenses, license_scan, license_scan_sql
-from mailbench.llm.license_texts import LICENSES
+from mailbench.llm.license_texts import LICENSES, long_texts
 from mailbench.llm.paragraph_dedup import anchors, linked, repeated_passages, tune_bands, without_repeats
 from mailbench.llm.quality_rules import quality_verdicts, word_statistics
 from mailbench.llm.simhash import fingerprint, fingerprint_links, simhash_components
@@ -223,6 +223,17 @@ def test_license_scan(spark):
     assert sorted(sql) == sorted(map(tuple, got))
 
 
+def test_long_licenses(spark):
+    want = [(name, text) for name, text in long_texts()] + [("Unlicense", LICENSES["Unlicense"][1])]
+    want += [("Apache-2.0", "Copyright 2020 Some One\n\n" + next(t for n, t in want if n == "Apache-2.0").upper().replace("\n", "\r\n"))]
+    assert {n for n, _ in want} >= {"Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "GPL-3.0-or-later", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense"}
+    df = frame(spark, [t for _, t in want] + [want[0][1] + " and more"])
+    got = license_scan(df, "doc_id", "text", known_licenses(spark)).collect()
+    assert {r.doc_id: r.license_id for r in got} == {**{i: n for i, (n, _) in enumerate(want)}, len(want): None}
+    documents = df.select("doc_id", "text").toPandas()  # noqa: F841  read by the SQL
+    assert sorted(duckdb.sql(license_scan_sql()).fetchall(), key=str) == sorted(map(tuple, got), key=str)
+
+
 # Passages
 
 
