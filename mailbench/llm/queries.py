@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailbench.llm import (
-    ann, license_scan, packing, paragraph_dedup, quality_rules, sentencepieces, simhash, token_counts, warc, wavelet,
+    ann, conversation_repair, license_scan, packing, paragraph_dedup, personal_data, quality_rules, resampling,
+    sentencepieces, simhash, token_counts, warc, wavelet,
 )
 from mailbench.llm.common import table
 
@@ -78,3 +79,21 @@ def op9_piece_codec(spark, sf_dir):
 @query
 def op10_simhash(spark, sf_dir):
     return simhash.simhash_components(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query
+def op11_importance_resampling(spark, sf_dir):
+    return resampling.importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE["op11_importance_resampling"] = resampling.importance_resample_sql()
+
+
+@query
+def op12_personal_data(spark, sf_dir):
+    return personal_data.personal_data(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query
+def op13_conversation_repair(spark, sf_dir):
+    return conversation_repair.repair_conversations(table(spark, sf_dir, "conversations"), damage=True)
