@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -25,7 +26,9 @@ from pyspark.sql import types as T
 from mailbench.functions.replies import parse_llm_json, response_schema, validate_llm
 from mailbench.functions.text import PROMPT_V1_CHARS, llm_prompt_v1, llm_prompt_v2, prefix
 from mailbench.operators.guards import EMPTY_RECORD, constant, empty_guard, is_empty
+from mailbench.operators.journal import BUCKETS, PART_CALLS, Journal, bucket_of, call_id
 from mailbench.schemas import LLM_OUT, LLM_SPAM, field_names
+from mailbench.session import parallelism
 
 CALL = "reply string, attempts int, error string, latency_sec double"
 
@@ -136,6 +139,45 @@ def _ask(client, variant: Variant, key, prompt: str) -> dict:
     return outcome
 
 
+UNASKED = {"reply": None, "attempts": 0, "error": None, "latency_sec": None}
+
+
+def _journaled_column(open_client: Callable[[], Any], variant: Variant, key: Column, prompt: Column, whole: bool,
+                      calls_per_task: int, identity: Column, folder: str, part_calls: int) -> Column:
+    """:func:`_call_column` with a journal between rows and client.
+
+    A call that the journal knows is not made, and equal calls of a batch are made once.  Rows come in the order of their
+    buckets, so that a batch is in few buckets when buckets are large.
+    """
+    run = uuid.uuid4().hex  # made on the driver: all attempts of all tasks of this column share it
+
+    def calls(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        client, journal = open_client(), Journal(folder, run, part_calls)
+
+        def ask(call):
+            identity, bucket, key, prompt = call
+            outcome = journal.known(bucket, identity)
+            if outcome is None:
+                outcome = _ask(client, variant, int(key) if whole and key is not None else key, prompt)
+                journal.add(bucket, identity, key, outcome)
+            return identity, outcome
+
+        pool = ThreadPoolExecutor(calls_per_task) if calls_per_task > 1 else None
+        try:
+            for keys, prompts, identities, buckets in batches:
+                made = {i: (i, int(b), k, p) for k, p, i, b in zip(keys, prompts, identities, buckets) if p is not None}
+                journal.enter({bucket for _, bucket, _, _ in made.values()})
+                answers = dict((pool.map if pool else map)(ask, made.values()))
+                outcomes = [UNASKED if p is None else answers[i] for i, p in zip(identities, prompts)]
+                yield pd.DataFrame(outcomes, columns=["reply", "attempts", "error", "latency_sec"])
+        finally:
+            journal.close()
+            if pool:
+                pool.shutdown()
+
+    return F.pandas_udf(calls, CALL).asNondeterministic()(key.cast("string"), prompt, identity, bucket_of(identity))
+
+
 def _call_column(open_client: Callable[[], Any], variant: Variant, key: Column, prompt: Column,
                  whole: bool, calls_per_task: int) -> Column:
     """Call outcome as a column; a null prompt is not sent.
@@ -148,11 +190,10 @@ def _call_column(open_client: Callable[[], Any], variant: Variant, key: Column,
 
     def calls(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         client = open_client()
-        unasked = {"reply": None, "attempts": 0, "error": None, "latency_sec": None}
         for keys, prompts in batches:
             def ask(key, prompt):
                 if prompt is None:
-                    return unasked
+                    return UNASKED
                 return _ask(client, variant, int(key) if whole and key is not None else key, prompt)
 
             if calls_per_task == 1:
@@ -165,9 +206,23 @@ def _call_column(open_client: Callable[[], Any], variant: Variant, key: Column,
     return F.pandas_udf(calls, CALL).asNondeterministic()(key.cast("string"), prompt)
 
 
+def _asked(variant: Variant) -> str:
+    """What, beside key and prompt, an answer depends on."""
+    return json.dumps([variant.rules, variant.instruction, response_schema(variant.rules), variant.attempts, variant.temperature])
+
+
+def _dealt(df: DataFrame, identity: Column, concurrency: int | None) -> tuple[DataFrame, Column]:
+    """Rows with all calls of a bucket in one task, in the order of buckets; what is not called is spread by its own hash."""
+    bucket = bucket_of(identity)
+    own = F.coalesce(bucket, F.pmod(F.xxhash64(*df.columns), F.lit(BUCKETS)).cast("int"))
+    dealt = df.repartition(concurrency or parallelism(df.sparkSession), own).sortWithinPartitions(bucket)
+    return dealt, identity
+
+
 def classify_llm(df: DataFrame, open_client: Callable[[], Any], variant: str = "v1",
                  guard: str | None = None, subject: str = "subject", body: str = "body",
-                 key: str = "email_id", calls_per_task: int = 1) -> DataFrame:
+                 key: str = "email_id", calls_per_task: int = 1, journal: str | None = None,
+                 concurrency: int | None = None, part_calls: int = PART_CALLS) -> DataFrame:
     """``df`` with the record ``res`` of each e-mail and how it was come by.
 
     Adds reply, attempts, error, violations of the record's rules, res, and latency_sec
@@ -176,9 +231,15 @@ def classify_llm(df: DataFrame, open_client: Callable[[], Any], variant: str = "
     empty record, ``'error'`` a null record and an error.  The result costs calls: stage
     it before using it more than once.  A task has ``calls_per_task`` calls in flight, so a client
     must stand being used from as many threads.
+
+    With a ``journal``, a folder that all executors share, each call that has ended is kept there and never made
+    again, neither by a task that is tried again nor by a later run over the same e-mails; calls that failed are asked again by
+    later runs.  Rows are then dealt by the bucket of their call, to ``concurrency`` tasks if given, and equal calls
+    are made once.  Where files cannot be appended to (object stores), ``part_calls`` calls are kept at a time, and a task that
+    dies repeats those of one part at most.
     """
-    if calls_per_task < 1:
-        raise ValueError("calls_per_task must be positive")
+    if calls_per_task < 1 or part_calls < 1:
+        raise ValueError("calls_per_task and part_calls must be positive")
     how = VARIANTS[variant]
     subject_text = F.coalesce(F.col(subject), F.lit("")) if subject in df.columns else F.lit("")
     body_text = F.coalesce(F.col(body), F.lit(""))
@@ -187,8 +248,13 @@ def classify_llm(df: DataFrame, open_client: Callable[[], Any], variant: str = "
     if guard:
         prompt = F.when(~empty, prompt)
 
-    asked = df.select("*", _call_column(
-        open_client, how, F.col(key), prompt, isinstance(df.schema[key].dataType, T.IntegralType), calls_per_task).alias("call"))
+    whole = isinstance(df.schema[key].dataType, T.IntegralType)
+    if journal is None:
+        call = _call_column(open_client, how, F.col(key), prompt, whole, calls_per_task)
+    else:
+        df, identity = _dealt(df, call_id(F.col(key), prompt, _asked(how)), concurrency)
+        call = _journaled_column(open_client, how, F.col(key), prompt, whole, calls_per_task, identity, journal, part_calls)
+    asked = df.select("*", call.alias("call"))
     answered = asked.select("*", F.col("call.reply").alias("reply"))
     typed = validate_llm(parse_llm_json(answered, out="typed", schema=how.fields),
                          record="typed", rules=how.rules)
@@ -219,9 +285,9 @@ def classify_llm(df: DataFrame, open_client: Callable[[], Any], variant: str = "
 
 
 def classify_llm_spam(df: DataFrame, open_client: Callable[[], Any], text: str = "text",
-                      key: str = "email_id", calls_per_task: int = 1) -> DataFrame:
-    """Five-field classification of the bare text, one attempt."""
-    return classify_llm(df, open_client, "spam", body=text, key=key, calls_per_task=calls_per_task)
+                      key: str = "email_id", calls_per_task: int = 1, **journaling) -> DataFrame:
+    """Five-field classification of the bare text, one attempt; ``journaling`` as in :func:`classify_llm`."""
+    return classify_llm(df, open_client, "spam", body=text, key=key, calls_per_task=calls_per_task, **journaling)
 
 
 def with_concurrency(df: DataFrame, n: int = 5) -> DataFrame:

@@ -34,10 +34,12 @@ class Report(NamedTuple):
 
 
 def _answer(df: DataFrame, open_client: Callable[[], Any], variant: str, guard: str | None,
-            concurrency: int | None, key: str, calls_per_task: int) -> DataFrame:
+            concurrency: int | None, key: str, calls_per_task: int, journal: str | None) -> DataFrame:
     """Make the calls, once, and store what they gave; of bodies only the preview is kept."""
-    spread = df if concurrency is None else with_concurrency(df, concurrency)
-    answered = classify_llm(spread, open_client, variant, guard, key=key, calls_per_task=calls_per_task)
+    # With a journal the calls are dealt by what is asked, to as many tasks.
+    spread = df if concurrency is None or journal else with_concurrency(df, concurrency)
+    answered = classify_llm(spread, open_client, variant, guard, key=key, calls_per_task=calls_per_task,
+                            journal=journal, concurrency=concurrency)
     preview = prefix(F.coalesce("body", F.lit("")), PREVIEW_CHARS)
     return stage(answered.withColumn("body", preview), f"answers-{variant}")
 
@@ -53,16 +55,18 @@ def _report(answered: DataFrame, rows: DataFrame, summary: DataFrame, folder: st
 
 def analyze_bulk(df: DataFrame, open_client: Callable[[], Any], variant: str = "v1",
                  concurrency: int | None = None, folder: str | None = None, fmt: str = "parquet",
-                 key: str = "email_id", ordered: bool = False, calls_per_task: int = 1) -> Report:
+                 key: str = "email_id", ordered: bool = False, calls_per_task: int = 1,
+                 journal: str | None = None) -> Report:
     """Classify EMAIL_IN rows and report on each.
 
     ``v1`` guards e-mails without body and counts; ``v2`` sends everything, reports
     latencies and their mean.  Calls are bounded by ``concurrency`` tasks, if given, of
     ``calls_per_task`` calls each.  The calls
     are made here; rows, summary and calls read what was stored.  ``ordered`` writes the
-    report in the order of the keys.
+    report in the order of the keys.  A ``journal`` folder keeps each call as it ends, so that neither a lost task nor
+    a job that is run again repeats it.
     """
-    answered = _answer(df, open_client, variant, "record" if variant == "v1" else None, concurrency, key, calls_per_task)
+    answered = _answer(df, open_client, variant, "record" if variant == "v1" else None, concurrency, key, calls_per_task, journal)
     rows = flatten_result(answered, f"bulk_{variant}", key)
     if variant == "v1":
         total = answered.agg(F.count("*").alias("total_emails"))
@@ -72,12 +76,13 @@ def analyze_bulk(df: DataFrame, open_client: Callable[[], Any], variant: str = "
 
 def benchmark_llm(df: DataFrame, open_client: Callable[[], Any], variant: str = "v1",
                   concurrency: int | None = None, folder: str | None = None, fmt: str = "parquet",
-                  key: str = "email_id", ordered: bool = False, calls_per_task: int = 1) -> Report:
+                  key: str = "email_id", ordered: bool = False, calls_per_task: int = 1,
+                  journal: str | None = None) -> Report:
     """Classify labelled e-mails and compare with the labels; no guard.
 
-    The summary has accuracy (null for no e-mails) and total_samples.
+    The summary has accuracy (null for no e-mails) and total_samples.  ``journal`` as in :func:`analyze_bulk`.
     """
-    answered = _answer(df, open_client, variant, None, concurrency, key, calls_per_task)
+    answered = _answer(df, open_client, variant, None, concurrency, key, calls_per_task, journal)
     rows = flatten_result(answered, "benchmark", key)
     counts = confusion(rows, by=[], pred="predicted", truth="actual")
     summary = counts.select(round_n(accuracy()).alias("accuracy"), F.col("n").alias("total_samples"))
@@ -97,10 +102,10 @@ def benchmark_class_folders(spark: SparkSession, root: str, open_client: Callabl
 
 
 def compare(df: DataFrame, scorer: Scorer, open_client: Callable[[], Any],
-            limit: int | None = None, key: str = "email_id", null_as: str = "") -> Report:
-    """A classifier and a language model side by side over the raw text."""
+            limit: int | None = None, key: str = "email_id", null_as: str = "", journal: str | None = None) -> Report:
+    """A classifier and a language model side by side over the raw text; ``journal`` as in :func:`analyze_bulk`."""
     text = F.coalesce("text", F.lit(null_as)).alias("text")
     chosen = limit_rows(df, limit, key).select(key, text, "label")
-    answered = stage(classify_llm_spam(score_all(chosen, [scorer]), open_client, key=key), "compare")
+    answered = stage(classify_llm_spam(score_all(chosen, [scorer]), open_client, key=key, journal=journal), "compare")
     rows = rename_llm_columns(answered, ml=scorer.name, key=key)
     return _report(answered, rows, answered.agg(F.count("*").alias("samples")), None, "", "", key, False)
