@@ -81,6 +81,11 @@ class Stores:
         with open(inside, "rb") if store is None else store.open_input_stream(inside) as stream:
             return stream.read()
 
+    def open(self, path: str):
+        """A file to seek in."""
+        store, inside = self.locate(path)
+        return open(inside, "rb") if store is None else store.open_input_file(inside)
+
     def write(self, path: str, content: bytes) -> None:
         store, inside = self.locate(path)
         folder = inside.rpartition("/")[0]

@@ -10,13 +10,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailbench.schemas import EMAIL_IN
+from mailbench.sources.records import PACKED, RANGE_BYTES, read_csv_ranges
 
 # Environment variables that say where the dataset is.
 PATH_VARIABLE = "DATA_PATH"
 SHEET_VARIABLE = "DATA_URL"
 
 
-def _raw_csv(spark: SparkSession, path: str, key: str | None, multi_line: bool) -> DataFrame:
+def _raw_csv(spark: SparkSession, path: str, key: str | None, multi_line: bool, range_bytes: int | None) -> DataFrame:
     # No schema: Spark would bind it by position, and columns may come in any order.
     # Without column pruning every field of a row is counted, so that FAILFAST also
     # reports rows with a missing or an extra field when few columns are selected.
@@ -27,11 +28,15 @@ def _raw_csv(spark: SparkSession, path: str, key: str | None, multi_line: bool)
     for needed in ("text", "label"):
         if needed not in raw.columns:
             raise ValueError(f"{path}: no column {needed!r}")
+    files = raw.inputFiles()
+    if key is None and (not multi_line or len(files) > 1):
+        raise ValueError(f"{path}: read in several parts; name the key column")
+    if multi_line and range_bytes and not any(f.endswith(PACKED) for f in files):
+        raw = read_csv_ranges(spark, path, raw.columns, range_bytes)
+        return raw.withColumn("email_id", F.col("_number") if key is None else F.col(key).cast("long"))
     if key is not None:
         return raw.withColumn("email_id", F.col(key).cast("long"))
-    if not multi_line or len(raw.inputFiles()) > 1:
-        raise ValueError(f"{path}: read in several parts; name the key column")
-    # One multi-line file is one partition, in which this is the row number.
+    # Read whole, one multi-line file is one partition, in which this is the row number.
     return raw.withColumn("email_id", F.monotonically_increasing_id())
 
 
@@ -57,14 +62,15 @@ def _number(label: Column) -> Column:
 
 
 def read_labeled_csv(spark: SparkSession, path: str | Sequence[str], key: str | None = None,
-                     strict: bool = True, multi_line: bool = True) -> DataFrame:
+                     strict: bool = True, multi_line: bool = True, range_bytes: int | None = RANGE_BYTES) -> DataFrame:
     """LABELED rows of CSV with a header naming ``text``, ``label``, optionally ``subject``, ``from``.
 
     Strict: a label other than 0 and 1 ends the job.  Otherwise rows without a numeric
     label are left out (:func:`labeled_csv_rejects` has them) and labels other than 1
-    become 0.  Large or many files need a ``key`` column; without one there must be a
-    single file, and the key is the row number.  A file is one task as long as line ends
-    may be quoted; ``multi_line=False`` lets Spark split files that have none.
+    become 0.  Many files need a ``key`` column; without one there must be a
+    single file, and the key is the row number, whatever number of tasks reads it.  Line ends may be quoted: a file is
+    read in ranges of ``range_bytes``, each by a task of its own, after a first reading has told where records begin.
+    With None, and for packed files, it is read whole by Spark, in one task; ``multi_line=False`` lets Spark split files that have no quoted line ends.
 
     The files of one folder must have the same header; a file that differs fails.  Several
     paths may be given, with columns in any order: each is read by its own names.
@@ -72,8 +78,8 @@ def read_labeled_csv(spark: SparkSession, path: str | Sequence[str], key: str |
     if not isinstance(path, str):
         if key is None and len(path) > 1:
             raise ValueError(f"{path}: read in several parts; name the key column")
-        return reduce(DataFrame.unionByName, [read_labeled_csv(spark, p, key, strict, multi_line) for p in path])
-    raw = _raw_csv(spark, path, key, multi_line)
+        return reduce(DataFrame.unionByName, [read_labeled_csv(spark, p, key, strict, multi_line, range_bytes) for p in path])
+    raw = _raw_csv(spark, path, key, multi_line, range_bytes)
     number = _number(F.col("label"))
     if strict:
         message = F.concat(F.lit("label is not 0 or 1: "), F.coalesce("label", F.lit("null")))
@@ -83,15 +89,15 @@ def read_labeled_csv(spark: SparkSession, path: str | Sequence[str], key: str |
 
 
 def labeled_csv_rejects(spark: SparkSession, path: str, key: str | None = None,
-                        multi_line: bool = True) -> DataFrame:
+                        multi_line: bool = True, range_bytes: int | None = RANGE_BYTES) -> DataFrame:
     """The rows a non-strict read leaves out, labels as text."""
-    raw = _raw_csv(spark, path, key, multi_line)
+    raw = _raw_csv(spark, path, key, multi_line, range_bytes)
     return _labeled(raw.filter(_number(F.col("label")).isNull()), F.col("label"))
 
 
 def read_dataset(spark: SparkSession, source: str = "file", path: str | None = None,
                  alt_uri: str | None = None, key: str | None = None, strict: bool = True,
-                 multi_line: bool = True) -> DataFrame:
+                 multi_line: bool = True, range_bytes: int | None = RANGE_BYTES) -> DataFrame:
     """The ``sheet`` at ``alt_uri`` if asked for and known, else the file at ``path``.
 
     Either defaults to what the environment of the driver names.
@@ -101,7 +107,7 @@ def read_dataset(spark: SparkSession, source: str = "file", path: str | None = N
     where = alt_uri if source == "sheet" and alt_uri else path
     if not where:
         raise ValueError(f"no path given, and {PATH_VARIABLE} is not set")
-    return read_labeled_csv(spark, where, key, strict, multi_line)
+    return read_labeled_csv(spark, where, key, strict, multi_line, range_bytes)
 
 
 def emails_from_rows(df: DataFrame) -> DataFrame:
