@@ -1,96 +1,199 @@
 """Limits and samples, all in an explicit order.
 
-Every operator here finds the key of the last row wanted and then filters on that key.
-The key is found by narrowing, in the same way for every n: quantiles of all keys give a
-range that surely holds the rank, quantiles within that range a smaller one, until few
-keys are left to be counted one by one.  Each step is one aggregation over the key column that is
-combined before it is shuffled and gives the driver one row of a fixed size, so nothing is sorted and no task
-receives n rows.  The steps run when the operator is called; what it returns is a
-plain comparison with a constant, which for a bare key column reaches the file scan.  Put limits on a source
-or on a staged table, not behind model calls, since the keys are read several times.
+Every operator here finds the last row wanted, in the order of one or two columns, and then filters on its
+place.  How it is found reads the order columns at most twice, whatever n is:
+
+* the first n + 1 places, kept per task and merged, where n is small;
+* otherwise a sample of rows, one per random bucket, that gives two places surely around the one looked for; a second
+  reading counts what is before them and at them, and writes what is between them, a few percent of the rows, order
+  columns alone; a key that many rows share is not written.  The same is done with that table until it is small.  The
+  sample only says where to look: counts are exact, and if the place should lie outside, the other side is read.
+
+The steps run when the operator is called; what it returns is a plain comparison with a constant, which for a bare
+key column reaches the file scan.  Where some but not all rows of the last place are wanted, those rows are written with
+their number in their partition, and one constant tells how far they count: no task gathers them.  Put limits
+on a source or on a staged table, not behind model calls, since the order columns are read several times.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from math import ceil, floor
+from math import ceil, floor, sqrt
+from typing import Any, NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-STEPS = 256  # quantiles of a range; the error of one is a tenth of a step
-MARGIN = 1  # step on either side of the rank
-FEW = 4096  # codes that are counted one by one
-_LEAST, _MOST = -(1 << 63), (1 << 63) - 1
-_PREFIX_BYTES = 6  # quantiles are exact up to 53 bits
+from mailbench.session import stage
 
+FEW = 4096  # places kept one by one
+SMALL = 1 << 16  # rows whose places are counted one by one
+BUCKETS = 1 << 14  # rows of a sample
+SIGMAS = 6  # of the sample's error, on either side
 
-def _common_prefix(df: DataFrame, key: Column) -> int:
-    """Characters that all keys begin with: those that the first and the last share."""
-    first, last = df.agg(F.min(key), F.max(key)).first()
-    pairs = zip(first or "", last or "")
-    return next((i for i, (a, b) in enumerate(pairs) if a != b), min(len(first or ""), len(last or "")))
+Place = tuple[Any, ...]
 
 
-def _code(df: DataFrame, key: str) -> Column:
-    """A long that never falls while the key rises; nulls come after all others."""
-    column = F.col(key)
-    if isinstance(df.schema[key].dataType, T.IntegralType):
-        code = column.cast("long")
+class Cut(NamedTuple):
+    """The last place wanted, and how many of its rows are; ``whole`` says that it is all of them."""
+
+    place: Place
+    rows: int
+    whole: bool
+
+
+def _names(width: int) -> list[str]:
+    return [f"_o{i}" for i in range(width)]
+
+
+def _sortable(place: Place) -> tuple:
+    """Spark's order: nulls last, texts by their bytes."""
+    return tuple((v is None, v.encode() if isinstance(v, str) else 0 if v is None else v) for v in place)
+
+
+def _same(columns: Sequence[Column], place: Place) -> Column:
+    return reduce(Column.__and__, (c.isNull() if v is None else c == F.lit(v) for c, v in zip(columns, place)))
+
+
+def _before(columns: Sequence[Column], place: Place, or_same: bool = False) -> Column:
+    """Rows that come before a place, or up to it.  A single column is compared plainly, so that files see it."""
+    *head, column = columns
+    last = place[-1]
+    if last is None:
+        here = F.lit(True) if or_same else column.isNotNull()
     else:
-        text = column.cast("string")
-        rest = F.substring(text, _common_prefix(df, text) + 1, _PREFIX_BYTES)
-        digits = 2 * _PREFIX_BYTES
-        code = F.conv(F.rpad(F.substring(F.hex(rest), 1, digits), digits, "0"), 16, 10).cast("long")
-    return F.coalesce(code, F.lit(_MOST - 1))  # the outermost numbers are ends of ranges
-
-
-def _cut(codes: DataFrame, n: int) -> tuple[int, int]:
-    """The code of the row of rank ``n`` and how many rows of that code are wanted; the last code if there are fewer."""
-    code = F.col("code")
-    low, high, tried = _LEAST, _MOST, None  # the range is above `low`, up to `high`
-    while True:
-        inside = (code > low) & (code <= high)
-        row = codes.agg(
-            F.count_if(code <= low).alias("before"), F.count_if(inside).alias("total"),
-            F.min(F.when(inside, code)).alias("least"), F.max(F.when(inside, code)).alias("most"),
-            F.percentile_approx(F.when(inside, code), [i / STEPS for i in range(STEPS + 1)], 10 * STEPS).alias("at"),
-        ).first()
-        if not row["total"]:
-            return _LEAST, 0
-        if row["least"] == row["most"]:
-            return row["most"], n - row["before"]
-        if row["total"] <= FEW or (low, high) == tried:
+        here = (column <= F.lit(last)) if or_same else (column < F.lit(last))
+    if not head:
+        return here
+    return _before(head, place[:-1]) | (_same(head, place[:-1]) & here)
+
+
+def _counted(places: list[Place], n: int) -> Cut:
+    """The cut after ``n`` of the first places, of which one more is known if there are more."""
+    place = places[n - 1]
+    rows = next(i for i in range(n + 1) if i == n or places[n - 1 - i] != place)
+    return Cut(place, rows, len(places) == n or places[n] != place)
+
+
+def _sampled(keys: DataFrame, names: list[str]) -> tuple[list[Place], int]:
+    """One random row of each bucket of random rows, in order, and how many rows there are."""
+    dealt = keys.select(*names, F.floor(F.rand() * BUCKETS).cast("int").alias("_bucket"), F.rand().alias("_draw"))
+    rows = dealt.groupBy("_bucket").agg(F.count("*").alias("_n"), F.min_by(F.struct(*names), "_draw").alias("_row")).collect()
+    return sorted((tuple(r["_row"]) for r in rows), key=_sortable), sum(r["_n"] for r in rows)
+
+
+def _around(sample: list[Place], n: int, total: int) -> tuple[Place | None, Place | None]:
+    """Two sampled places around rank ``n``; None where that may lie beyond the sample."""
+    share = n / total
+    at, error = share * len(sample), SIGMAS * sqrt(len(sample) * share * (1 - share)) + 2
+    low, high = floor(at - error), ceil(at + error)
+    return sample[low] if low >= 0 else None, sample[high] if high < len(sample) else None
+
+
+class _Parts(NamedTuple):
+    """Rows before the lower place, of it, between the two (written), and of the upper place."""
+
+    before: int
+    at_low: int
+    between: int
+    at_high: int
+    written: DataFrame
+
+
+def _parted(keys: DataFrame, names: list[str], low: Place | None, high: Place | None) -> _Parts:
+    """Count the parts that two places make, and write the places strictly between them; one reading."""
+    columns = [F.col(c) for c in names]
+
+    def sure(condition: Column) -> Column:
+        return F.coalesce(condition, F.lit(False))  # a comparison with a null key: that comes last
+
+    nothing = F.lit(False)
+    upto_low, below = (sure(_before(columns, low, same)) if low else nothing for same in (True, False))
+    upto_high, under = (sure(_before(columns, high, same)) if high else F.lit(True) for same in (True, False))
+    between, seen = ~upto_low & under, Observation()
+    counted = keys.observe(seen, F.count_if(below).alias("before"), F.count_if(upto_low).alias("upto_low"),
+                           F.count_if(under).alias("under"), F.count_if(upto_high).alias("upto_high"))
+    written = stage(counted.where(between), "places")
+    n = seen.get
+    return _Parts(n["before"], n["upto_low"] - n["before"], n["under"] - n["upto_low"], n["upto_high"] - n["under"], written)
+
+
+def _nth(keys: DataFrame, n: int, from_end: bool = False) -> Cut | None:
+    """The cut after the first ``n`` rows, or before the last ``n``; None if there are no more than that."""
+    names = keys.columns
+    if n < FEW:
+        order = [F.col(c).desc_nulls_first() if from_end else F.col(c).asc_nulls_last() for c in names]
+        places = list(map(tuple, keys.orderBy(*order).limit(n + 1).collect()))
+        if len(places) < n + from_end:
+            return None
+        if not from_end:
+            return _counted(places, n)
+        # The row before the last n ends what is kept; of its place, those among the last n go.
+        gone = sum(p == places[n] for p in places[:n])
+        return Cut(places[n], -gone, not gone)
+    sample, total = _sampled(keys, names)
+    if from_end:
+        n = total - n
+        if n <= 0:
+            return None
+    elif total < n:
+        return None
+    while total > SMALL:
+        low, high = _around(sample, n, total)
+        parts = _parted(keys, names, low, high)
+        if not parts.before < n <= parts.before + parts.at_low + parts.between + parts.at_high:
+            # The sample misled.  Its ends are at least as far out as any place of it.
+            beyond = (None, low) if n <= parts.before else (high, None)
+            low, high = beyond
+            parts = _parted(keys, names, low, high)
+        n -= parts.before
+        if n <= parts.at_low:
+            return Cut(low, n, n == parts.at_low)
+        n -= parts.at_low
+        if n > parts.between:
+            return Cut(high, n - parts.between, n == parts.between + parts.at_high)
+        keys = parts.written
+        sample, total = _sampled(keys, names)
+    return _small(keys, n)
+
+
+def _small(keys: DataFrame, n: int) -> Cut:
+    """The cut among few rows, by counting every place."""
+    upto = 0
+    rows = keys.groupBy(*keys.columns).count().collect()
+    for place, count in sorted(((tuple(r)[:-1], r["count"]) for r in rows), key=lambda x: _sortable(x[0])):
+        if upto + count >= n:
+            return Cut(place, n - upto, n == upto + count)
+        upto += count
+    raise ValueError("fewer rows than counted before: the source changed while it was read")
+
+
+def _upto(df: DataFrame, order: Sequence[Column], cut: Cut) -> DataFrame:
+    """The rows before a cut's place, and of its own as many as it says; minus some: all but those."""
+    if cut.whole:
+        return df.where(_before(order, cut.place, or_same=True))
+    ties = stage(df.where(_same(order, cut.place)).withColumn("_place", F.monotonically_increasing_id()), "ties")
+    part = F.shiftright("_place", 33)
+    sizes = sorted(map(tuple, ties.groupBy(part.alias("part")).count().collect()))  # a row per partition that wrote some
+    wanted = cut.rows if cut.rows > 0 else sum(n for _, n in sizes) + cut.rows
+    edge = 0
+    for number, size in sizes:
+        edge = (number << 33) + min(wanted, size)
+        wanted -= min(wanted, size)
+        if not wanted:
             break
-        tried = low, high
-        place = (n - row["before"]) * STEPS / row["total"]
-        # Quantiles pass through doubles: step outwards by what those may be off.
-        if floor(place) - MARGIN >= 0:
-            low = max(low, (q := row["at"][floor(place) - MARGIN]) - 1 - (abs(q) >> 50))
-        if ceil(place) + MARGIN <= STEPS:
-            high = min(high, (q := row["at"][ceil(place) + MARGIN]) + (abs(q) >> 50))
-    upto = F.sum("n").over(Window.orderBy("code").rowsBetween(Window.unboundedPreceding, 0))
-    counts = codes.where(inside).groupBy("code").agg(F.count("*").alias("n")).select("code", "n", upto.alias("upto"))
-    here = F.struct("code", (F.lit(n - row["before"]) - F.col("upto") + F.col("n")).alias("quota"))
-    found = counts.agg(F.coalesce(F.min(F.when(F.col("upto") >= n - row["before"], here)), F.max(F.struct("code", F.col("n").alias("quota"))))).first()[0]
-    return found[0], found[1]
-
-
-def _first(df: DataFrame, n: int, code: Column, exact: Sequence[Column], plain: Column | None = None) -> DataFrame:
-    """The ``n`` first rows by ``code`` and, among rows of the last code, by ``exact``.
-
-    ``plain`` is the bare key where the code is its value: comparisons with it reach the scan.
-    """
-    cut, quota = _cut(df.select(code.alias("code")), n)
-    nth = F.row_number().over(Window.orderBy(*exact))
-    last = df.where(code == cut).withColumn("_nth", nth).where(F.col("_nth") <= quota).drop("_nth")
-    return df.where((code if plain is None else plain) < cut).union(last)
+    taken = ties.where(F.col("_place") < edge).drop("_place")
+    return df.where(_before(order, cut.place)).union(taken)
 
 
-def _bare(df: DataFrame, key: str) -> Column | None:
-    return F.col(key) if isinstance(df.schema[key].dataType, T.IntegralType) else None
+def _ordered(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    return df.select(*[c.alias(n) for c, n in zip(order, _names(len(order)))])
+
+
+def _first(df: DataFrame, n: int, order: Sequence[Column]) -> DataFrame:
+    cut = _nth(_ordered(df, order), n)
+    return df if cut is None else _upto(df, order, cut)
 
 
 def limit_rows(df: DataFrame, n: int | None, key: str = "email_id") -> DataFrame:
@@ -100,16 +203,11 @@ def limit_rows(df: DataFrame, n: int | None, key: str = "email_id") -> DataFrame
     """
     if not n:
         return df
-    column, code = F.col(key), _code(df, key)
+    order = [F.col(key)]
     if n > 0:
-        return _first(df, n, code, [column.asc_nulls_last()], _bare(df, key))
-    # What goes are the first rows in the opposite order.
-    cut, gone = _cut(df.select(F.bitwise_not(code).alias("code")), -n)
-    cut = ~cut
-    nth = F.row_number().over(Window.orderBy(column.desc_nulls_first()))
-    ties = df.where(code == cut).withColumn("_nth", nth).where(F.col("_nth") > gone).drop("_nth")
-    plain = _bare(df, key)
-    return df.where((code if plain is None else plain) < cut).union(ties)
+        return _first(df, n, order)
+    cut = _nth(_ordered(df, order), -n, from_end=True)
+    return df.limit(0) if cut is None else _upto(df, order, cut)
 
 
 def sample_rows(df: DataFrame, n: int | None, seed: int | str = 0, key: str = "email_id") -> DataFrame:
@@ -125,8 +223,7 @@ def sample_rows(df: DataFrame, n: int | None, seed: int | str = 0, key: str = "e
     if n == 0:
         return df.limit(0)
     drawn = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
-    code = F.conv(F.substring(drawn, 1, 13), 16, 10).cast("long")
-    return _first(df, n, code, [drawn.asc(), F.col(key).asc_nulls_last()])
+    return _first(df, n, [drawn, F.col(key)])
 
 
 def head_by_class(
@@ -145,13 +242,7 @@ def head_by_class(
     known = df.where(F.col(label).isin(list(class_order)))
     if n is None:
         return known
-    sizes = dict(map(tuple, known.groupBy(label).count().collect()))  # a row per class asked for
-    taken = [df.limit(0)]
-    for value in class_order:
-        own = df.where(F.col(label) == value)
-        size = sizes.get(value, 0)
-        taken.append(own if size <= n else _first(own, n, _code(own, key), [F.col(key).asc_nulls_last()], _bare(df, key)))
-        n -= min(n, size)
-        if not n:
-            break
-    return reduce(DataFrame.union, taken[1:])
+    place = F.lit(None).cast("int")
+    for i, value in reversed(list(enumerate(class_order))):
+        place = F.when(F.col(label) == value, i).otherwise(place)
+    return _first(known, n, [place, F.col(key)])

@@ -1,7 +1,9 @@
 import hashlib
 
+import numpy as np
 import pytest
 
+from mailbench.operators import limits
 from mailbench.operators.limits import head_by_class, limit_rows, sample_rows
 
 
@@ -62,12 +64,88 @@ def test_head_by_class_needs_a_positive_number(spark):
         head_by_class(spark.createDataFrame([("a", 1)], "path string, label int"), 0)
 
 
-def test_the_cutoff_reaches_the_scan_and_no_task_gathers_n_rows(spark, sf_dir):
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_cutoff_reaches_the_scan_and_no_task_gathers_rows(spark, sf_dir):
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    plan = limit_rows(documents, 101, key="doc_id")._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [IsNotNull(doc_id), LessThan(doc_id," in plan
-    assert "TakeOrderedAndProject(limit=1," in plan and plan.count("TakeOrdered") == 1  # of the last key alone
-    assert "Sort" not in plan.replace("SortOrder", "").split("Union")[0]
+    for n in (101, -101):
+        plan = plan_of(limit_rows(documents, n, key="doc_id"))
+        assert "PushedFilters: [IsNotNull(doc_id), LessThanOrEqual(doc_id," in plan
+        assert not any(word in plan for word in ("Exchange", "Sort", "TakeOrdered", "Window", "SinglePartition"))
+
+
+def paths(spark, rows, boxes=("a", "b")):
+    """Paths that differ only behind a long common beginning, the same for each mailbox."""
+    box = "element_at(array({}), cast(id % {} + 1 AS int))".format(", ".join(f"'{b}'" for b in boxes), len(boxes))
+    return spark.range(0, rows, numPartitions=6).selectExpr(f"concat('/mail/', {box}, '/inbox/', lpad(cast(id div {len(boxes)} AS string), 12, '0'), '.eml') AS path")
+
+
+@pytest.mark.parametrize("n", [7_000, 150_001])
+def test_text_keys_with_long_common_parts(spark, n):
+    df = paths(spark, 200_000).cache()
+    order = [f"/mail/{b}/inbox/{i:012d}.eml" for b in "ab" for i in range(100_000)]
+    found = limit_rows(df, n, "path")
+    assert "SinglePartition" not in plan_of(found)
+    row = found.agg({"*": "count", "path": "max"}).first()
+    assert (row["count(1)"], row["max(path)"]) == (n, order[n - 1])
+    row = limit_rows(df, -n, "path").agg({"*": "count", "path": "max"}).first()
+    assert (row["count(1)"], row["max(path)"]) == (200_000 - n, order[200_000 - n - 1])
+
+
+@pytest.fixture
+def narrow(monkeypatch):
+    """Small bounds, so that small tables go through samples and written places, many rounds of them."""
+    monkeypatch.setattr(limits, "FEW", 4)
+    monkeypatch.setattr(limits, "SMALL", 40)
+    monkeypatch.setattr(limits, "BUCKETS", 64)
+    monkeypatch.setattr(limits, "SIGMAS", 1.5)
+
+
+def test_every_rank_by_samples(spark, narrow):
+    rng = np.random.default_rng(5)
+    keys = [None] * 9 + [int(k) for k in rng.integers(0, 60, 80)] + [7] * 150 + list(range(1000, 1161))
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "email_id long, place int").repartition(4).cache()
+    order = sorted(keys, key=lambda k: (k is None, k or 0))
+    for n in [9, 60, 160, 233, len(keys) - 9, len(keys) - 4, len(keys) + 5]:
+        for got, want in ((limit_rows(df, n), order[:n]), (limit_rows(df, -n), order[:max(len(keys) - n, 0)])):
+            rows = got.collect()
+            assert sorted((r["email_id"] for r in rows), key=lambda k: (k is None, k or 0)) == want, n
+            assert len({r["place"] for r in rows}) == len(rows)
+
+
+def test_a_sample_that_misleads(spark, narrow, monkeypatch):
+    """Where the place looked for is outside of the sampled range, all is read: exact whatever the sample says."""
+    around, wrong = limits._around, [lambda s: (s[0], s[1]), lambda s: (s[-2], s[-1])]
+    monkeypatch.setattr(limits, "_around", lambda s, n, total: wrong.pop()(s) if wrong else around(s, n, total))
+    df = spark.range(500).selectExpr("(id * 7919) % 500 AS email_id").cache()
+    assert ids(limit_rows(df, 321)) == list(range(321)) and not wrong
+
+
+@pytest.mark.parametrize("n", [20, 60_000])
+def test_two_readings_at_most(spark, tmp_path, n):
+    """The table is made by a function that writes down each time a partition of it is read."""
+    log = tmp_path / "log"
+
+    def noted(batches):
+        with open(log, "a") as f:
+            f.write("read\n")
+        yield from batches
+
+    df = spark.range(0, 120_000, numPartitions=5).withColumnRenamed("id", "email_id").mapInPandas(noted, "email_id long")
+    found = limit_rows(df, n)
+    assert len(log.read_text().splitlines()) <= 2 * 5
+    assert found.count() == n
+
+
+def test_head_by_class_is_one_order(spark):
+    rows = [(f"{c}{i:05d}", int(c == "s")) for c in "hs" for i in range(3000)] + [("x", 5)] * 10
+    df = spark.createDataFrame(rows, "path string, label int").repartition(4)
+    for n, spam in ((10, 10), (3000, 3000), (4500, 3000), (7000, 3000)):
+        found = head_by_class(df, n)
+        assert found.where("label = 1").count() == spam and found.count() == min(n, 6000)
+        assert "SinglePartition" not in plan_of(found)
 
 
 @pytest.mark.parametrize("n", [1, 2_001, 1_000_000])
