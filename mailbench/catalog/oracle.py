@@ -467,6 +467,10 @@ def oracle() -> dict[str, str]:
         f"WITH {EMAILS}, {answered('v1')} SELECT email_id, attempts, error, "
         "CASE WHEN failed THEN NULL ELSE 0 END::INT AS n_violations FROM answered"
     )
+    sql["llm_journal"] = (
+        f"WITH {EMAILS}, {answered('v1')} SELECT email_id, attempts, error, "
+        "CASE WHEN failed THEN NULL ELSE 0 END::INT AS n_violations, NOT failed AS kept FROM answered"
+    )
     sql["latency_summary"] = (
         f"WITH {REQUESTS}, {answered('v2', 'requests', 'body', NO_BODY)} SELECT "
         "round_even(coalesce(avg(coalesce(latency_sec, 0.0)), 0.0), 3) AS avg_latency_sec, "
@@ -505,7 +509,7 @@ def oracle() -> dict[str, str]:
     )
     sql["read_json_roundtrip"] = sql["detailed_results"]
     sql["read_csv_roundtrip"] = f"WITH {EMAILS} SELECT * FROM emails"
-    sql["read_csv_any_order"] = sql["read_csv_roundtrip"]
+    sql["read_csv_any_order"] = sql["read_csv_ranges"] = sql["read_csv_roundtrip"]
     sql["read_texts_json"] = "SELECT doc_id AS email_id, CASE WHEN doc_id % 7 = 3 THEN '' ELSE text END AS text FROM documents"
     sql["report_parquet"] = (
         f"SELECT email_id, sender, intent, is_spam, priority, count(*) OVER () AS n_rows FROM ({bulk_v1()})"

@@ -32,6 +32,7 @@ from mailbench.operators.ensemble import (
     vote_sums,
 )
 from mailbench.operators.guards import EMPTY_RECORD, constant, empty_guard, is_empty
+from mailbench.operators.journal import read_journal
 from mailbench.operators.limits import head_by_class, limit_rows, sample_rows
 from mailbench.operators.metrics import (
     best_model,
@@ -490,6 +491,17 @@ def llm_calls(spark, sf_dir):
     return calls.select("email_id", "attempts", "error", F.size("violations").alias("n_violations"))
 
 
+@query
+def llm_journal(spark, sf_dir):
+    """The same, run twice with a journal: the second run asks again only what failed, and the journal has every call."""
+    journal = scratch_path(spark, "journal")
+    for _ in range(2):
+        calls = structured.analyze_bulk(_bodies(spark, sf_dir), fx.StubClient, "v1", journal=journal).calls
+    entries = read_journal(spark, journal).select(F.col("key").cast("long").alias("_key"), F.col("reply").isNotNull().alias("kept"))
+    return calls.join(entries, F.col("email_id") == F.col("_key"), "full").select(
+        "email_id", "attempts", "error", F.size("violations").alias("n_violations"), "kept")
+
+
 @query
 def benchmark_llm_(spark, sf_dir):
     return structured.benchmark_llm(_bodies(spark, sf_dir), fx.StubClient, "v2").rows
@@ -608,6 +620,15 @@ def read_csv_roundtrip(spark, sf_dir):
     return read_dataset(spark, "sheet", written.location, None, key="id")
 
 
+@query
+def read_csv_ranges(spark, sf_dir):
+    """The same files, with line ends and quotes in most texts, read in ranges of 16 kB, each by a task that finds its records."""
+    df = fx.emails(spark, sf_dir)
+    columns = df.select("label", F.col("sender").alias("from"), "text", "subject", F.col("email_id").alias("id"))
+    written = write_report(columns, scratch_path(spark, "csv"), "benchmark", "csv")
+    return read_labeled_csv(spark, written.location, key="id", range_bytes=1 << 14)
+
+
 @query
 def read_csv_any_order(spark, sf_dir):
     """Two folders of labelled CSV with columns in different orders, read by name."""
