@@ -26,6 +26,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names that ``df`` does not have, as near to the wanted ones as possible."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+FIRST_OWN_KEY = 1 << 62
+
+
+def with_own_key(df: DataFrame, key: str, name: str) -> DataFrame:
+    """``df``, written, with a column ``name`` that tells its rows apart: the key where it does, else a number beyond all keys.
+
+    Numbers start at 2 ** 62; keys of that size are replaced, too, and nulls and repeated keys.  Verdicts that are joined by it
+    are those of the very row, whatever the keys are.
+    """
+    own, repeated = F.col(key).cast("long"), free_names(df, "_repeated")[0]
+    often = df.groupBy(own.alias(repeated)).agg(F.count("*").alias("n")).where("n > 1").select(repeated)
+    met = df.join(often, own == F.col(repeated), "left")
+    plain = own.isNotNull() & F.col(repeated).isNull() & (own < FIRST_OWN_KEY)
+    numbered = F.when(plain, own).otherwise(F.lit(FIRST_OWN_KEY) + F.monotonically_increasing_id())
+    return stage(met.select(*[F.col(c) for c in df.columns], numbered.alias(name)), "own-keys")
+
+
 def worker_state() -> dict:
     """What one Python worker keeps from task to task.
 

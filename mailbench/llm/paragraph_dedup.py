@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from math import ceil, log
 
 import numpy as np
@@ -10,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mailbench.llm.common import arrow_schema, connected_components, kept, slices, texts_of
+from mailbench.llm.common import arrow_schema, connected_components, free_names, kept, slices, texts_of
 from mailbench.session import stage
 
 SHINGLE = 5
@@ -19,7 +18,6 @@ MIN_WORDS = 25  # shorter paragraphs and passages are common phrases, not copies
 ROWS = 3
 RECALL = 0.998  # of pairs at the similarity itself
 
-_BREAK = re.compile(r"(?<=[.!?])[^\S\n]+|\n+")
 _WORDS_KEPT = 1 << 19
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -51,14 +49,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(29)
 
 
-def shingle_hashes(paragraphs: list[str], width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all word shingles of the paragraphs, in a row, and how many each has.
-
-    Words are lowered; fewer words than the width are one shingle.
-    """
-    words = [x.lower().split() for x in paragraphs]
-    hashes = kept(("word hashes",), WordHashes).of([w for line in words for w in line])
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
+def _shingles(hashes: np.ndarray, sizes: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all word shingles of paragraphs whose word hashes stand in a row, and how many each has."""
     counts = np.where(sizes == 0, 0, np.maximum(sizes - width + 1, 1))
     starts = np.repeat(np.cumsum(sizes) - sizes, counts)
     within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -71,14 +63,24 @@ def shingle_hashes(paragraphs: list[str], width: int = SHINGLE) -> tuple[np.ndar
     return total, counts
 
 
-def band_keys(paragraphs: list[str], bands: int, rows: int) -> np.ndarray:
-    """One key per paragraph and band, from minima of ``rows`` hash functions each."""
-    hashes, counts = shingle_hashes(paragraphs)
+def shingle_hashes(paragraphs: list[str], width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all word shingles of the paragraphs, in a row, and how many each has.
+
+    Words are lowered; fewer words than the width are one shingle.
+    """
+    words = [x.lower().split() for x in paragraphs]
+    hashes = kept(("word hashes",), WordHashes).of([w for line in words for w in line])
+    return _shingles(hashes, np.fromiter(map(len, words), np.int64, len(words)), width)
+
+
+def band_keys(hashes: np.ndarray, sizes: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """One key per paragraph and band, from minima of ``rows`` hash functions each, over the paragraphs' word hashes."""
+    hashes, counts = _shingles(hashes, sizes)
     starts = np.cumsum(counts) - counts
     seeds = np.random.default_rng(7).integers(1, 1 << 63, (bands * rows, 2), dtype=np.uint64) | np.uint64(1)
-    keys = np.zeros((len(paragraphs), bands), np.uint64)
+    keys = np.zeros((len(sizes), bands), np.uint64)
     for band in range(bands):
-        key = np.full(len(paragraphs), band, np.uint64)
+        key = np.full(len(sizes), band, np.uint64)
         for row in range(rows):
             a, b = seeds[band * rows + row]
             key = _mix(key * _PRIME + np.minimum.reduceat((hashes ^ b) * a >> np.uint64(1), starts))
@@ -86,10 +88,76 @@ def band_keys(paragraphs: list[str], bands: int, rows: int) -> np.ndarray:
     return keys.view(np.int64)
 
 
+class RunHashes:
+    """Hashes of any run of words, from prefix sums of their hashes times powers of an odd number."""
+
+    _BASE = 0xD1342543DE82EF95
+
+    def __init__(self, hashes: np.ndarray):
+        n = len(hashes)
+        power, back = (np.full(n + 1, x, np.uint64) for x in (self._BASE, pow(self._BASE, -1, 1 << 64)))
+        power[0] = back[0] = 1
+        self.sums = np.append(np.zeros(1, np.uint64), np.cumsum(hashes * np.cumprod(power)[:n]))
+        self.back = np.cumprod(back)
+
+    def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        return _mix(_mix((self.sums[stop] - self.sums[start]) * self.back[start]) + (stop - start).astype(np.uint64) * _PRIME)
+
+
+def run_hashes(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hashes of paragraphs whose word hashes stand in a row: those of the same words as a run."""
+    stop = np.cumsum(sizes)
+    return RunHashes(hashes).of(stop - sizes, stop)
+
+
 _SPACE = np.zeros(12290, bool)
 _SPACE[[i for i in range(12290) if chr(i).isspace()]] = True
 
 
+class Words:
+    """The words of some texts in a row: their hashes, where they stand, and whose they are.
+
+    Each word is cut out, lowered and hashed once; all units are made of these numbers.
+    """
+
+    def __init__(self, texts: list[str]):
+        joined = "\n".join(texts)
+        self.hashes = kept(("word hashes",), WordHashes).of(joined.lower().split())
+        self.codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        edges = np.diff(np.concatenate([[True], _SPACE[np.minimum(self.codes, len(_SPACE) - 1)], [True]]).astype(np.int8))
+        self.starts, self.stops = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
+        self.begins = np.cumsum([0, *(len(x) + 1 for x in texts[:-1])])
+        self.text = np.searchsorted(self.begins, self.starts, "right") - 1
+        self.line_ends = np.append(np.flatnonzero(self.codes == 10), len(self.codes))
+        self.line = np.searchsorted(self.line_ends, self.starts)
+        self.runs = RunHashes(self.hashes)
+
+    def lines(self, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """First word, and word after the last, of lines of so many words."""
+        edges = np.flatnonzero(np.diff(self.line, prepend=-1, append=-2))
+        start, stop = edges[:-1], edges[1:]
+        enough = stop - start >= least
+        return start[enough], stop[enough]
+
+    def passages(self, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """From every sentence's first word, whole sentences of the text until they have so many words."""
+        n = len(self.hashes)
+        if not n:
+            return (np.zeros(0, np.int64),) * 2
+        ended = np.isin(self.codes[self.stops - 1], [ord(c) for c in ".!?"])
+        after = np.flatnonzero(ended[:-1] | (self.line[1:] != self.line[:-1])) + 1
+        start, ends = np.append(0, after), np.append(after, n)
+        which = np.searchsorted(ends, start + least)
+        start, stop = start[which < len(ends)], ends[which[which < len(ends)]]
+        own = self.text[start] == self.text[stop - 1]
+        return start[own], stop[own]
+
+    def spans(self, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Code points in their text where runs of words start and stop."""
+        begin = self.begins[self.text[start]]
+        return self.starts[start] - begin, self.stops[stop - 1] - begin
+
+
 def _over(x: np.ndarray, width: int, ufunc, fill) -> np.ndarray:
     """``ufunc`` over each element and the ``width`` - 1 after it."""
     done, size = x, 1
@@ -100,27 +168,21 @@ def _over(x: np.ndarray, width: int, ufunc, fill) -> np.ndarray:
     return done
 
 
-def anchors(texts: list[str], width: int) -> tuple[np.ndarray, ...]:
-    """Text, start, stop and hash of windows of ``width`` words, at places that the words alone choose.
+_ANCHORED = np.uint64(0xA0761D6478BD642F)
+
+
+def chosen_windows(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """First word and hash of windows of ``width`` words, at places that the words alone choose.
 
     Of any ``width`` + 1 windows in a row the one with the least hash is taken, so texts that share
     2 * ``width`` words in a row share an anchor, wherever sentences end.  Windows with one
     hash do not overlap in a text.
     """
-    joined = "\n".join(texts)
-    words = joined.lower().split()
-    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    edges = np.diff(np.concatenate([[True], _SPACE[np.minimum(codes, len(_SPACE) - 1)], [True]]).astype(np.int8))
-    starts, stops = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
-    begins = np.cumsum([0, *(len(x) + 1 for x in texts[:-1])])
-    text = np.searchsorted(begins, starts, "right") - 1
-    n = len(words) - width + 1
+    n = len(words.hashes) - width + 1
     if n < 1:
-        return tuple(np.zeros(0, np.int64) for _ in range(4))
-    single = kept(("word hashes",), WordHashes).of(words)
-    total = np.zeros(n, np.uint64)
-    for k in range(width):
-        total = _mix(total * _PRIME + single[k:k + n])
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    text, first = words.text, np.arange(n)
+    total = _mix(words.runs.of(first, first + width) ^ _ANCHORED)  # an anchor is equal to no passage
     inside = text[:n] == text[width - 1:]
     least = _over(total, width + 1, np.minimum, 0)
     least[:max(n - width, 0)][text[:max(n - width, 0)] != text[2 * width - 1:]] = 0  # such ranges leave the text
@@ -134,78 +196,62 @@ def anchors(texts: list[str], width: int) -> tuple[np.ndarray, ...]:
             last[t, h] = i
             chosen.append(i)
     at = np.array(chosen, np.int64)
-    return text[at], starts[at] - begins[text[at]], stops[at + width - 1] - begins[text[at]], total[at]
+    return at, total[at]
+
+
+def anchors(texts: list[str], width: int) -> tuple[np.ndarray, ...]:
+    """Text, start, stop and hash of the :func:`chosen_windows`."""
+    words = Words(texts)
+    at, total = chosen_windows(words, width)
+    return words.text[at], *words.spans(at, at + width), total
 
 
 UNITS = "doc_id long, start int, stop int, n_words int, key long, bands array<long>"
 
 
 def units(df: DataFrame, key: str, text: str, min_words: int, bands: int, rows: int) -> DataFrame:
-    """Paragraphs and passages of every whole text with the hash of their lowered words.
+    """Paragraphs and passages of at least ``min_words`` words of every whole text, with the hash of their lowered words.
 
     A paragraph is a line, and has band keys.  A passage starts at any sentence and takes
     sentences, over line ends too, until it has ``min_words`` words: so a passage that was put
     in the middle of a line is met from its second sentence on, whatever stands around it.
     Anchors are windows of ``min_words`` words, for passages whose edges are inside sentences.
-    ``start`` and ``stop`` count code points.
+    ``start`` and ``stop`` count code points.  Shorter paragraphs are in passages that go on behind them, alone they are none.
     """
     schema = arrow_schema(UNITS)
 
     def run(batches):
-        import xxhash
-
-        def parts():
-            for batch in batches:
-                names, texts = batch.column(0).to_pylist(), texts_of(batch, "_text")
-                for a, b in slices(texts):
-                    yield names[a:b], texts[a:b]
-
-        for names, texts in parts():
-            out: list[list] = [[] for _ in range(5)]
-            lines, line_rows = [], []
-            for name, whole in zip(names, texts, strict=True):
-                at, pieces = 0, []
-                for start, stop in [*(m.span() for m in _BREAK.finditer(whole)), (len(whole), len(whole))]:
-                    norm = " ".join(whole[at:start].lower().split())
-                    if norm:
-                        pieces.append((at, start, norm, norm.count(" ") + 1))
-                    at = stop
-                rows_ = set()
-                at = 0
-                for line in whole.split("\n"):
-                    words = line.lower().split() if len(line) >= 2 * min_words - 1 else ()
-                    if len(words) >= min_words:
-                        lines.append(line)
-                        line_rows.append(len(out[0]))
-                        h = xxhash.xxh64_intdigest(" ".join(words))
-                        rows_.add((at, at + len(line)))
-                        for column, value in zip(out, (name, at, at + len(line), len(words), h), strict=True):
-                            column.append(value)
-                    at += len(line) + 1
-                end = total = 0
-                for i, (start, _, _, n) in enumerate(pieces):
-                    while end < len(pieces) and total < min_words:
-                        total += pieces[end][3]
-                        end += 1
-                    if total < min_words:
-                        break
-                    span = (start, pieces[end - 1][1])
-                    if span not in rows_:
-                        h = xxhash.xxh64_intdigest(" ".join(p[2] for p in pieces[i:end]))
-                        for column, value in zip(out, (name, *span, total, h), strict=True):
-                            column.append(value)
-                    total -= n
-            which, *spans, anchor_hashes = anchors(texts, min_words)
-            for column, values in zip(out, ([names[i] for i in which], *(x.tolist() for x in spans),
-                                            [min_words] * len(which), anchor_hashes.tolist()), strict=True):
-                column += values
-            found: list = [None] * len(out[0])
-            for i in range(0, len(lines), 4096):
-                for row, keys in zip(line_rows[i:i + 4096], band_keys(lines[i:i + 4096], bands, rows).tolist(), strict=True):
-                    found[row] = keys
-            hashes = np.array(out[4], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, f.type) for c, f in zip([*out[:4], hashes, found], schema, strict=True)], schema=schema)
+        for batch in batches:
+            texts = texts_of(batch, "_text")
+            for first, last in slices(texts):
+                words = Words(texts[first:last])
+                line, line_stop = words.lines(min_words)
+                start, stop = words.passages(min_words)
+                # A passage that is a whole line is that line.
+                of_line = np.full(len(words.hashes) + 1, -1, np.int64)
+                of_line[line] = line_stop
+                other = of_line[start] != stop
+                start, stop = start[other], stop[other]
+                anchor, anchor_hash = chosen_windows(words, min_words)
+
+                firsts, stops = np.concatenate([line, start, anchor]), np.concatenate([line_stop, stop, anchor + min_words])
+                begin, end = words.spans(firsts, stops)
+                # Lines reach from line end to line end, with what space there is.
+                ends, text_begin = words.line_ends, words.begins[words.text[line]]
+                begin[:len(line)] = np.where(words.line[line] > 0, ends[words.line[line] - 1] + 1, 0) - text_begin
+                end[:len(line)] = ends[words.line[line]] - text_begin
+                keys = np.concatenate([words.runs.of(line, line_stop), words.runs.of(start, stop), anchor_hash]).view(np.int64)
+
+                found = [np.zeros((0, bands), np.int64)]
+                for i in range(0, len(line), 4096):
+                    a, b = line[i:i + 4096], line_stop[i:i + 4096]
+                    inside = np.repeat(a - (np.cumsum(b - a) - (b - a)), b - a) + np.arange((b - a).sum())
+                    found.append(band_keys(words.hashes[inside], b - a, bands, rows))
+                lists = pa.ListArray.from_arrays(np.arange(len(line) + 1, dtype=np.int32) * bands, np.concatenate(found).ravel())
+                columns = [batch.column(0).take(pa.array(words.text[firsts] + first)), pa.array(begin, pa.int32()), pa.array(end, pa.int32()),
+                           pa.array(stops - firsts, pa.int32()), pa.array(keys),
+                           pa.concat_arrays([lists, pa.nulls(len(firsts) - len(line), lists.type)])]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     narrow = df.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
     return narrow.mapInArrow(run, UNITS)
@@ -297,10 +343,10 @@ def class_shingles(paragraphs: DataFrame) -> DataFrame:
     """
 
     def run(batches):
-        import xxhash
-
         for batch in batches:
-            own = np.array([xxhash.xxh64_intdigest(" ".join(x.lower().split())) for x in texts_of(batch, "line")], np.uint64)
+            words = [x.lower().split() for x in texts_of(batch, "line")]
+            sizes = np.fromiter(map(len, words), np.int64, len(words))
+            own = run_hashes(kept(("word hashes",), WordHashes).of([w for line in words for w in line]), sizes)
             batch = batch.filter(pa.array(own.view(np.int64) == batch.column(0).to_numpy()))
             hashes, counts = shingle_hashes(texts_of(batch, "line"))
             parts = np.split(hashes.view(np.int64), np.cumsum(counts)[:-1]) if len(counts) else []
@@ -364,12 +410,13 @@ def without_repeats(df: DataFrame, key: str, text: str, similarity: float = SIMI
     A row whose key is null or repeated keeps its text.
     """
     gone = repeated_passages(df, key, text, similarity, min_words).where("removed")
-    once = df.groupBy(F.col(key).cast("long").alias("_key")).agg(F.count("*").alias("_n")).where("_n = 1").select("_key")
-    spans = (gone.groupBy(F.col("doc_id").alias("_key")).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("_gone"))
-             .join(once, "_key", "left_semi"))
-    cut = F.expr(f"""array_join(transform(sequence(0, size(_gone)), i -> CASE
-        WHEN i = 0 THEN substring(`{text}`, 1, _gone[0].start)
-        WHEN i = size(_gone) THEN substring(`{text}`, get(_gone, i - 1).stop + 1)
-        ELSE substring(`{text}`, get(_gone, i - 1).stop + 1, get(_gone, i).start - get(_gone, i - 1).stop) END), '')""")
-    marked = df.join(spans, F.col(key).cast("long") == F.col("_key"), "left")
-    return marked.select(*(F.when(F.col("_gone").isNull(), F.col(c)).otherwise(cut).alias(c) if c == text else F.col(c) for c in df.columns))
+    own, cuts = free_names(df, "_key", "_gone")
+    once = df.groupBy(F.col(key).cast("long").alias(own)).agg(F.count("*").alias("n")).where("n = 1").select(own)
+    spans = (gone.groupBy(F.col("doc_id").alias(own)).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias(cuts))
+             .join(once, own, "left_semi"))
+    cut = F.expr(f"""array_join(transform(sequence(0, size({cuts})), i -> CASE
+        WHEN i = 0 THEN substring(`{text}`, 1, {cuts}[0].start)
+        WHEN i = size({cuts}) THEN substring(`{text}`, get({cuts}, i - 1).stop + 1)
+        ELSE substring(`{text}`, get({cuts}, i - 1).stop + 1, get({cuts}, i).start - get({cuts}, i - 1).stop) END), '')""")
+    marked = df.join(spans, F.col(key).cast("long") == F.col(own), "left")
+    return marked.select(*(F.when(F.col(cuts).isNull(), F.col(c)).otherwise(cut).alias(c) if c == text else F.col(c) for c in df.columns))
