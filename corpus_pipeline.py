@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mailbench.llm.common import free_names, with_own_key
 from mailbench.llm.packing import pack_documents
 from mailbench.llm.paragraph_dedup import without_repeats
 from mailbench.llm.quality_rules import quality_verdicts
@@ -15,22 +16,30 @@ from mailbench.session import scratch_path
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _kept(docs: DataFrame, chosen) -> DataFrame:
+    """The rows whose own key ``chosen(rows, own)`` gives; rows with null or repeated keys are judged each for themselves."""
+    own, kept = free_names(docs, "_own", "_kept")
+    rows = with_own_key(docs, "doc_id", own)
+    keys = chosen(rows, own).select(F.col(own).alias(kept))
+    return rows.join(keys, F.col(own) == F.col(kept), "left_semi").select(*[F.col(c) for c in docs.columns])
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules.  Rows without a key are kept out: no verdict can be joined to them."""
-    kept = quality_verdicts(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
+    """Documents that pass the quality rules."""
+    return _kept(docs, lambda rows, own: quality_verdicts(rows, own).where("kept"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest key."""
-    first = simhash_components(docs, "doc_id", "text").where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    return docs.join(first, F.col("doc_id") == F.col("_first"), "left_semi").dropDuplicates(["doc_id"])
+    """One document of each group of near copies: the one with the smallest key; null and repeated keys come last."""
+    return _kept(docs, lambda rows, own: simhash_components(rows, own, "text").where("doc_id = component_id")
+                 .withColumnRenamed("doc_id", own))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that an earlier document or place has."""
-    cut = without_repeats(docs, "doc_id", "text")
-    return cut.withColumn("n_chars", F.length("text").cast("long"))
+    (own,) = free_names(docs, "_own")
+    cut = without_repeats(with_own_key(docs, "doc_id", own), own, "text")
+    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*[F.col(c) for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
