@@ -289,6 +289,7 @@ def with_faults(rows: DataFrame) -> DataFrame:
     place = F.struct(F.col("_turn").isNotNull().alias("known"), "_turn", "_row")
     firsts = (marked.where("_times > 0").groupBy(F.col("_key").alias("_of"), F.col("_digest").alias("_same"))
               .agg(F.count("*").alias("_count"), F.min(place).alias("_first")).where("_count > 1").drop("_count"))
+    firsts = stage(firsts, "repair-repeats")  # written, so that its size is known before texts are shuffled for the join
     met = marked.join(firsts, F.col("_key").eqNullSafe(F.col("_of")) & (F.col("_digest") == F.col("_same")), "left")
     return met.select(
         "_key", "_turn", "_role", "_text", "_times", "_row", (~F.col("_text").rlike(CHARACTER)).alias("_blank"),
