@@ -3,13 +3,15 @@
 Spark's own file sources skip names that start with ``_`` or ``.`` and read ``{}`` in
 names as patterns.  Mail folders have such names, so the folders are walked here, in tasks:
 neither names nor contents pass through the driver.  A task that has listed its share
-hands the folders it has not entered to the next round, which spreads them again.
+hands the folders it has not entered to the next round, which spreads them again; a folder with very many names is handed on
+in slices of its names, which several tasks list, each holding its own names alone.
 """
 
 from __future__ import annotations
 
 import os
 import time
+import zlib
 from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import islice
@@ -24,6 +26,8 @@ from mailbench.session import parallelism, stage
 
 LISTED_ROWS = 10_000
 WALKED_ENTRIES = 20_000
+SPLIT_ENTRIES = 100_000  # names in one folder that one task lists
+SLICES = 16
 CONTENT_BYTES = 32 << 20
 ATTEMPTS, PAUSE_SEC = 4, 1.0
 
@@ -121,51 +125,83 @@ class Stores:
         except PASSED_OVER:
             return
 
+    def slice_of(self, folder: str, part: int = 0, parts: int = 1, most: int | None = None) -> list[tuple[str, bool]] | None:
+        """The children whose names fall in one of ``parts`` slices; None if they are more than ``most``.
 
-def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Walk each folder; once it has yielded a share of entries, hand its other subfolders on."""
+        A slice is chosen by the name alone, so the slices of a folder are apart and together all of it, whoever lists them and
+        in whatever order the names come.  No more than ``most`` names are held.
+        """
+        def names():
+            own = (child for child in self.children(folder) if parts == 1 or _slice(child[0], parts) == part)
+            return list(own if most is None else islice(own, most + 1))
+
+        try:
+            found = attempted(names)
+        except PASSED_OVER:
+            return []
+        return None if most is not None and len(found) > most else found
+
+
+def _slice(path: str, parts: int) -> int:
+    return zlib.crc32(path.rpartition("/")[2].encode()) % parts
+
+
+def _list_folders(batches: Iterator[pd.DataFrame], descend: bool = True) -> Iterator[pd.DataFrame]:
+    """Walk each folder; once it has yielded a share of entries, hand its other subfolders on.
+
+    A folder of more than ``SPLIT_ENTRIES`` names is not listed but handed on in slices of its names, and so is a slice
+    that is still too large.  Without ``descend`` subfolders are left out.
+    """
     stores = Stores()
-    rows: list[tuple[str, bool]] = []
+    columns = ["path", "is_folder", "part", "parts"]
+    rows: list[tuple[str, bool, int, int]] = []
     for batch in batches:
-        for start in batch["path"]:
-            waiting, share = [start], 0
+        given = batch.reindex(columns=["path", "part", "parts"]).fillna({"part": 0, "parts": 1})
+        for start in given.itertuples(index=False):
+            waiting, share = [(start.path, int(start.part), int(start.parts))], 0
             while waiting:
                 if share >= WALKED_ENTRIES:
-                    rows += [(path, True) for path in waiting]
+                    rows += [(path, True, part, parts) for path, part, parts in waiting]
                     break
-                for path, is_folder in stores.readable(waiting.pop()):
+                folder, part, parts = waiting.pop()
+                found = stores.slice_of(folder, part, parts, SPLIT_ENTRIES)
+                if found is None:
+                    rows += [(folder, True, part + parts * i, parts * SLICES) for i in range(SLICES)]
+                    share += SPLIT_ENTRIES
+                    continue
+                for path, is_folder in found:
                     share += 1
-                    if is_folder:
-                        waiting.append(path)
-                    else:
-                        rows.append((path, is_folder))
+                    if not is_folder:
+                        rows.append((path, False, 0, 1))
+                    elif descend:
+                        waiting.append((path, 0, 1))
                     if len(rows) >= LISTED_ROWS:
-                        yield pd.DataFrame(rows, columns=["path", "is_folder"])
+                        yield pd.DataFrame(rows, columns=columns)
                         rows = []
-    yield pd.DataFrame(rows, columns=["path", "is_folder"])
+    yield pd.DataFrame(rows, columns=columns)
 
 
-def _round(folders: DataFrame, count: int) -> DataFrame:
-    tasks = min(count, parallelism(folders.sparkSession))
-    return folders.select("path").repartition(tasks).mapInPandas(_list_folders, "path string, is_folder boolean")
+def _walk(spark: SparkSession, folders: tuple[str, ...], descend: bool) -> DataFrame:
+    """``path`` of files, by rounds: one job each, and each a staged table from which the next starts."""
+    rounds = []
+    left, waiting = len(folders), spark.createDataFrame([(f, 0, 1) for f in folders], "path string, part long, parts long")
+    while left:
+        tasks = min(left, parallelism(spark))
+        walked = waiting.repartition(tasks).mapInPandas(
+            lambda batches: _list_folders(batches, descend), "path string, is_folder boolean, part long, parts long")
+        found = stage(walked, "listing")
+        rounds.append(found.filter(~F.col("is_folder")).select("path"))
+        waiting = found.filter("is_folder").select("path", "part", "parts")
+        left = waiting.count()
+    return reduce(DataFrame.union, rounds)
 
 
 def list_folder(spark: SparkSession, *folders: str) -> DataFrame:
     """``path`` of the files directly in the given folders; missing folders hold none.
 
-    The listing is a staged table, so limits and readers see the same files.
+    The listing is a staged table, so limits and readers see the same files.  A folder of many files is listed by several tasks.
     """
-
-    def direct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stores = Stores()
-        for batch in batches:
-            for folder in batch["path"]:
-                files = (path for path, is_folder in stores.readable(folder) if not is_folder)
-                while chunk := list(islice(files, LISTED_ROWS)):
-                    yield pd.DataFrame({"path": chunk})
-
-    given = spark.createDataFrame([(f,) for f in folders], "path string").repartition(len(folders))
-    return stage(given.mapInPandas(direct, "path string"), "listing")
+    return _walk(spark, folders, descend=False)
 
 
 def list_mail_paths(spark: SparkSession, root: str) -> DataFrame:
@@ -173,14 +209,7 @@ def list_mail_paths(spark: SparkSession, root: str) -> DataFrame:
 
     One job per round; each round is a staged table, so the next starts from it.
     """
-    rounds = []
-    folders, left = spark.createDataFrame([(root,)], "path string"), 1
-    while left:
-        found = stage(_round(folders, left), "listing")
-        rounds.append(found.filter(~F.col("is_folder")).select("path"))
-        folders = found.filter("is_folder")
-        left = folders.count()
-    return reduce(DataFrame.union, rounds)
+    return _walk(spark, (root,), descend=True)
 
 
 def open_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -10,7 +10,7 @@ from py4j.protocol import Py4JJavaError
 from mailbench.catalog.fixtures import native_scorers
 from mailbench.operators.scorers import score_all
 from mailbench.plans.classifiers import archive_dataset
-from mailbench.sinks import write_json, write_report
+from mailbench.sinks import manifest_of, read_report, reports, write_json, write_report
 from mailbench.sources import (
     emails_from_rows,
     labeled_csv_rejects,
@@ -343,3 +343,64 @@ def test_archive_from_a_table_of_paths(spark, tmp_path):
     (tmp_path / "m2").write_text("Subject: b\n\n" + "long enough text " * 3)
     paths = spark.createDataFrame([(str(tmp_path / "m1"),)], "path string")
     assert [r.subject for r in archive_dataset(spark, paths).collect()] == ["a"]
+
+
+def test_one_large_folder_is_listed_by_several_tasks(spark, tmp_path, monkeypatch):
+    """30 000 names in one folder, some of them folders: slices of names, again where a slice is too large; none lost or doubled."""
+    flat = tmp_path / "flat"
+    flat.mkdir()
+    for i in range(30_000):
+        os.close(os.open(flat / f"{i}.eml", os.O_CREAT))
+    for i in range(20):
+        put(flat, f"sub{i}/x", "1")
+    monkeypatch.setattr(files_module, "SPLIT_ENTRIES", 1_000)
+    monkeypatch.setattr(files_module, "WALKED_ENTRIES", 2_000)
+    held, children = [], files_module.Stores.slice_of
+    first = pd.concat(files_module._list_folders(iter([pd.DataFrame({"path": [str(flat)]})])))
+    assert len(first) == files_module.SLICES and first.is_folder.all()
+    for part, parts in zip(first.part, first.parts):
+        found = children(files_module.Stores(), str(flat), part, parts)
+        held += found
+    assert len(held) == len(set(held)) == 30_020
+    direct = {f"{i}.eml" for i in range(30_000)}
+    paths = list_folder(spark, str(flat))
+    assert sorted(os.path.basename(r.path) for r in paths.collect()) == sorted(direct)
+    assert len({r[0] for r in paths.selectExpr("spark_partition_id()").distinct().collect()}) > 1
+    assert list_mail_paths(spark, str(tmp_path)).count() == 30_020
+
+
+def test_reports_are_there_whole_or_not_at_all(spark, tmp_path):
+    df = spark.range(40).selectExpr("id", "concat('a \"q\"\n, ', id) AS text").repartition(4)
+    for fmt in ("parquet", "csv"):
+        done = write_report(df, str(tmp_path / fmt), "bulk", fmt, datetime(2024, 1, 2))
+        assert manifest_of(spark, done.location) == {"kind": "bulk", "format": fmt, "rows": 40, "columns": ["id", "text"]}
+        rows = read_report(spark, done.location)
+        assert sorted((int(r.id), r.text) for r in rows.collect()) == sorted(map(tuple, df.collect()))
+        with pytest.raises(Exception):
+            write_report(df, str(tmp_path / fmt), "bulk", fmt, datetime(2024, 1, 2))
+        assert manifest_of(spark, done.location)["rows"] == 40
+        failing = df.select("id", F.when(F.col("id") == 33, F.raise_error(F.lit("lost"))).otherwise(F.col("text")).alias("text"))
+        with pytest.raises(Exception):
+            write_report(failing, str(tmp_path / fmt), "bulk", fmt, datetime(2024, 1, 3))
+        assert os.listdir(tmp_path / fmt).count("bulk_20240103_000000") == 0
+        with pytest.raises(FileNotFoundError):
+            read_report(spark, str(tmp_path / fmt / "bulk_20240103_000000"))
+
+
+def test_a_store_without_renaming_at_once(spark, tmp_path, monkeypatch):
+    """The manifest is the last thing written: a folder without one is no report."""
+    real = reports._Folders.write
+
+    def fails(self, path, text):
+        raise OSError("lost")
+
+    monkeypatch.setattr(reports._Folders, "renames_at_once", False, raising=False)
+    monkeypatch.setattr(reports._Folders, "__setattr__", lambda self, k, v: k == "renames_at_once" or object.__setattr__(self, k, v))
+    monkeypatch.setattr(reports._Folders, "write", fails)
+    with pytest.raises(OSError):
+        write_report(spark.range(3), str(tmp_path), "bulk", now=datetime(2024, 1, 2))
+    assert "bulk_20240102_000000" in os.listdir(tmp_path)
+    with pytest.raises(FileNotFoundError):
+        read_report(spark, str(tmp_path / "bulk_20240102_000000"))
+    monkeypatch.setattr(reports._Folders, "write", real)
+    assert read_report(spark, write_report(spark.range(3), str(tmp_path), "bulk", now=datetime(2024, 1, 3)).location).count() == 3
