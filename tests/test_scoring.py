@@ -6,7 +6,7 @@ from mailbench.catalog.fixtures import batch_scorer, load_word_model, native_sco
 from mailbench.functions.decisions import round_n, softmax_decide
 from mailbench.operators.ensemble import ensemble_vote, long_predictions, models_map, vote_counts, vote_sums
 from mailbench.operators.guards import EMPTY_RECORD, empty_guard, is_empty
-from mailbench.operators.scorers import BatchScorer, NativeScorer, score_all, score_transformer
+from mailbench.operators.scorers import BatchScorer, NativeScorer, padded_batches, score_all, score_transformer
 from mailbench.plans.classifiers import benchmark, benchmark_single, detailed_results, predict
 
 
@@ -174,3 +174,54 @@ def test_map_and_votes(spark):
     assert "correct" not in scored.select(models_map(names).alias("m")).first().m["m1"]
     counts = vote_counts(long_predictions(scored, names, ["email_id"])).orderBy("email_id").collect()
     assert [tuple(r) for r in counts] == [(1, 3, 3), (2, 0, 3)]
+
+
+def test_padded_batches_bound_the_work():
+    rng = np.random.default_rng(3)
+    for lengths in (rng.integers(1, 512, 1000), rng.zipf(1.6, 700).clip(1, 512), np.full(300, 512), np.array([0, 0, 5]), np.array([], int)):
+        groups = padded_batches(lengths, 64 * 512, 1.2)
+        assert sorted(i for g in groups for i in g) == list(range(len(lengths)))
+        for g in groups:
+            own = np.maximum(lengths[g], 1)
+            assert len(g) == 1 or own.max() * len(g) <= min(64 * 512, 1.2 * own.sum())
+
+
+def test_padding_is_little_on_documents(spark, sf_dir, tmp_path):
+    """Padded work of a model that pads, over all documents; answers in the order of the rows."""
+    log = tmp_path / "work"
+
+    def load(max_tokens):
+        class Padding:
+            def lengths(self, texts):
+                return [len(t.split()) for t in texts]
+
+            def __call__(self, texts):
+                sizes = [min(max(len(t.split()), 1), max_tokens) for t in texts]
+                with open(log, "a") as f:
+                    f.write(f"{max(sizes) * len(sizes)} {sum(sizes)}\n")
+                return np.array([[0.0, float(len(t))] for t in texts])
+
+        return Padding()
+
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id AS email_id", "text")
+    got = score_transformer(df, "text", load).collect()
+    assert all(r.model.label == ("spam" if r.text else "not spam") for r in got) and len(got) == df.count()
+    padded, real = np.loadtxt(log).reshape(-1, 2).sum(axis=0)
+    assert real <= padded <= 1.2 * real
+
+
+def test_a_failing_text_takes_no_other_along_in_its_batch(spark):
+    def load(max_tokens):
+        def model(texts):
+            if any("bad" in t for t in texts):
+                raise RuntimeError("cannot score")
+            return np.array([[0.0, len(t) / 100] for t in texts])
+
+        return model
+
+    texts = [("bad " if i % 50 == 7 else "ok ") * (1 + i * 37 % 90) for i in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "email_id long, text string").coalesce(1)
+    for r in score_transformer(df, "text", load).collect():
+        assert (r.model.error is None) == ("bad" not in r.text)
+        if r.model.error is None:
+            assert r.model.confidence == pytest.approx(1 / (1 + np.exp(-len(r.text) / 100)), abs=1e-4)
