@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from mailbench.schemas import EMAIL_IN
+from mailbench.session import stage
 from mailbench.sources.tables import emails_from_rows, split_rejects
 
 
@@ -27,20 +28,33 @@ def analyze_stream(emails: DataFrame, score: Callable[[DataFrame], DataFrame], o
     a structured classification.  A micro-batch that is committed is never sent to a
     model again, also after a restart from ``checkpoint``.  E-mails without a body are
     rejected; with ``rejects_out`` they are written there.
+
+    With ``rejects_out`` one query reads the source once and writes both, each micro-batch to a folder ``batch_id=n`` of its
+    own (a column when read).  A batch that was interrupted is run again with the same rows and replaces what it had
+    begun; a half that it had finished stays, so that results already paid for are not asked for again.
     """
-    accepted, rejected = split_rejects(emails)
-
-    def start(df: DataFrame, path: str, state: str) -> StreamingQuery:
-        return (
-            df.writeStream.format("parquet")
-            .option("path", path)
-            .option("checkpointLocation", f"{checkpoint.rstrip('/')}/{state}")
-            .outputMode("append")
-            .trigger(availableNow=True)
-            .start()
-        )
-
-    started = [start(score(accepted), out, "scored")]
-    if rejects_out:
-        started.append(start(rejected, rejects_out, "rejects"))
-    return started
+    if rejects_out is None:
+        accepted, _ = split_rejects(emails)
+        sink = score(accepted).writeStream.format("parquet").option("path", out)
+    else:
+        sink = emails.writeStream.foreachBatch(_both(score, out.rstrip("/"), rejects_out.rstrip("/")))
+    state = f"{checkpoint.rstrip('/')}/{'scored' if rejects_out is None else 'both'}"
+    return [sink.option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()]
+
+
+def _both(score: Callable[[DataFrame], DataFrame], out: str, rejects_out: str) -> Callable[[DataFrame, int], None]:
+    def write(batch: DataFrame, number: int) -> None:
+        # Read and parsed once: both halves read this table.
+        accepted, rejected = split_rejects(stage(batch, "micro-batch"))
+        for rows, folder in ((score(accepted), out), (rejected, rejects_out)):
+            path = f"{folder}/batch_id={number}"
+            if not finished(batch.sparkSession, path):
+                rows.write.mode("overwrite").parquet(path)
+
+    return write
+
+
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a writer has ended there: Spark leaves a mark as its last step."""
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)

@@ -7,6 +7,7 @@ import pytest
 from mailbench.catalog import fixtures as fx
 from mailbench.operators.scorers import BatchScorer
 from mailbench.plans import classifiers, structured
+from mailbench.session import stage
 from mailbench.streaming import analyze_stream, read_stream
 
 
@@ -203,3 +204,36 @@ def test_stream_equals_batch_and_resumes(spark, tmp_path):
     assert {r.email_id for r in spark.read.parquet(out).collect()} == accepted
     assert {r.email_id for r in spark.read.parquet(rejects).collect()} == {4, 24, 32}
     assert sorted(lines(log)) == sorted(str(i) for i in accepted)  # nothing is sent twice
+
+
+def test_stream_writes_both_halves_once(spark, tmp_path, monkeypatch):
+    """A run dies between the two writes; the next one loses and doubles nothing and asks nothing again, with one reading per batch."""
+    from mailbench.streaming import analyze
+
+    arrived, out, rejects, state = (str(tmp_path / n) for n in ("arrived", "out", "rejects", "state"))
+    log, staged = tmp_path / "calls", []
+    os.mkdir(arrived)
+    for name in "ab":
+        with open(f"{arrived}/{name}.json", "w") as f:
+            for i in range(6):
+                f.write(json.dumps({"email_id": ord(name) * 100 + i, **({} if i % 3 == 0 else {"body": "b"})}) + "\n")
+    score = lambda df: structured.classify_llm(df, lambda: CountingClient(str(log)), "v1", "record")
+    real, checks = analyze.finished, []
+
+    def dies_once(spark_, path):
+        checks.append(path)
+        if len(checks) == 2:  # of the first batch: results are written, rejects are not
+            raise RuntimeError("driver lost")
+        return real(spark_, path)
+
+    monkeypatch.setattr(analyze, "finished", dies_once)
+    monkeypatch.setattr(analyze, "stage", lambda df, name: staged.append(name) or stage(df, name))
+    (query,) = analyze_stream(read_stream(spark, arrived, 1), score, out, state, rejects)
+    with pytest.raises(Exception):
+        query.awaitTermination()
+    (query,) = analyze_stream(read_stream(spark, arrived, 1), score, out, state, rejects)
+    query.awaitTermination()
+    ids = [ord(n) * 100 + i for n in "ab" for i in range(6)]
+    assert sorted(r.email_id for r in spark.read.parquet(out).collect()) == [i for i in ids if i % 100 % 3]
+    assert sorted(r.email_id for r in spark.read.parquet(rejects).collect()) == [i for i in ids if i % 100 % 3 == 0]
+    assert sorted(lines(log)) == sorted(str(i) for i in ids if i % 100 % 3) and len(staged) == 3
