@@ -8,10 +8,11 @@ import re
 import sys
 import types
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -112,20 +113,29 @@ def slices(texts: list[str], characters: int = 1 << 20) -> Iterator[tuple[int, i
 
     A batch has a fixed number of rows, however long they are; work on words takes many times their size.
     """
-    start = held = 0
-    for i, text in enumerate(texts):
-        if held and held + len(text) > characters:
+    yield from slices_by(map(len, texts), characters)
+
+
+def slices_by(sizes: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbours whose sizes add up to at most so much, or of one that is larger."""
+    start = held = stop = 0
+    for i, size in enumerate(sizes):
+        if held and held + size > most:
             yield start, i
             start, held = i, 0
-        held += len(text)
-    if start < len(texts):
-        yield start, len(texts)
+        held, stop = held + size, i + 1
+    if start < stop:
+        yield start, stop
 
 
 def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     return [x or "" for x in batch.column(batch.schema.get_field_index(column)).to_pylist()]
 
 
+def text_array(batch: pa.RecordBatch, column: str) -> pa.StringArray:
+    return pc.fill_null(batch.column(batch.schema.get_field_index(column)), "").cast(pa.string())
+
+
 # Byte-level tokenizing
 
 # A space followed by something else than white space: a place where no pre-token crosses.
@@ -135,6 +145,7 @@ _ODD_SPACE = re.compile(r"\s\s|[^\S \n]|\A\s|\s\Z|\x00")
 # One word and no other white space than a space before it.
 _PLAIN = re.compile(r" ?\S+").fullmatch
 _LONGEST_KEPT = 64
+_STOPS = ".,;:!?"
 
 
 def chunks(text: str) -> list[str]:
@@ -179,17 +190,44 @@ class ChunkCache:
                 del known[chunk]
 
 
+# As _ODD_SPACE, for Arrow's regular expressions, which know ASCII white space only by that name.
+_ODD_SPACE_ARROW = (r"[\x00\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+                    r"|[ \n][ \n]|\A[ \n]|[ \n]\z")
+
+
+def chunk_lists(texts: pa.StringArray) -> pa.ListArray:
+    """The :func:`chunks` of each text."""
+    odd = pc.match_substring_regex(texts, _ODD_SPACE_ARROW)
+    marked = pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n\0")
+    plain = pc.split_pattern(marked, "\0")
+    if not pc.any(odd).as_py():
+        return plain
+    slow = pa.array([chunks(x) for x in texts.filter(odd).to_pylist()], pa.list_(pa.string()))
+    where = pc.if_else(odd, pc.add(pc.cumulative_sum(odd.cast(pa.int64())), len(texts) - 1), pa.array(np.arange(len(texts))))
+    return pa.concat_arrays([plain, slow]).take(where)
+
+
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of all runs that start at ``starts`` and are ``sizes`` long, one run after the other."""
+    stops = np.cumsum(sizes)
+    at = np.repeat(starts - (stops - sizes), sizes)
+    at += np.arange(len(at))
+    return at
+
+
 class ByteEncoder:
     """Token ids of whole texts by the tokenizers library, as bytes of ``dtype``.
 
-    With the plain byte-level pre-tokenizer, distinct chunks go through the library
-    once; any other tokenizer file gets whole texts.
+    With the plain byte-level pre-tokenizer, distinct chunks go through the library once: their ids stand one after the other in one
+    array, and a text's ids are gathered from there by its chunks' places.  Cutting, telling chunks apart and gathering
+    are array operations; Python sees new chunks only.  The memory is bounded: the array is emptied at ``entries`` chunks,
+    and long chunks are not kept.  Any other tokenizer file gets whole texts.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int = 1 << 21):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.entries = Tokenizer.from_file(path), entries
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         with open(path) as file:
             spec = json.load(file)
@@ -202,41 +240,91 @@ class ByteEncoder:
         )
         self.line_end = self.tokenizer.token_to_id("Ċ")
         self.added = [a["content"] for a in added]
-        self.cache = ChunkCache(self._encode)
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        batch = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, self.dtype).tobytes() for x in batch]
-
-    def _parted(self, ids: bytes) -> list[bytes]:
-        """The ids between line ends.  Two-byte ids below the surrogates are cut as the UTF-16 text they look like."""
-        if self.dtype.itemsize == 2 and self.tokenizer.get_vocab_size() < 0xD800:
-            return [x.encode("utf-16-le") for x in ids.decode("utf-16-le").split(chr(self.line_end))]
-        array = np.frombuffer(ids, self.dtype)
-        first, *others = np.split(array, np.flatnonzero(array == self.line_end))
-        return [first.tobytes(), *(x[1:].tobytes() for x in others)]
-
-    def _encode(self, new: list[str]) -> list[bytes]:
-        """Plain chunks travel joined by line ends, whose id then parts them again."""
-        out: dict[str, bytes] = {}
-        plain = list(filter(_PLAIN, new)) if self.line_end is not None else []
-        for special in self.added:
-            plain = [x for x in plain if special not in x]
+        self._empty()
+
+    def _empty(self) -> None:
+        self.known = pa.array([], pa.string())
+        self.ids, self.starts, self.sizes = np.zeros(0, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, self.dtype) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _unit_ids(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of texts in a row, where each one's start, and how many they are.
+
+        Plain texts travel joined by line ends, whose id then parts them again.
+        """
+        joinable = [self.line_end is not None and _PLAIN(x) is not None and not any(s in x for s in self.added) for x in units]
+        plain = [i for i, ok in enumerate(joinable) if ok]
+        rest = [i for i, ok in enumerate(joinable) if not ok]
         groups = [plain[i:i + 64] for i in range(0, len(plain), 64)]
-        for group, whole in zip(groups, self._library(["\n".join(g) for g in groups]), strict=True):
-            parts = self._parted(whole)
-            if len(parts) == len(group):
-                out.update(zip(group, parts, strict=True))
-        rest = [x for x in new if x not in out]
-        out.update(zip(rest, self._library(rest), strict=True))
-        return [out[x] for x in new]
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        found, order, sizes = [np.zeros(0, self.dtype)], [], np.zeros(len(units), np.int64)
+        for group, ids in zip(groups, self._library(["\n".join([units[i] for i in g]) for g in groups]), strict=True):
+            ends = np.flatnonzero(ids == self.line_end)
+            if len(ends) == len(group) - 1:
+                sizes[group] = np.diff(ends, prepend=-1, append=len(ids)) - 1
+                found.append(np.delete(ids, ends))
+                order += group
+            else:
+                rest += group
+        for i, ids in zip(rest, self._library([units[i] for i in rest]), strict=True):
+            sizes[i] = len(ids)
+            found.append(ids)
+        order = np.array(order + rest, np.int64)
+        starts = np.zeros(len(units), np.int64)
+        starts[order] = np.cumsum(sizes[order]) - sizes[order]
+        return np.concatenate(found), starts, sizes
+
+    def _add(self, new: list[str]) -> None:
+        """Put chunks in the table.  Stops and commas behind a letter are pre-tokens of their own: each word goes through the library without."""
+        units: dict[str, int] = {}
+        pairs = np.zeros((len(new), 2), np.int64)
+        for i, chunk in enumerate(new):
+            word = chunk.rstrip(_STOPS)
+            if len(word) == len(chunk) or not word[-1:].isalpha() or any(s in chunk for s in self.added):
+                word = chunk
+            pairs[i] = units.setdefault(word, len(units)), units.setdefault(chunk[len(word):], len(units))
+        ids, starts, sizes = self._unit_ids(list(units))
+        both = pairs.ravel()
+        own = sizes[pairs].sum(axis=1)
+        self.starts = np.append(self.starts, len(self.ids) + np.cumsum(own) - own)
+        self.sizes = np.append(self.sizes, own)
+        self.ids = np.append(self.ids, ids[ragged(starts[both], sizes[both])])
+        self.known = pa.concat_arrays([self.known, pa.array(new, pa.string())])
+
+    def _gathered(self, texts: pa.StringArray) -> Iterator[bytes]:
+        if len(self.known) > self.entries:
+            self._empty()
+        lists = chunk_lists(texts)
+        named = lists.flatten().dictionary_encode()
+        places = pc.index_in(named.dictionary, value_set=self.known)
+        new = named.dictionary.filter(pc.is_null(places)).to_pylist()
+        short, long = ([x for x in new if (len(x) > _LONGEST_KEPT) == over] for over in (False, True))
+        if short:
+            self._add(short)
+        kept_ids, kept_chunks = len(self.ids), len(self.starts)
+        if long:
+            self._add(long)
+        if new:
+            places = pc.index_in(named.dictionary, value_set=self.known)
+        places = places.to_numpy()[named.indices.to_numpy()]
+        sizes = self.sizes[places]
+        ids = self.ids[ragged(self.starts[places], sizes)]
+        if long:
+            self.ids, self.starts, self.sizes = self.ids[:kept_ids], self.starts[:kept_chunks], self.sizes[:kept_chunks]
+            self.known = self.known.slice(0, kept_chunks)
+        edges = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy()))]
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            yield ids[a:b].tobytes()
+
+    def encode(self, texts: pa.StringArray | list[str]) -> Iterator[bytes]:
+        if isinstance(texts, list):
+            texts = pa.array(texts, pa.string())
         if not self.by_chunk:
-            yield from self._library(texts)
+            yield from (x.tobytes() for x in self._library(texts.to_pylist()))
             return
-        for parts in self.cache.values(texts):
-            yield b"".join(parts)
+        for start, stop in slices_by(pc.binary_length(texts).to_numpy(), 1 << 23):
+            yield from self._gathered(texts.slice(start, stop - start))
 
 
 def byte_encoder(path: str) -> ByteEncoder:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailbench.llm.common import (
-    arrow_schema, byte_encoder, open_shared, shared_folder, texts_of, write_shared,
+    arrow_schema, byte_encoder, open_shared, shared_folder, text_array, write_shared,
 )
 from mailbench.session import stage
 
@@ -207,7 +207,7 @@ def write_token_shards(df: DataFrame, key: str, text: str, path: str, end_id: in
             return pa.RecordBatch.from_pylist([dict(zip(schema.names, row, strict=True))], schema)
 
         for batch in batches:
-            texts = texts_of(batch, "_text")
+            texts = text_array(batch, "_text")
             for name, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts), strict=True):
                 size = len(ids) // encoder.dtype.itemsize + 1
                 if keys and held + size > shard_tokens:
