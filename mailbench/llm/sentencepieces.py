@@ -26,6 +26,8 @@ from mailbench.llm.common import arrow_schema, kept, slices, texts_of
 SPACE = "▁"
 _BASE = np.uint64(0x100000001B3 * 2 + 1)
 _NONE = -1
+_PRESENT_BITS, _PAIR_BITS = 22, 21
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _powers(n: int) -> np.ndarray:
@@ -56,10 +58,39 @@ class PieceModel:
     left: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     right: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     usable: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))
+    # Made where the model is used: which upper bits of hashes any piece has, and pairs of pieces judged before.
+    present: np.ndarray | None = None
+    pair_keys: np.ndarray | None = None
+    pair_stays: np.ndarray | None = None
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        return np.where(self.keys[at] == hashes, self.ids[at], _NONE)
+        """Number of the piece with each hash.  Most substrings are no piece, and the upper bits of their hash tell."""
+        if self.present is None:
+            self.present = np.zeros(1 << _PRESENT_BITS, bool)
+            self.present[self.keys >> np.uint64(64 - _PRESENT_BITS)] = True
+        out = np.full(hashes.shape, _NONE)
+        flat, found = hashes.ravel(), out.ravel()
+        maybe = np.flatnonzero(self.present[flat >> np.uint64(64 - _PRESENT_BITS)])
+        wanted = flat[maybe]
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        found[maybe] = np.where(self.keys[at] == wanted, self.ids[at], _NONE)
+        return out
+
+    def stay(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """:func:`neighbours_stay`, each pair judged once as long as its place in a table of fixed size is not taken by another."""
+        if self.pair_keys is None:
+            self.pair_keys, self.pair_stays = np.full(1 << _PAIR_BITS, -1), np.zeros(1 << _PAIR_BITS, bool)
+        pair = a * len(self.score) + b
+        slot = (pair.astype(np.uint64) * _MIX) >> np.uint64(64 - _PAIR_BITS)
+        out, new = self.pair_stays[slot], np.flatnonzero(self.pair_keys[slot] != pair)
+        if len(new):
+            _, one, back = np.unique(pair[new], return_index=True, return_inverse=True)
+            some = new[one]
+            judged = neighbours_stay(self, a[some], b[some])
+            out[new] = judged[back]
+            _, last = np.unique(slot[some], return_index=True)  # of pairs with one place, one is kept
+            self.pair_keys[slot[some[last]]], self.pair_stays[slot[some[last]]] = pair[some[last]], judged[last]
+        return out
 
 
 def merge_word(model_rank: dict[str, float], word: str) -> list[str]:
@@ -209,7 +240,7 @@ def neighbours_stay(model: PieceModel, a: np.ndarray, b: np.ndarray) -> np.ndarr
 def segment_equal(model: PieceModel, words: list[str]) -> list[list[int]]:
     """Best pieces of words of one length, all at once; characters that are no piece become bytes or unknown."""
     n, size = len(words), len(words[0])
-    chars = np.array([[ord(c) for c in w] for w in words], np.uint64).reshape(n, size)
+    chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64).reshape(n, size)
     prefix = np.zeros((n, size + 1), np.uint64)
     for i in range(size):
         prefix[:, i + 1] = prefix[:, i] * _BASE + chars[:, i] + np.uint64(1)
@@ -233,7 +264,7 @@ def segment_equal(model: PieceModel, words: list[str]) -> list[list[int]]:
             before = piece[row, starts[col]]
             check = (starts[col] > 0) & (before >= 0)
             stays = best[row, starts[col]] == 0
-            stays[check] &= neighbours_stay(model, before[check], ids[row[check], col[check]])
+            stays[check] &= model.stay(before[check], ids[row[check], col[check]])
             value = np.full(ids.shape, -np.inf)
             value[row[stays], col[stays]] = 0.0
             value[alone, -1] = best[alone, end - 1]
@@ -244,19 +275,33 @@ def segment_equal(model: PieceModel, words: list[str]) -> list[list[int]]:
         choice = value.argmax(axis=1)
         rows = np.arange(n)
         best[:, end], back[:, end], piece[:, end] = value[rows, choice], starts[choice], ids[rows, choice]
-    # Follow the backpointers of all words together.
-    out: list[list[int]] = [[] for _ in words]
+    # Follow the backpointers of all words together; pieces are filled in from the right.
+    taken, count, odd = np.zeros((n, size), np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
     at = np.full(n, size)
     while (live := np.flatnonzero(at > 0)).size:
-        ends, ids = at[live], piece[live, at[live]]
-        for i, end, p in zip(live.tolist(), ends.tolist(), ids.tolist(), strict=True):
-            if p >= 0:
-                out[i].append(p)
-            else:
-                raw = model.byte_ids[list(words[i][end - 1].encode("utf-8", "surrogatepass"))]
-                out[i] += [model.unknown] if (raw < 0).any() else raw[::-1].tolist()
-        at[live] = back[live, ends]
-    return [x[::-1] for x in out]
+        ids = piece[live, at[live]]
+        odd[live[ids < 0]] = True
+        count[live] += 1
+        taken[live, size - count[live]] = ids
+        at[live] = back[live, at[live]]
+    out = [row[size - k:].tolist() for row, k in zip(taken, count.tolist())]
+    for i in np.flatnonzero(odd):
+        out[i] = _with_bytes(model, words[i], out[i])
+    return out
+
+
+def _with_bytes(model: PieceModel, word: str, ids: list[int]) -> list[int]:
+    """Characters that are no piece as their bytes, or as the unknown piece."""
+    out, at = [], 0
+    for p in ids:
+        if p >= 0:
+            out.append(p)
+            at += int(model.length[p])
+        else:
+            raw = model.byte_ids[list(word[at].encode("utf-8", "surrogatepass"))]
+            out += [model.unknown] if (raw < 0).any() else raw.tolist()
+            at += 1
+    return out
 
 
 class PieceEncoder:
@@ -316,7 +361,7 @@ def piece_codec(df: DataFrame, key: str, text: str, path: str, full: bool = True
         encoder = kept(("pieces", path), lambda: PieceEncoder(model.value))
         for batch in batches:
             texts = texts_of(batch, "_text")
-            ids = [x for a, b in slices(texts) for x in encoder.encode(texts[a:b])]
+            ids = [x for a, b in slices(texts, 1 << 22) for x in encoder.encode(texts[a:b])]
             decoded = [encoder.decode(x) for x in ids]
             columns = [batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()),
                        pa.array([a == b for a, b in zip(texts, decoded, strict=True)], pa.bool_())]
