@@ -1,4 +1,6 @@
+import io
 import os
+import random
 from datetime import datetime
 
 import pandas as pd
@@ -27,6 +29,8 @@ from mailbench.sources import (
     split_rejects,
 )
 from mailbench.sources import files as files_module
+from mailbench.sources import mail as mail_module
+from mailbench.sources.mail import read_message
 
 
 def put(root, name, content):
@@ -404,3 +408,52 @@ def test_a_store_without_renaming_at_once(spark, tmp_path, monkeypatch):
         read_report(spark, str(tmp_path / "bulk_20240102_000000"))
     monkeypatch.setattr(reports._Folders, "write", real)
     assert read_report(spark, write_report(spark.range(3), str(tmp_path), "bulk", now=datetime(2024, 1, 3)).location).count() == 3
+
+
+class Counted(io.BytesIO):
+    taken = 0
+
+    def read(self, n=-1):
+        block = super().read(n)
+        self.taken += len(block)
+        return block
+
+
+def mime(*parts, tail=b""):
+    body = b"".join(b"--B\nContent-Type: " + kind + b"\n\n" + content + b"\n" for kind, content in parts)
+    return b'From: a@x\nSubject: s\nContent-Type: multipart/mixed; boundary="B"\n\n' + body + b"--B--\n" + tail
+
+
+def test_attachments_behind_the_text_are_not_read():
+    attachment = b"QUJD" * 19 + b"\n"
+    mail = mime((b"text/html", b"<p>"), (b"text/plain", b""), (b"text/plain", b"the text"), (b"application/pdf", attachment * 400_000))
+    file = Counted(mail)
+    assert mail_module._fields("p", read_message(file))[1:4] == ("a@x", "s", "the text")
+    assert file.taken <= 2 * mail_module.FIRST_BLOCK < len(mail) // 100
+
+
+def nested(rng, depth=0):
+    """A random tree of parts, with lines that look like borders, long lines and empty texts."""
+    kinds = [b"text/plain", b"text/html", b"application/octet-stream", b'text/plain; charset="latin-1"']
+    lines = [b"--B", b"--B0", b"--B0x", b"--", b"word " * 40, b"", b"From x", b"=E9=", b"QUJD"]
+    border = b"B%d" % depth
+    parts = []
+    for _ in range(rng.randint(0, 4)):
+        if depth < 2 and rng.random() < 0.3:
+            parts.append(nested(rng, depth + 1))
+        else:
+            encoding = rng.choice([b"", b"Content-Transfer-Encoding: base64\n", b"Content-Transfer-Encoding: quoted-printable\n"])
+            content = b"\n".join(rng.choice(lines) for _ in range(rng.randint(0, 30)))
+            parts.append(b"Content-Type: " + rng.choice(kinds) + b"\n" + encoding + b"\n" + content)
+    ended = rng.choice([b"--" + border + b"--\n", b"", b"--" + border + b"--\nepilogue\n"])
+    return (b"Subject: s%d\nContent-Type: multipart/mixed; boundary=\"" % depth + border + b'"\n\n'
+            + b"".join(b"--" + border + b"\n" + p + b"\n" for p in parts) + ended)
+
+
+def test_reading_in_blocks_gives_what_the_whole_mail_gives():
+    rng = random.Random(4)
+    samples = [raw for raw, _ in MAILS.values()] + [nested(rng) for _ in range(250)]
+    for raw in samples:
+        want = mail_module._fields("p", mail_module._parsed(raw))
+        for first in (1, 40, 300):
+            assert mail_module._fields("p", read_message(io.BytesIO(raw), first)) == want
