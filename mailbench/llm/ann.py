@@ -17,6 +17,7 @@ ROTATIONS = 6  # codes of as many times the dimension
 SUBSTRING = 16  # bits
 SHARD_ROWS = 1 << 17
 LEAST_SHARD_ROWS = 1 << 12
+SHARDS_MEANT = 64  # between these bounds
 TARGET_RECALL = 0.98  # on the sample, where true neighbours are farther than among all rows
 _QUERIES_AT_ONCE = 64
 
@@ -136,10 +137,15 @@ def usable(vector: Column, dimension: int | None = None) -> Column:
     return ok if dimension is None else ok & (F.size(vector) == dimension)
 
 
+def shard_count(n: int) -> int:
+    """Shards for so many rows, whatever the cluster: a query's radius grows shard by shard, so other shards may find other neighbours."""
+    return -(-n // min(SHARD_ROWS, max(LEAST_SHARD_ROWS, n // SHARDS_MEANT)))
+
+
 def nearest(df: DataFrame, key: str, vector: str, is_query: Column, k: int = 10, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """``query_id, rank, vec_id, score``: each query's k nearest other rows, by Euclidean distance.
 
-    Rows are dealt evenly to shards by a hash of the key; each query visits every shard.  A task reads a
+    Rows are dealt evenly to shards by a hash of the key, as many as their number alone says; each query visits every shard.  A task reads a
     shard's rows, builds its index, and then lets the shard's queries stream by: in memory
     are one shard of bounded size and one batch.  Rotations and radius are learned from
     ``sample_rows`` rows of the smallest hashes.  Rows are excluded from their own results by key; ties go to
@@ -159,8 +165,7 @@ def nearest(df: DataFrame, key: str, vector: str, is_query: Column, k: int = 10,
     sample = rows.select("v", F.xxhash64("id", F.lit(1)).alias("h")).orderBy("h").limit(sample_rows)
     codes = learn_codes(np.array([r["v"] for r in sample.collect()], np.float64), k)
     learned = spark.sparkContext.broadcast(codes)  # its size depends on the dimension alone
-    most = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    shards = max(-(-n // SHARD_ROWS), min(most, -(-n // LEAST_SHARD_ROWS)))
+    shards = shard_count(n)
     data = rows.select(F.pmod(F.xxhash64("id"), F.lit(shards).cast("long")).alias("shard"), F.lit(False).alias("asks"), "id", "v")
     asking = rows.where("q").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.lit(True).alias("asks"), "id", "v")
     schema = arrow_schema(kinds)

@@ -42,16 +42,20 @@ FIRST_OWN_KEY = 1 << 62
 
 
 def with_own_key(df: DataFrame, key: str, name: str) -> DataFrame:
-    """``df``, written, with a column ``name`` that tells its rows apart: the key where it does, else a number beyond all keys.
+    """``df`` with a column ``name`` that tells its rows apart: the key where it does, else a number beyond all keys.
 
     Numbers start at 2 ** 62; keys of that size are replaced, too, and nulls and repeated keys.  Verdicts that are joined by it
-    are those of the very row, whatever the keys are.
+    are those of the very row, whatever the keys are.  If any key has to be replaced, the rows are written with their numbers;
+    the keys to replace are written first, so that their size is known to the join.
     """
-    own, repeated = F.col(key).cast("long"), free_names(df, "_repeated")[0]
-    often = df.groupBy(own.alias(repeated)).agg(F.count("*").alias("n")).where("n > 1").select(repeated)
-    met = df.join(often, own == F.col(repeated), "left")
-    plain = own.isNotNull() & F.col(repeated).isNull() & (own < FIRST_OWN_KEY)
-    numbered = F.when(plain, own).otherwise(F.lit(FIRST_OWN_KEY) + F.monotonically_increasing_id())
+    own, bad = F.col(key).cast("long"), free_names(df, "_replaced")[0]
+    unfit = F.col("n").cast("long") > 1
+    often = df.groupBy(own.alias(bad)).agg(F.count("*").alias("n")).where(unfit | F.col(bad).isNull() | (F.col(bad) >= FIRST_OWN_KEY))
+    replaced = stage(often.select(bad), "replaced-keys")
+    if replaced.isEmpty():
+        return df.withColumn(name, own)
+    met = df.join(replaced, own == F.col(bad), "left")
+    numbered = F.when(own.isNotNull() & F.col(bad).isNull(), own).otherwise(F.lit(FIRST_OWN_KEY) + F.monotonically_increasing_id())
     return stage(met.select(*[F.col(c) for c in df.columns], numbered.alias(name)), "own-keys")
 
 

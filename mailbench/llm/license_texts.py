@@ -102,15 +102,6 @@ _NOTICE_IN = {
     "MPL-2.0": ("MPL-2.0", "This Source Code Form is subject to the terms", "\n\n"),
 }
 
-# Whole texts that are nothing but a notice.
-NOTICES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "MIT": "Released under the MIT License.",
-}
-
-
 def long_texts() -> list[tuple[str, str]]:
     """Whole files, the terms without what follows them, and the notices that they give."""
     out = []
@@ -130,4 +121,4 @@ def long_texts() -> list[tuple[str, str]]:
 def known_texts() -> list[tuple[str, str]]:
     """Identifier and text, one pair per form in which a licence is known."""
     whole = [(name, text) for name, (title, body) in LICENSES.items() for text in (body, f"{title}\n\n{body}")]
-    return whole + list(NOTICES.items()) + long_texts()
+    return whole + long_texts()

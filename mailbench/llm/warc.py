@@ -162,12 +162,15 @@ def read_records(source) -> Iterator[tuple[dict[str, str], bytes]]:
         yield fields, block
 
 
-PARTS = "origin string, number int, total long, kind string, page_id long, url string, sha1 string, refers_to string, size long, block binary"
+PARTS = "origin string, number int, total long, kind string, http boolean, page_id long, url string, sha1 string, refers_to string, size long, block binary"
 PAGES = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long, error string"
 
 
 def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
-    """One row per response or revisit in the archives of ``archives.uri``, reassembled.
+    """One row per record in the archives of ``archives.uri``, reassembled, of whatever type it is.
+
+    HTTP framing is decoded where the content type is ``application/http``; of a request the payload is its body. Other blocks
+    (resource, conversion, metadata, warcinfo) are payloads as they stand.
 
     Whole records are decoded where they are read.  Segments are grouped by their origin's id, sorted
     by number, joined, held against the total length, and decoded; one chain at a time is in memory.
@@ -178,9 +181,9 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
 
     def row_of(part, block, error):
         payload = None
-        if part["kind"] == "response" and not error:
+        if part["kind"] not in ("revisit", "continuation") and not error:
             try:
-                payload = payload_of(block)
+                payload = payload_of(block) if part["http"] else block
                 error = None if part["sha1"] in (None, digest(payload)) else "payload digest differs"
             except ValueError as e:
                 error = str(e)
@@ -197,13 +200,12 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
                 with open_shared(uri) as file:
                     for fields, block in read_records(file):
                         kind = fields.get("warc-type")
-                        if kind not in ("response", "revisit", "continuation"):
-                            continue
                         number = int(fields.get("warc-segment-number", 0))
+                        http = fields.get("content-type", "").lower().startswith("application/http")
                         size = int(split_http(block)[0].get("content-length", 0)) if kind == "revisit" else None
                         out.append(dict(zip(parts_schema.names, (
                             fields.get("warc-segment-origin-id", fields.get("warc-record-id")), number,
-                            int(t) if (t := fields.get("warc-segment-total-length")) else None, kind,
+                            int(t) if (t := fields.get("warc-segment-total-length")) else None, kind, http,
                             int(p) if (p := fields.get("page-id")) else None, fields.get("warc-target-uri"),
                             fields.get("warc-payload-digest", "").removeprefix("sha1:") or None, fields.get("warc-refers-to"), size, block), strict=True)))
                         held += len(block)

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mailbench.llm.ann import MultiIndex, distances, learn_codes, nearest
+from mailbench.llm.ann import MultiIndex, distances, learn_codes, nearest, shard_count
 from mailbench.llm.common import write_shared, shared_folder
 from mailbench.llm.warc import (
     archive_round_trip, decode_chunked, digest, frame_chunked, page_records, read_archives, read_records, record, write_archives,
@@ -115,3 +115,42 @@ def test_broken_chains_are_told(spark):
     assert rows[1].error == "segment missing" and rows[2].error == "payload digest differs" and bytes(rows[3].payload) == data
     with pytest.raises(ValueError):
         list(read_records(io.BytesIO(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nshort")))
+
+
+def test_records_of_every_type(spark, tmp_path):
+    """Resources and conversions, whole and in segments, requests, and a response that is no HTTP message."""
+    http = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n3\r\nabc\r\n0\r\n\r\n"
+    rows = [("warcinfo", "application/warc-fields", [b"software: x"]), ("resource", "text/plain", [b"one ", b"two ", b"three"]),
+            ("conversion", "text/plain", [b"HTTP/1.1 is no head here\r\n\r\nx"]), ("response", "application/http; msgtype=response", [http[:30], http[30:]]),
+            ("response", "text/dns", [b"dns answer"]), ("request", "application/http", [b"POST / HTTP/1.1\r\n\r\nbody"]), ("metadata", "", [b""])]
+    data = b""
+    for i, (kind, content, parts) in enumerate(rows):
+        for number, part in enumerate(parts, 1):
+            fields = {"WARC-Type": kind if number == 1 else "continuation", "WARC-Record-ID": f"<urn:x:{i}:{number}>", "Page-Id": str(i)}
+            if content and number == 1:
+                fields["Content-Type"] = content
+            if len(parts) > 1:
+                fields["WARC-Segment-Number"] = str(number)
+                fields |= {"WARC-Segment-Origin-ID": f"<urn:x:{i}:1>"} if number > 1 else {}
+                fields |= {"WARC-Segment-Total-Length": str(sum(map(len, parts)))} if number == len(parts) else {}
+            data += record(fields, part)
+    (tmp_path / "all.warc.gz").write_bytes(data)
+    got = read_archives(spark.createDataFrame([(f"file://{tmp_path}/all.warc.gz",)], "uri string")).collect()
+    found = {r["page_id"]: (r["record_type"], bytes(r["payload"] or b""), r["error"]) for r in got}
+    assert found == {0: ("warcinfo", b"software: x", None), 1: ("resource", b"one two three", None), 2: ("conversion", rows[2][2][0], None),
+                     3: ("response", b"abc", None), 4: ("response", b"dns answer", None), 5: ("request", b"body", None), 6: ("metadata", b"", None)}
+
+
+def test_neighbours_do_not_hang_on_the_cluster(spark):
+    """Shards follow from the number of rows alone."""
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.standard_normal(16).tolist()) for i in range(9000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert shard_count(9000) == 3 and shard_count(1) == 1 and shard_count(10 ** 9) == 7630
+    one = sorted(map(tuple, nearest(df, "vec_id", "embedding", F.col("vec_id") % 100 == 0).collect()))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        assert sorted(map(tuple, nearest(df.repartition(9), "vec_id", "embedding", F.col("vec_id") % 100 == 0).collect())) == one
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
