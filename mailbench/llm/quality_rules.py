@@ -116,6 +116,22 @@ def _moments(sums: DataFrame, factor: float = 1.0) -> list[Column]:
             *((factor * (F.col(f"s_{i}_{j}") / F.col("n") - mean[i] * mean[j])).alias(f"c_{i}_{j}") for i, j in _PAIRS)]
 
 
+BROADCAST_ROWS = 20_000  # of at most 50 numbers: 8 MB
+SALTS = 64
+
+
+def with_statistics(rows: DataFrame, stats: DataFrame, how: str = "inner", keys: tuple[str, ...] = ("grp",)) -> DataFrame:
+    """Rows with what a written table says of their group.  They stay where they are, or are dealt by salt and group: never by the group alone.
+
+    The table is sent to all tasks if its rows, counted here, are few enough; else each row of it meets 64 parts of its group.
+    """
+    if stats.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(stats), [*keys], how)
+    salted = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    parts = stats.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.join(parts, [*keys, "_salt"], how).drop("_salt")
+
+
 _STATS = [*(f"m_{i}" for i in range(5)), *(f"l_{i}_{j}" for i, j in _PAIRS)]
 
 
@@ -124,12 +140,12 @@ def first_estimates(vectors: DataFrame) -> DataFrame:
     middle = vectors.groupBy("grp").agg(
         F.count("*").alias("size"), *(F.percentile_approx(f"x{i}", 0.5, 10000).alias(f"o_{i}") for i in range(5)))
     middle = stage(middle, "mcd")  # a row per group: its size is known to the joins, and no group is gathered for it
-    near = vectors.join(middle, "grp")
+    near = with_statistics(vectors, middle)
     scale = near.groupBy("grp", "size", *(f"o_{i}" for i in range(5))).agg(
         *(F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"o_{i}")), 0.5, 10000).alias(f"q_{i}") for i in range(5)))
     scale = scale.select("*", *((1.4826 * F.col(f"q_{i}") + FLOORS[i]).alias(f"w_{i}") for i in range(5)))
     scale = stage(scale, "mcd")
-    about = vectors.join(scale, "grp")
+    about = with_statistics(vectors, scale)
     dx = [F.col(f"x{i}") - F.col(f"o_{i}") for i in range(5)]
     length = reduce(lambda a, b: a + b, ((d / F.col(f"w_{i}")) ** 2 for i, d in enumerate(dx)))
     keys = ["grp", "size", *(f"o_{i}" for i in range(5)), *(f"w_{i}" for i in range(5))]
@@ -149,7 +165,7 @@ def concentrate(vectors: DataFrame, stats: DataFrame) -> DataFrame:
     with the document of rank h, so that equal distances stay together and any order of rows gives
     the same half.  Only sums per bin are shuffled.
     """
-    near = with_distance(vectors.join(stats.select("grp", "size", "start", *_STATS), "grp"))
+    near = with_distance(with_statistics(vectors, stats.select("grp", "size", "start", *_STATS)))
     bin_ = F.floor(BINS * F.log2(F.greatest(F.col("d2"), F.lit(1e-9)))).cast("int")
     dx = [F.col(f"x{i}") - F.col(f"m_{i}") for i in range(5)]
     keys = ["grp", "size", "start", *(F.col(f"m_{i}").alias(f"o_{i}") for i in range(5))]
@@ -180,8 +196,8 @@ def robust_estimates(vectors: DataFrame) -> DataFrame:
             break
         before = moved
     best = stats.groupBy("grp").agg(F.min_by(F.struct(*_STATS, "edge"), F.struct("logdet", "start")).alias("b"))
-    best = best.select("grp", *(F.col(f"b.{x}").alias(x) for x in _STATS), (F.col("b.edge") / HALF).alias("scale"))
-    near = with_distance(vectors.join(best, "grp")).where(F.col("d2") <= TRIM * F.col("scale"))
+    best = stage(best.select("grp", *(F.col(f"b.{x}").alias(x) for x in _STATS), (F.col("b.edge") / HALF).alias("scale")), "mcd")
+    near = with_distance(with_statistics(vectors, best)).where(F.col("d2") <= TRIM * F.col("scale"))
     dx = [F.col(f"x{i}") - F.col(f"m_{i}") for i in range(5)]
     sums = near.groupBy("grp", *(F.col(f"m_{i}").alias(f"o_{i}") for i in range(5))).agg(*_sums(dx))
     return cholesky(sums.select("grp", *_moments(sums, TRIM_FACTOR))).select("grp", *_STATS)
@@ -228,10 +244,10 @@ def quality_verdicts(df: DataFrame, key: str = "doc_id", text: str = "text", lan
                                      | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))), "quality")
     vectors = counts.select("*", *features(), _name("_lang", "_source").alias("own"), _name("_lang").alias("pool"))
     groups = judging_groups(vectors)
-    grouped = stage(vectors.join(groups, ["own", "pool"], "left").drop("own", "pool"), "quality-vectors")
+    grouped = stage(with_statistics(vectors, groups, "left", ("own", "pool")).drop("own", "pool"), "quality-vectors")
     judged = grouped.where(~F.col("base_failed")).select(F.explode("within").alias("grp"), *FEATURES)
     estimates = stage(robust_estimates(judged), "mcd")
-    rows = with_distance(grouped.join(estimates, "grp", "left"), "distance")
+    rows = with_distance(with_statistics(grouped, estimates, "left"), "distance")
     return rows.select(
         F.col("doc_id").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))).alias("kept"), "distance")

@@ -7,6 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from mailbench.llm import quality_rules
@@ -363,3 +364,24 @@ def test_own_keys(spark):
     got = with_own_key(spark.createDataFrame(rows, "doc_id long, _repeated int"), "doc_id", "own").collect()
     assert len({r["own"] for r in got}) == len(rows)
     assert {r["doc_id"]: r["own"] for r in got if r["own"] < 1 << 62} == {1: 1, 3: 3, -5: -5}
+
+
+def test_statistics_meet_rows_where_they_are(spark, monkeypatch):
+    """By a broadcast, or by salt and group: the same rows, and no task gets a whole group."""
+    rows = quality_rules.stage(spark.range(3000).selectExpr("IF(id < 2900, 'hot', concat('g', id)) AS grp", "id"), "t")
+    stats = quality_rules.stage(rows.groupBy("grp").count(), "t")
+    want = sorted(map(tuple, rows.join(stats, "grp").select("grp", "id", "count").collect()))
+    for bound in (20_000, 3):
+        monkeypatch.setattr(quality_rules, "BROADCAST_ROWS", bound)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        try:
+            joined = quality_rules.with_statistics(rows, stats)
+            assert sorted(map(tuple, joined.select("grp", "id", "count").collect())) == want
+            plan = joined._jdf.queryExecution().executedPlan().toString()
+            assert "hashpartitioning(grp#" not in plan or "_salt" in plan
+            most = joined.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+            assert most < 2900
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
