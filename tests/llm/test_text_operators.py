@@ -10,11 +10,11 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from mailbench.llm import quality_rules
+from mailbench.llm import paragraph_dedup, quality_rules
 from mailbench.llm.common import connected_components, with_own_key
 from mailbench.llm.license_scan import known_licenses, license_scan, license_scan_sql
 from mailbench.llm.license_texts import LICENSES, long_texts
-from mailbench.llm.paragraph_dedup import anchors, linked, repeated_passages, tune_bands, without_repeats
+from mailbench.llm.paragraph_dedup import WordHashes, anchors, linked, repeated_passages, run_hashes, tune_bands, without_repeats
 from mailbench.llm.quality_rules import quality_verdicts, word_statistics
 from mailbench.llm.simhash import fingerprint, fingerprint_links, simhash_components
 from mailbench.llm.token_counts import token_counts
@@ -385,3 +385,88 @@ def test_statistics_meet_rows_where_they_are(spark, monkeypatch):
         finally:
             spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
             spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+# Substring dedup as a whole
+
+
+def brute_units(texts, width):
+    """Lines, sentence passages and anchors of each text, by plain loops: (doc, start, stop, what makes it equal to others, words)."""
+    out = []
+    for doc, text in texts:
+        found = [(m.start(), m.end()) for m in re.finditer(r"\S+", text)]
+        own = [text[a:b].lower() for a, b in found]
+        n = len(own)
+        line_of = [text.count("\n", 0, a) for a, _ in found]
+        lines = {}
+        for i, line in enumerate(line_of):
+            lines.setdefault(line, []).append(i)
+        whole = set()
+        for line, at in lines.items():
+            if len(at) >= width:
+                start = 0 if line == 0 else [m.end() for m in re.finditer("\n", text)][line - 1]
+                end = text.find("\n", found[at[0]][0])
+                out.append((doc, start, len(text) if end < 0 else end, tuple(own[at[0]:at[-1] + 1]), True))
+                whole.add((at[0], at[-1] + 1))
+        ends = [i + 1 for i in range(n) if i + 1 == n or own[i][-1] in ".!?" or line_of[i + 1] != line_of[i]]
+        for start in [0, *ends[:-1]] if n else []:
+            stop = next((e for e in ends if e >= start + width), None)
+            if stop and (start, stop) not in whole:
+                out.append((doc, found[start][0], found[stop - 1][1], tuple(own[start:stop]), False))
+        windows = [int(run_hashes(WordHashes().of(own[i:i + width]), np.array([width]))[0]) for i in range(n - width + 1)]
+        mixed = [int(paragraph_dedup._mix(np.array([h], np.uint64) ^ paragraph_dedup._ANCHORED)[0]) for h in windows]
+        chosen = {i + j for i in range(len(mixed) - width) for j in range(width + 1) if mixed[i + j] == min(mixed[i:i + width + 1])}
+        last = {}
+        for i in sorted(chosen):
+            if last.get(mixed[i], -width) + width <= i:
+                last[mixed[i]] = i
+                out.append((doc, found[i][0], found[i + width - 1][1], ("anchor", *own[i:i + width]), False))
+    return out
+
+
+def brute_passages(texts, similarity=0.8, width=25):
+    """Every pair of lines compared, equal units joined; what stays is the first of a component."""
+    rows = brute_units(texts, width)
+    classes = sorted({r[3] for r in rows})
+    shingles = {r[3]: {r[3][i:i + 5] for i in range(len(r[3]) - 4)} for r in rows if r[4]}
+    links = {c: c for c in classes}
+
+    def root(c):
+        while links[c] != c:
+            c = links[c]
+        return c
+
+    for a in shingles:
+        for b in shingles:
+            if a < b and len(shingles[a] & shingles[b]) >= similarity * len(shingles[a] | shingles[b]):
+                links[root(a)] = root(b)
+    groups = collections.defaultdict(list)
+    for doc, start, stop, words_, _ in rows:
+        groups[root(words_)].append((doc, start, stop))
+    return sorted((*unit, min(g)[0], unit != min(g)) for g in groups.values() if len(g) > 1 for unit in g)
+
+
+def test_substring_dedup_against_all_pairs(spark):
+    """300 documents with copied lines, near copies, and passages put inside other lines: all units, their first places and what goes."""
+    rng = np.random.default_rng(9)
+    pool = [words(int(s), 70) for s in range(40)]
+
+    def line(w):
+        return " ".join(x + ("." if i % 11 == 10 else "") for i, x in enumerate(w))
+
+    def near(w):
+        at = int(rng.integers(5, len(w) - 5))
+        return [*w[:at], "changed", *w[at + 1:]]  # five shingles of about 66: similarity 0.85
+
+    texts = []
+    for doc in range(300):
+        parts = []
+        for _ in range(int(rng.integers(1, 4))):
+            w, kind = pool[int(rng.integers(0, 40))], int(rng.integers(0, 4))
+            own = words(1000 + 7 * doc + len(parts), 40)
+            start = int(rng.integers(0, 15))
+            parts.append([line(w), line(near(w)), line(own), line(own[:13] + w[start:start + 54] + own[13:])][kind])
+        texts.append((doc, "\n".join(parts)))
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    got = sorted(map(tuple, paragraph_dedup.repeated_units(df, "doc_id", "text").collect()))
+    assert got == brute_passages(texts) and len(got) > 300
