@@ -136,8 +136,21 @@ def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     return [x or "" for x in batch.column(batch.schema.get_field_index(column)).to_pylist()]
 
 
-def text_array(batch: pa.RecordBatch, column: str) -> pa.StringArray:
-    return pc.fill_null(batch.column(batch.schema.get_field_index(column)), "").cast(pa.string())
+TEXTS_AT_ONCE = 1 << 22  # bytes of text that are encoded together
+
+
+def text_blocks(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[tuple[pa.Array, pa.StringArray]]:
+    """First column and texts of neighbouring batches, put together to about ``TEXTS_AT_ONCE`` bytes; nulls are empty."""
+    held, size = [], 0
+    for batch in batches:
+        texts = pc.fill_null(batch.column(batch.schema.get_field_index(column)), "").cast(pa.string())
+        held.append((batch.column(0), texts))
+        size += texts.nbytes
+        if size >= TEXTS_AT_ONCE:
+            yield tuple(pa.concat_arrays(x) for x in zip(*held))
+            held, size = [], 0
+    if held:
+        yield tuple(pa.concat_arrays(x) for x in zip(*held))
 
 
 # Byte-level tokenizing
@@ -281,6 +294,8 @@ class ByteEncoder:
 
     def _add(self, new: list[str]) -> None:
         """Put chunks in the table.  Stops and commas behind a letter are pre-tokens of their own: each word goes through the library without."""
+        if not new:
+            return
         units: dict[str, int] = {}
         pairs = np.zeros((len(new), 2), np.int64)
         for i, chunk in enumerate(new):
@@ -302,16 +317,17 @@ class ByteEncoder:
         lists = chunk_lists(texts)
         named = lists.flatten().dictionary_encode()
         places = pc.index_in(named.dictionary, value_set=self.known)
-        new = named.dictionary.filter(pc.is_null(places)).to_pylist()
-        short, long = ([x for x in new if (len(x) > _LONGEST_KEPT) == over] for over in (False, True))
-        if short:
-            self._add(short)
+        unknown = np.flatnonzero(pc.is_null(places).to_numpy(zero_copy_only=False))
+        places = pc.fill_null(places, 0).to_numpy().astype(np.int64)
+        new = named.dictionary.take(pa.array(unknown)).to_pylist()
+        too_long = np.fromiter((len(x) > _LONGEST_KEPT for x in new), bool, len(new))
+        places[unknown[~too_long]] = len(self.starts) + np.arange((~too_long).sum())
+        self._add([x for x, over in zip(new, too_long) if not over])
         kept_ids, kept_chunks = len(self.ids), len(self.starts)
-        if long:
-            self._add(long)
-        if new:
-            places = pc.index_in(named.dictionary, value_set=self.known)
-        places = places.to_numpy()[named.indices.to_numpy()]
+        long = [x for x, over in zip(new, too_long) if over]
+        places[unknown[too_long]] = kept_chunks + np.arange(len(long))
+        self._add(long)
+        places = places[named.indices.to_numpy()]
         sizes = self.sizes[places]
         ids = self.ids[ragged(self.starts[places], sizes)]
         if long:
@@ -327,7 +343,7 @@ class ByteEncoder:
         if not self.by_chunk:
             yield from (x.tobytes() for x in self._library(texts.to_pylist()))
             return
-        for start, stop in slices_by(pc.binary_length(texts).to_numpy(), 1 << 23):
+        for start, stop in slices_by(pc.binary_length(texts).to_numpy(), TEXTS_AT_ONCE):
             yield from self._gathered(texts.slice(start, stop - start))
 
 

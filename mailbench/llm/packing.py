@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mailbench.llm.common import arrow_schema, byte_encoder, text_array
+from mailbench.llm.common import arrow_schema, byte_encoder, text_blocks
 from mailbench.session import stage
 
 ROUNDS = 300  # multiplicative steps of the least-squares fit
@@ -153,10 +153,9 @@ def cut_pieces(df: DataFrame, key: str, text: str, path: str, size: int, end_id:
 
         part, encoder = TaskContext.get().partitionId(), byte_encoder(path)
         seen = [0] * (size + 1)
-        for batch in batches:
+        for names, texts in text_blocks(batches, "_text"):
             columns: list[list] = [[] for _ in schema.names]
-            texts = text_array(batch, "_text")
-            for name, raw in zip(batch.column(0).to_pylist(), encoder.encode(texts), strict=True):
+            for name, raw in zip(names.to_pylist(), encoder.encode(texts), strict=True):
                 ids = np.append(np.frombuffer(raw, encoder.dtype), end_id).astype("<u4")
                 bounds = [0, *range((len(ids) - 1) % size + 1, len(ids) + 1, size)]
                 for piece, (a, b) in enumerate(zip(bounds, bounds[1:])):

@@ -14,12 +14,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailbench.llm.common import (
-    arrow_schema, byte_encoder, open_shared, shared_folder, text_array, write_shared,
+    arrow_schema, byte_encoder, open_shared, shared_folder, text_blocks, write_shared,
 )
 from mailbench.session import stage
 
-MAGIC = b"WVMX0001"
+MAGIC = b"WVMX0002"
 BLOCK = 512  # bits per entry of the rank directory
+FRAME_BYTES = 1 << 14  # of a plane, compressed by themselves
 SHARD_TOKENS = 1 << 22
 
 
@@ -31,8 +32,9 @@ class WaveletMatrix:
     in stable order.
     """
 
-    def __init__(self, alphabet: np.ndarray, length: int, planes: list[np.ndarray], zeros: list[int]):
+    def __init__(self, alphabet: np.ndarray, length: int, planes: list, zeros: list[int], ones_of=None):
         self.alphabet, self.length, self.planes, self.zeros = alphabet, length, planes, zeros
+        self.ones_of = ones_of or (lambda depth: block_ones(self.planes[depth]))
         self.directory: list[np.ndarray | None] = [None] * len(planes)
 
     @classmethod
@@ -59,7 +61,7 @@ class WaveletMatrix:
         """All ids in order: each plane, from the last up, puts the symbols back in place."""
         symbols, kind = None, np.uint16 if len(self.planes) <= 16 else np.uint32
         for depth in reversed(range(len(self.planes))):
-            ones = np.unpackbits(self.planes[depth], count=self.length, bitorder="little").view(bool)
+            ones = np.unpackbits(self.planes[depth][:], count=self.length, bitorder="little").view(bool)
             bit = kind(1 << len(self.planes) - 1 - depth)
             back = np.empty(self.length, kind)
             zeros = self.zeros[depth]
@@ -72,17 +74,28 @@ class WaveletMatrix:
 
     # Single places
 
+    def _before(self, depth: int) -> np.ndarray:
+        """Ones before each block of a plane, and in all."""
+        if self.directory[depth] is None:
+            self.directory[depth] = np.append(0, np.cumsum(self.ones_of(depth), dtype=np.int64))
+        return self.directory[depth]
+
+    def _bits(self, depth: int, block: int) -> np.ndarray:
+        return np.unpackbits(self.planes[depth][block * BLOCK // 8:(block + 1) * BLOCK // 8], bitorder="little")
+
     def _rank1(self, depth: int, at: int) -> int:
         """Ones before ``at`` on a plane: the directory's entry and the bits after it."""
-        if self.directory[depth] is None:
-            padded = np.zeros(-(-len(self.planes[depth]) * 8 // BLOCK) * BLOCK // 8, np.uint8)
-            padded[:len(self.planes[depth])] = self.planes[depth]
-            per_block = np.bitwise_count(padded).reshape(-1, BLOCK // 8).sum(axis=1, dtype=np.int64)
-            self.directory[depth] = np.append(0, np.cumsum(per_block))
         block = at // BLOCK
-        rest = self.planes[depth][block * BLOCK // 8:at // 8 + 1]
-        bits = np.unpackbits(rest, bitorder="little")[:at - block * BLOCK]
-        return int(self.directory[depth][block]) + int(bits.sum())
+        inside = self._bits(depth, block)[:at - block * BLOCK].sum() if at % BLOCK else 0
+        return int(self._before(depth)[block]) + int(inside)
+
+    def _select(self, depth: int, bit: int, k: int) -> int:
+        """The place of the k-th such bit of a plane, from 0: its block by the directory, then its place there."""
+        before = self._before(depth)
+        if not bit:
+            before = np.minimum(np.arange(len(before)) * BLOCK, self.length) - before
+        block = int(np.searchsorted(before, k, side="right")) - 1
+        return block * BLOCK + int(np.flatnonzero(self._bits(depth, block) == bit)[k - int(before[block])])
 
     def _bit(self, depth: int, at: int) -> int:
         return int(self.planes[depth][at >> 3]) >> (at & 7) & 1
@@ -132,46 +145,100 @@ class WaveletMatrix:
         at = self._range(symbol, 0)[0] + k
         for depth in reversed(range(len(self.planes))):
             bit = symbol >> len(self.planes) - 1 - depth & 1
-            want = at - self.zeros[depth] if bit else at
-            low, high = 0, self.length  # the least prefix with more than `want` such bits
-            while low < high:
-                middle = (low + high) // 2
-                ones = self._rank1(depth, middle + 1)
-                if (ones if bit else middle + 1 - ones) > want:
-                    high = middle
-                else:
-                    low = middle + 1
-            at = low
+            at = self._select(depth, bit, at - self.zeros[depth] if bit else at)
         return at
 
 
+def block_ones(plane: np.ndarray) -> np.ndarray:
+    """Ones in each block of a plane."""
+    padded = np.zeros(-(-len(plane) * 8 // BLOCK) * BLOCK // 8, np.uint8)
+    padded[:len(plane)] = plane[:]
+    return np.bitwise_count(padded).reshape(-1, BLOCK // 8).sum(axis=1, dtype=np.uint16)
+
+
 def write_shard(keys: list, lengths: np.ndarray, ids: np.ndarray) -> bytes:
-    """File: magic, lengths of the parts, then Zstandard frames (head, keys, lengths, alphabet, planes)."""
+    """File: magic, length of the head, head, then Zstandard frames, whose sizes the head tells.
+
+    Frames are keys, lengths, alphabet, one rank directory per plane (ones per block of 512 bits), and the planes in
+    pieces of 16 kB: a lookup reads the head, the directories and the pieces it touches.
+    """
     matrix = WaveletMatrix.build(ids)
-    head = json.dumps({"length": matrix.length, "zeros": matrix.zeros}).encode()
-    parts = [head, json.dumps(keys).encode(), lengths.astype("<i8").tobytes(), matrix.alphabet.astype("<u4").tobytes(),
-             *(p.tobytes() for p in matrix.planes)]
-    packed = [zstandard.ZstdCompressor(1).compress(p) for p in parts]
+    parts = [json.dumps(keys).encode(), lengths.astype("<i8").tobytes(), matrix.alphabet.astype("<u4").tobytes(),
+             *(block_ones(p).astype("<u2").tobytes() for p in matrix.planes),
+             *(p[i:i + FRAME_BYTES].tobytes() for p in matrix.planes for i in range(0, len(p), FRAME_BYTES))]
+    packer = zstandard.ZstdCompressor(1)
+    packed = [packer.compress(p) for p in parts]
+    head = packer.compress(json.dumps({
+        "length": matrix.length, "zeros": matrix.zeros, "frame": FRAME_BYTES, "sizes": [*map(len, packed)]}).encode())
     out = io.BytesIO()
-    out.write(MAGIC + struct.pack("<I", len(packed)) + struct.pack(f"<{len(packed)}Q", *map(len, packed)))
+    out.write(MAGIC + struct.pack("<I", len(head)) + head)
     for p in packed:
         out.write(p)
     return out.getvalue()
 
 
+class StoredPlane:
+    """Bytes of a plane in a shard file; the pieces that are touched are read and kept."""
+
+    def __init__(self, shard: ShardFile, first: int, size: int):
+        self.shard, self.first, self.size, self.pieces = shard, first, size, {}
+
+    def __len__(self) -> int:
+        return self.size
+
+    def _piece(self, i: int) -> np.ndarray:
+        if i not in self.pieces:
+            self.pieces[i] = np.frombuffer(self.shard.frame(self.first + i), np.uint8)
+        return self.pieces[i]
+
+    def __getitem__(self, at):
+        step = self.shard.head["frame"]
+        if not isinstance(at, slice):
+            return self._piece(at // step)[at % step]
+        low, high, _ = at.indices(self.size)
+        pieces = [self._piece(i)[max(low - i * step, 0):high - i * step] for i in range(low // step, -(-high // step))]
+        return pieces[0] if len(pieces) == 1 else np.concatenate(pieces) if pieces else np.zeros(0, np.uint8)
+
+
+class ShardFile:
+    """One shard, read as far as it is asked for; ``bytes_read`` counts that."""
+
+    def __init__(self, file):
+        self.file, self.bytes_read = file, 0
+        if self._read(0, 8) != MAGIC:
+            raise ValueError("not a wavelet shard")
+        (size,) = struct.unpack("<I", self._read(8, 4))
+        self.head = json.loads(zstandard.ZstdDecompressor().decompress(self._read(12, size)))
+        self.starts = 12 + size + np.append(0, np.cumsum(self.head["sizes"], dtype=np.int64))
+
+    def _read(self, at: int, size: int) -> bytes:
+        self.file.seek(at)
+        data = self.file.read(size)
+        self.bytes_read += len(data)
+        return data
+
+    def frame(self, i: int) -> bytes:
+        return zstandard.ZstdDecompressor().decompress(self._read(int(self.starts[i]), self.head["sizes"][i]))
+
+    def keys(self) -> list:
+        return json.loads(self.frame(0))
+
+    def lengths(self) -> np.ndarray:
+        return np.frombuffer(self.frame(1), "<i8")
+
+    def matrix(self) -> WaveletMatrix:
+        length, zeros = self.head["length"], self.head["zeros"]
+        size = -(-length // 8)
+        pieces = -(-size // self.head["frame"])
+        planes = [StoredPlane(self, 3 + len(zeros) + depth * pieces, size) for depth in range(len(zeros))]
+        return WaveletMatrix(np.frombuffer(self.frame(2), "<u4").astype(np.int64), length, planes, zeros,
+                             lambda depth: np.frombuffer(self.frame(3 + depth), "<u2"))
+
+
 def read_shard(data: bytes) -> tuple[list, np.ndarray, WaveletMatrix]:
     """Keys, tokens per key and the matrix of one file."""
-    if data[:8] != MAGIC:
-        raise ValueError("not a wavelet shard")
-    (n,) = struct.unpack_from("<I", data, 8)
-    sizes, at, parts = struct.unpack_from(f"<{n}Q", data, 12), 12 + 8 * n, []
-    for size in sizes:
-        parts.append(zstandard.ZstdDecompressor().decompress(data[at:at + size]))
-        at += size
-    head = json.loads(parts[0])
-    matrix = WaveletMatrix(np.frombuffer(parts[3], "<u4").astype(np.int64), head["length"],
-                           [np.frombuffer(p, np.uint8) for p in parts[4:]], head["zeros"])
-    return json.loads(parts[1]), np.frombuffer(parts[2], "<i8"), matrix
+    shard = ShardFile(io.BytesIO(data))
+    return shard.keys(), shard.lengths(), shard.matrix()
 
 
 MANIFEST = "task long, shard long, uri string, documents long, tokens long"
@@ -206,9 +273,8 @@ def write_token_shards(df: DataFrame, key: str, text: str, path: str, end_id: in
             keys, parts, held, shard = [], [], 0, shard + 1
             return pa.RecordBatch.from_pylist([dict(zip(schema.names, row, strict=True))], schema)
 
-        for batch in batches:
-            texts = text_array(batch, "_text")
-            for name, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts), strict=True):
+        for names, texts in text_blocks(batches, "_text"):
+            for name, ids in zip(names.to_pylist(), encoder.encode(texts), strict=True):
                 size = len(ids) // encoder.dtype.itemsize + 1
                 if keys and held + size > shard_tokens:
                     yield close()
@@ -226,11 +292,15 @@ def write_token_shards(df: DataFrame, key: str, text: str, path: str, end_id: in
 def read_token_shards(manifest: DataFrame) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document in the listed files.
 
-    ``start`` counts the ids of all shards and documents before it.  The running sum over
-    shards sees one row per shard.  The crc is that of the ids as little-endian 32-bit numbers.
+    ``start`` counts the ids of all shards and documents before it: sums run over the shards of each writing
+    task, and over one row per task.  The crc is that of the ids as little-endian 32-bit numbers.
     """
-    ahead = Window.orderBy("task", "shard").rowsBetween(Window.unboundedPreceding, -1)
-    placed = manifest.withColumn("base", F.coalesce(F.sum("tokens").over(ahead), F.lit(0)))
+    ahead = Window.partitionBy("task").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    tasks_before = manifest.groupBy("task").agg(F.sum("tokens").alias("all")).select(
+        "task", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("earlier"))
+    placed = manifest.withColumn("own", F.coalesce(F.sum("tokens").over(ahead), F.lit(0))).join(tasks_before, "task").select(
+        "uri", (F.col("earlier") + F.col("own")).alias("base"))
     out = arrow_schema("doc_id long, start long, n_tokens long, ids_crc32 long")
 
     def run(batches):
@@ -258,8 +328,8 @@ def lookup_tokens(manifest: DataFrame, tokens: list[int]) -> DataFrame:
         for batch in batches:
             for uri in batch.column(0).to_pylist():
                 with open_shared(uri) as file:
-                    matrix = read_shard(file.read())[2]
-                rows = [dict(zip(out.names, (uri, t, n := matrix.count(t), matrix.select(t, 0), matrix.select(t, n - 1)), strict=True)) for t in tokens]
+                    matrix = ShardFile(file).matrix()
+                    rows = [dict(zip(out.names, (uri, t, n := matrix.count(t), matrix.select(t, 0), matrix.select(t, n - 1)), strict=True)) for t in tokens]
                 yield pa.RecordBatch.from_pylist(rows, out)
 
     return manifest.select("uri").mapInArrow(run, "uri string, token long, occurrences long, first_at long, last_at long")

@@ -1,5 +1,6 @@
 """Token counts, shards, packing and the piece codec against their libraries."""
 
+import io
 import zlib
 
 import numpy as np
@@ -14,7 +15,7 @@ from mailbench.llm.common import byte_encoder, chunks
 from mailbench.llm.packing import pack_documents, plan_packs
 from mailbench.llm.sentencepieces import PieceEncoder, load_model, piece_codec
 from mailbench.llm.token_counts import RankMerger, token_counts
-from mailbench.llm.wavelet import WaveletMatrix, lookup_tokens, read_shard, read_token_shards, write_shard, write_token_shards
+from mailbench.llm.wavelet import ShardFile, WaveletMatrix, lookup_tokens, read_shard, read_token_shards, write_shard, write_token_shards
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -166,3 +167,23 @@ def test_piece_codec(spark):
     assert len(got) == len(texts) + 1 and got.round_trip.all()
     for row in got.itertuples():
         assert list(row.ids) == want[row.doc_id] and row.n_pieces == len(want[row.doc_id])
+
+
+def test_lookups_read_little_of_a_file():
+    """Access, counts and places from a large shard touch the head, the directories and a few pieces; results equal plain search."""
+    rng = np.random.default_rng(6)
+    ids = np.minimum(rng.zipf(1.2, 3_000_000), 40_000).astype(np.uint32)
+    ids[1_234_567] = 49_999
+    data = write_shard([0], np.array([len(ids)]), ids)
+    shard = ShardFile(io.BytesIO(data))
+    matrix = shard.matrix()
+    assert (matrix.count(49_999), matrix.select(49_999, 0), matrix.access(1_234_567)) == (1, 1_234_567, 49_999)
+    assert shard.bytes_read < len(data) // 2
+    one = ShardFile(io.BytesIO(data))
+    assert one.matrix().count(49_999) == 1 and one.bytes_read < len(data) // 3
+    for token in (1, 7, 39_999, 45_000):
+        places = np.flatnonzero(ids == token)
+        assert matrix.count(token) == len(places) and matrix.rank(token, 2_000_001) == (places < 2_000_001).sum()
+        for k in {0, len(places) // 2, len(places) - 1} & set(range(len(places))):
+            assert matrix.select(token, k) == places[k]
+    assert (matrix.ids() == ids).all()
