@@ -42,40 +42,36 @@ def response_schema(rules: str = "v1") -> dict:
     return schema
 
 
-def _kind(document: Column, field: str) -> Column:
-    """JSON type of one field as Spark names it; null if the field is absent."""
-    return F.schema_of_variant(F.try_variant_get(document, f"$.{field}", "variant"))
+# What Spark calls the JSON types that a field of a kind may have; JSON's null is VOID.
+_NAMES = {"string": "STRING", "boolean": "BOOLEAN", "double": r"(TINY|SMALL|BIG)?INT|DOUBLE|FLOAT|DECIMAL.*"}
+
+
+def keys_column(record: str) -> str:
+    """Name of the column in which :func:`parse_llm_json` leaves the keys that a reply has, null if it is no object."""
+    return f"{record}_keys"
 
 
 def parse_llm_json(df: DataFrame, reply: str = "reply", out: str = "record",
                    schema: str = LLM_OUT) -> DataFrame:
-    """``df`` with reply texts typed as struct ``out``.
+    """``df`` with reply texts typed as struct ``out``, and the keys they have.
 
-    A text that does not fit the schema is kept in the field ``_corrupt_record``.
-    ``from_json`` turns numbers into strings for string fields without complaint, so
-    those fields are checked against the type they have in the document.  Each reply is
-    parsed in a column of its own, which the fields below refer to.
+    A text that does not fit the schema is kept in the field ``_corrupt_record``; what fits of it is typed.
+    Each reply is parsed once, into the variants of its fields, in a column of its own; types and values
+    are read from those.  A text that gives a key twice is no object.
     """
-    parsed = df.select(
-        "*",
-        F.from_json(reply, f"{schema}, {CORRUPT} string",
-                    {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("_typed"),
-        F.try_parse_json(reply).alias("_document"),
-    )
-    mistyped = F.lit(False)
-    fields = []
+    fields_of = F.try_variant_get(F.try_parse_json(reply), "$", "map<string, variant>")
+    parsed = df.select("*", fields_of.alias("_fields"))
+    mistyped, fields = F.lit(False), []
     for part in schema.split(","):
         name, kind = part.split()
-        value = F.col("_typed")[name]
-        if kind == "string":
-            found = _kind(F.col("_document"), name)
-            wrong = F.coalesce(~found.isin("STRING", "VOID"), F.lit(False))
-            value = F.when(~wrong, value)
-            mistyped = mistyped | wrong
-        fields.append(value.alias(name))
-    corrupt = F.when(mistyped, F.col(reply)).otherwise(F.col("_typed")[CORRUPT])
+        value = F.try_element_at("_fields", F.lit(name))
+        found = F.schema_of_variant(value)
+        fits = found.rlike(f"^({_NAMES[kind]})$")
+        fields.append(F.when(fits, F.try_variant_get(value, "$", kind)).alias(name))
+        mistyped = mistyped | F.coalesce(~fits & (found != "VOID"), F.lit(False))
+    corrupt = F.when(F.col("_fields").isNull() | mistyped, F.col(reply))
     record = F.when(F.col(reply).isNotNull(), F.struct(*fields, corrupt.alias(CORRUPT)))
-    return parsed.select("*", record.alias(out)).drop("_typed", "_document")
+    return parsed.select("*", record.alias(out), F.map_keys("_fields").alias(keys_column(out))).drop("_fields")
 
 
 def validate_llm(df: DataFrame, reply: str = "reply", record: str = "record",
@@ -83,11 +79,13 @@ def validate_llm(df: DataFrame, reply: str = "reply", record: str = "record",
     """``df`` with the rules each reply breaks as ``array<string>`` ``out``; null for a null reply.
 
     ``v1`` checks the whole record contract, ``v2`` keys, types, the priority values
-    and a reason for flagged mail, ``spam`` keys and types of the five-field record.
+    and a reason for flagged mail, ``spam`` keys and types of the five-field record.  Keys come from
+    :func:`parse_llm_json`, whose column of them is dropped; without it the replies are parsed for them.
     """
     required = field_names(LLM_SPAM if rules == "spam" else LLM_OUT)
     nullable = set() if rules == "spam" else {"reason"}
-    keyed = df.select("*", F.json_object_keys(reply).alias("_keys"))
+    known = keys_column(record)
+    keyed = df.withColumnRenamed(known, "_keys") if known in df.columns else df.select("*", F.json_object_keys(reply).alias("_keys"))
     keys, fields = F.col("_keys"), F.col(record)
     wanted = F.array(*[F.lit(name) for name in required])
     corrupt = fields[CORRUPT].isNotNull()
