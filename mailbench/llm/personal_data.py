@@ -148,12 +148,10 @@ class Stretch:
     """Atoms of one stretch, and features of all candidate spans that start in a range of atoms."""
 
     def __init__(self, text: str, start: int, end: int):
-        # One atom on either side tells what a span is glued to.
         before = text[max(0, start - 24):start]
         atoms = [(m.start() + start, m[0]) for m in _ATOM.finditer(text[start:end])]
         self.at = np.array([a for a, _ in atoms] + [end])
         kinds = np.array([_kind(x) for _, x in atoms], np.int64)
-        # A bare word at or dot is one only between spaces; letters are cheaper to tell afterwards.
         self.kinds, self.n = kinds, len(atoms)
         self.beside = (_kind(text[start - 1]) if start else _SPACE), (_kind(text[end]) if end < len(text) else _SPACE)
         words = re.findall(r"[^\W\d_]+", before.lower())[-3:]
@@ -192,7 +190,7 @@ class Stretch:
 
         head, tail = kinds[start], kinds[stop - 1]
         after_head = kinds[np.minimum(start + 1, self.n - 1)]
-        # Signs and dots may be the words at and dot, which are no ends of a span.
+        # The words at and dot are signs and dots, and no ends of a span.
         opens = (head == _NUMBER) | (head == _LETTERS) | (((head == _PLUS) | (head == _BRACKET)) & (after_head == _NUMBER) & (stop - start > 1))
         closes = (tail == _NUMBER) | (tail == _LETTERS)
         digits, runs, signs, points = count("digits"), count("runs"), count("signs"), count("points")
