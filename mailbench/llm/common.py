@@ -136,7 +136,7 @@ def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     return [x or "" for x in batch.column(batch.schema.get_field_index(column)).to_pylist()]
 
 
-TEXTS_AT_ONCE = 1 << 22  # bytes of text that are encoded together
+TEXTS_AT_ONCE = 1 << 24  # bytes of text that are encoded together
 
 
 def text_blocks(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[tuple[pa.Array, pa.StringArray]]:
@@ -160,7 +160,7 @@ _GAP = re.compile(r" (?=\S)")
 # Anything but single spaces and single line ends between words.
 _ODD_SPACE = re.compile(r"\s\s|[^\S \n]|\A\s|\s\Z|\x00")
 # One word and no other white space than a space before it.
-_PLAIN = re.compile(r" ?\S+").fullmatch
+_PLAIN_ARROW = r"\A ?[^\x00\n \t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+\z"
 _LONGEST_KEPT = 64
 _STOPS = ".,;:!?"
 
@@ -266,76 +266,89 @@ class ByteEncoder:
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, self.dtype) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _unit_ids(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _special(self, texts: pa.StringArray) -> pa.BooleanArray:
+        """Whether special strings are in texts."""
+        found = pa.array(np.zeros(len(texts), bool))
+        for special in self.added:
+            found = pc.or_(found, pc.match_substring(texts, special))
+        return found
+
+    def _unit_ids(self, units: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of texts in a row, where each one's start, and how many they are.
 
         Plain texts travel joined by line ends, whose id then parts them again.
         """
-        joinable = [self.line_end is not None and _PLAIN(x) is not None and not any(s in x for s in self.added) for x in units]
-        plain = [i for i, ok in enumerate(joinable) if ok]
-        rest = [i for i, ok in enumerate(joinable) if not ok]
-        groups = [plain[i:i + 64] for i in range(0, len(plain), 64)]
-        found, order, sizes = [np.zeros(0, self.dtype)], [], np.zeros(len(units), np.int64)
-        for group, ids in zip(groups, self._library(["\n".join([units[i] for i in g]) for g in groups]), strict=True):
-            ends = np.flatnonzero(ids == self.line_end)
+        joinable = pc.and_not(pc.match_substring_regex(units, _PLAIN_ARROW), self._special(units)).to_numpy(zero_copy_only=False)
+        plain, rest = np.flatnonzero(joinable & (self.line_end is not None)), np.flatnonzero(~joinable | (self.line_end is None))
+        words = units.take(pa.array(plain)).to_pylist()
+        found, order, sizes, single = [np.zeros(0, self.dtype)], [], np.zeros(len(units), np.int64), [rest]
+        groups = range(0, len(plain), 64)
+        for i, ids in zip(groups, self._library(["\n".join(words[i:i + 64]) for i in groups]), strict=True):
+            group, ends = plain[i:i + 64], np.flatnonzero(ids == self.line_end)
             if len(ends) == len(group) - 1:
                 sizes[group] = np.diff(ends, prepend=-1, append=len(ids)) - 1
                 found.append(np.delete(ids, ends))
-                order += group
+                order.append(group)
             else:
-                rest += group
-        for i, ids in zip(rest, self._library([units[i] for i in rest]), strict=True):
+                single.append(group)
+        rest = np.concatenate(single)
+        for i, ids in zip(rest, self._library(units.take(pa.array(rest)).to_pylist()), strict=True):
             sizes[i] = len(ids)
             found.append(ids)
-        order = np.array(order + rest, np.int64)
+        order = np.concatenate([*order, rest]).astype(np.int64)
         starts = np.zeros(len(units), np.int64)
         starts[order] = np.cumsum(sizes[order]) - sizes[order]
         return np.concatenate(found), starts, sizes
 
-    def _add(self, new: list[str]) -> None:
+    def _add(self, new: pa.StringArray) -> None:
         """Put chunks in the table.  Stops and commas behind a letter are pre-tokens of their own: each word goes through the library without."""
-        if not new:
+        if not len(new):
             return
-        units: dict[str, int] = {}
-        pairs = np.zeros((len(new), 2), np.int64)
-        for i, chunk in enumerate(new):
-            word = chunk.rstrip(_STOPS)
-            if len(word) == len(chunk) or not word[-1:].isalpha() or any(s in chunk for s in self.added):
-                word = chunk
-            pairs[i] = units.setdefault(word, len(units)), units.setdefault(chunk[len(word):], len(units))
-        ids, starts, sizes = self._unit_ids(list(units))
-        both = pairs.ravel()
+        words = pc.utf8_rtrim(new, _STOPS)
+        words = pc.if_else(pc.and_not(pc.match_substring_regex(words, r"\pL\z"), self._special(new)), words, new)
+        cut = pc.not_equal(pc.binary_length(words), pc.binary_length(new))
+        stops = pc.replace_substring_regex(new.filter(cut), r"(?s)\A.*?([" + _STOPS + r"]*)\z", r"\1")
+        tails = pc.replace_with_mask(pa.array([""] * len(new), pa.string()), cut, stops)
+        units = pa.concat_arrays([words, tails]).dictionary_encode()
+        pairs = units.indices.to_numpy().reshape(2, -1).T
+        ids, starts, sizes = self._unit_ids(units.dictionary)
         own = sizes[pairs].sum(axis=1)
         self.starts = np.append(self.starts, len(self.ids) + np.cumsum(own) - own)
         self.sizes = np.append(self.sizes, own)
-        self.ids = np.append(self.ids, ids[ragged(starts[both], sizes[both])])
-        self.known = pa.concat_arrays([self.known, pa.array(new, pa.string())])
+        self.ids = np.append(self.ids, ids[ragged(starts[pairs].ravel(), sizes[pairs].ravel())])
+        self.known = pa.concat_arrays([self.known, new])
 
     def _gathered(self, texts: pa.StringArray) -> Iterator[bytes]:
+        """Ids of each text.  Texts are cut some at a time, of which chunk numbers are left; the chunks of all are looked up together."""
         if len(self.known) > self.entries:
             self._empty()
-        lists = chunk_lists(texts)
-        named = lists.flatten().dictionary_encode()
-        places = pc.index_in(named.dictionary, value_set=self.known)
+        named, counts = [], []
+        for start, stop in slices_by(pc.binary_length(texts).to_numpy(), TEXTS_AT_ONCE // 4):
+            lists = chunk_lists(texts.slice(start, stop - start))
+            named.append(lists.flatten().dictionary_encode())
+            counts.append(pc.list_value_length(lists).to_numpy())
+        named = pa.chunked_array(named).unify_dictionaries()
+        distinct = named.chunk(0).dictionary
+        places = pc.index_in(distinct, value_set=self.known)
         unknown = np.flatnonzero(pc.is_null(places).to_numpy(zero_copy_only=False))
         places = pc.fill_null(places, 0).to_numpy().astype(np.int64)
-        new = named.dictionary.take(pa.array(unknown)).to_pylist()
-        too_long = np.fromiter((len(x) > _LONGEST_KEPT for x in new), bool, len(new))
-        places[unknown[~too_long]] = len(self.starts) + np.arange((~too_long).sum())
-        self._add([x for x, over in zip(new, too_long) if not over])
-        kept_ids, kept_chunks = len(self.ids), len(self.starts)
-        long = [x for x, over in zip(new, too_long) if over]
-        places[unknown[too_long]] = kept_chunks + np.arange(len(long))
-        self._add(long)
-        places = places[named.indices.to_numpy()]
-        sizes = self.sizes[places]
-        ids = self.ids[ragged(self.starts[places], sizes)]
-        if long:
+        new = distinct.take(pa.array(unknown))
+        too_long = pc.greater(pc.utf8_length(new), _LONGEST_KEPT)
+        over = too_long.to_numpy(zero_copy_only=False)
+        places[unknown[~over]] = len(self.starts) + np.arange((~over).sum())
+        self._add(new.filter(pc.invert(too_long)))
+        kept_chunks, kept_ids = len(self.starts), len(self.ids)
+        places[unknown[over]] = kept_chunks + np.arange(over.sum())
+        self._add(new.filter(too_long))
+        for part, sizes_of in zip(named.chunks, counts):
+            at = places[part.indices.to_numpy()]
+            sizes = self.sizes[at]
+            ids = self.ids[ragged(self.starts[at], sizes)]
+            edges = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(sizes_of))]
+            yield from (ids[a:b].tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()))
+        if over.any():
             self.ids, self.starts, self.sizes = self.ids[:kept_ids], self.starts[:kept_chunks], self.sizes[:kept_chunks]
             self.known = self.known.slice(0, kept_chunks)
-        edges = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy()))]
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            yield ids[a:b].tobytes()
 
     def encode(self, texts: pa.StringArray | list[str]) -> Iterator[bytes]:
         if isinstance(texts, list):

@@ -48,11 +48,14 @@ class WaveletMatrix:
             symbols = symbols.astype(np.uint16)
         planes, zeros = [], []
         for level in reversed(range(max(len(alphabet) - 1, 0).bit_length())):
-            ones = (symbols >> level & 1).astype(bool)
-            low = symbols[~ones]
+            ones = (symbols & symbols.dtype.type(1 << level)) != 0
             planes.append(np.packbits(ones, bitorder="little"))
+            low, high = np.flatnonzero(~ones), np.flatnonzero(ones)  # places are taken several times faster than masks
             zeros.append(len(low))
-            symbols = np.concatenate([low, symbols[ones]])
+            after = np.empty_like(symbols)
+            np.take(symbols, low, out=after[:len(low)])
+            np.take(symbols, high, out=after[len(low):])
+            symbols = after
         return cls(alphabet, len(ids), planes, zeros)
 
     # Whole sequence
@@ -65,8 +68,8 @@ class WaveletMatrix:
             bit = kind(1 << len(self.planes) - 1 - depth)
             back = np.empty(self.length, kind)
             zeros = self.zeros[depth]
-            back[~ones] = 0 if symbols is None else symbols[:zeros]
-            back[ones] = bit if symbols is None else symbols[zeros:] | bit
+            back[np.flatnonzero(~ones)] = 0 if symbols is None else symbols[:zeros]
+            back[np.flatnonzero(ones)] = bit if symbols is None else symbols[zeros:] | bit
             symbols = back
         if symbols is None:
             symbols = np.zeros(self.length, np.uint32)
