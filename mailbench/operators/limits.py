@@ -111,11 +111,14 @@ def _parted(keys: DataFrame, names: list[str], low: Place | None, high: Place |
     nothing = F.lit(False)
     upto_low, below = (sure(_before(columns, low, same)) if low else nothing for same in (True, False))
     upto_high, under = (sure(_before(columns, high, same)) if high else F.lit(True) for same in (True, False))
-    between, seen = ~upto_low & under, Observation()
-    counted = keys.observe(seen, F.count_if(below).alias("before"), F.count_if(upto_low).alias("upto_low"),
-                           F.count_if(under).alias("under"), F.count_if(upto_high).alias("upto_high"))
-    written = stage(counted.where(between), "places")
-    n = seen.get
+    counts = [F.count_if(c).alias(name) for c, name in
+              ((below, "before"), (upto_low, "upto_low"), (under, "under"), (upto_high, "upto_high"))]
+    if low == (None,):  # nothing comes behind nulls, and Spark, which sees that, would count nothing on the way
+        n, written = keys.agg(*counts).first(), keys.limit(0)
+    else:
+        seen = Observation()
+        written = stage(keys.observe(seen, *counts).where(~upto_low & under), "places")
+        n = seen.get
     return _Parts(n["before"], n["upto_low"] - n["before"], n["under"] - n["upto_low"], n["upto_high"] - n["under"], written)
 
 

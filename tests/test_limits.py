@@ -173,3 +173,12 @@ def test_none_takes_everything_unranked(spark):
     for all_ in (sample_rows(df, None, key="path"), head_by_class(df, None), limit_rows(df, None, "path")):
         assert "Window" not in all_._jdf.queryExecution().executedPlan().toString()
     assert ids(head_by_class(df, None), "path") == ["a", "b"]
+
+
+def test_the_place_is_among_nulls(spark, narrow):
+    """Half of the keys are null: both sampled places are null, and only some of these rows are wanted."""
+    df = spark.range(300).selectExpr("IF(id < 150, id, NULL) AS email_id").repartition(3).cache()
+    for n in (149, 150, 151, 220, 299):
+        rows = [r["email_id"] for r in limit_rows(df, n).collect()]
+        assert sorted(k for k in rows if k is not None) == list(range(min(n, 150))) and len(rows) == n
+        assert limit_rows(df, -n).count() == 300 - n
