@@ -136,7 +136,7 @@ def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     return [x or "" for x in batch.column(batch.schema.get_field_index(column)).to_pylist()]
 
 
-TEXTS_AT_ONCE = 1 << 24  # bytes of text that are encoded together
+TEXTS_AT_ONCE = 1 << 23  # bytes of text that are encoded together
 
 
 def text_blocks(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[tuple[pa.Array, pa.StringArray]]:
