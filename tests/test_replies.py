@@ -93,34 +93,3 @@ def test_response_schema_has_the_record_contract():
     assert v1["properties"]["confidence"] == {"type": "number", "minimum": 0, "maximum": 1}
     assert v2["properties"]["priority"]["enum"] == ["high", "medium", "low"]
     assert v2["properties"]["intent"] == {"type": "string"}
-
-
-def test_one_parse_per_reply(spark):
-    df = spark.createDataFrame([(json.dumps(GOOD),), ("x",)], "reply string").repartition(2)
-    plan = validate_llm(parse_llm_json(df))._jdf.queryExecution().optimizedPlan().toString().lower()
-    assert plan.replace("_", "").count("parsejson") == 1 and "from_json" not in plan and "json_object_keys" not in plan
-
-
-@pytest.mark.parametrize("reply, intent, confidence, corrupt", [
-    ('{"intent": "a", "confidence": 12345678901234567890}', "a", 12345678901234567890.0, False),
-    ('{"intent": "a", "confidence": 1e3}', "a", 1000.0, False),
-    ('{"intent": "a", "confidence": "0.5"}', "a", None, True),
-    ('{"intent": ["a"], "confidence": 0.25}', None, 0.25, True),
-    ('{"intent": {"b": 1}, "confidence": null}', None, None, True),
-    ('{"intent": "\\u00e9\\n", "confidence": -0.0}', "é\n", 0.0, False),
-    ('{"Intent": "a"}', None, None, False),
-    ("{}", None, None, False),
-    ('{"intent": "a", "intent": "b"}', None, None, True),
-    ("", None, None, True),
-    ('{"intent": "a"', None, None, True),
-])
-def test_types_by_field(spark, reply, intent, confidence, corrupt):
-    record = checked(spark, reply).record
-    assert (record.intent, record.confidence, record[CORRUPT] is not None) == (intent, confidence, corrupt)
-
-
-def test_keys_without_the_parse(spark):
-    """Records that come from elsewhere: the keys are read from the reply."""
-    df = parse_llm_json(spark.createDataFrame([(json.dumps({**GOOD, "extra": 1}),)], "reply string")).drop("record_keys")
-    row = validate_llm(df).first()
-    assert row.violations == ["extra_key"]
