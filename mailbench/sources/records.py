@@ -166,6 +166,18 @@ def file_ranges(spark: SparkSession, path: str, range_bytes: int) -> DataFrame:
     return starts.select("path", "start", F.least("length", F.col("start") + range_bytes).alias("end"))
 
 
+def _begun(ranges: DataFrame, whole: DataFrame, tasks: int) -> DataFrame:
+    """Ranges with the state and record number they begin with; ``whole`` are those of files of one range."""
+    schema = "path string, start long, end long"
+    cut = ranges.where("start > 0").select(F.col("path").alias("_path")).distinct()
+    several = F.col("path") == F.col("_path")
+    surveyed = (ranges.join(cut, several, "left_semi").select("path", "start", "end").repartition(tasks)
+                .mapInPandas(_each_range(_survey), f"{schema}, after_outside long, after_inside long, found_outside long, found_inside long"))
+    known = (surveyed.repartition(tasks, "path").sortWithinPartitions("path", "start")
+             .mapInPandas(_follow, f"{schema}, state long, number long"))
+    return whole.join(cut, several, "left_anti").unionByName(known)
+
+
 def csv_records(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """``path, number, record``: text of every record, its place in its file, 0 for the header.
 
@@ -174,15 +186,9 @@ def csv_records(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES)
     """
     ranges = stage(file_ranges(spark, path, range_bytes), "csv-ranges")
     tasks = parallelism(spark)
-    per_file = ranges.groupBy(F.col("path").alias("_path")).agg(F.count("*").alias("_n"))
-    sized = ranges.join(per_file, F.col("path") == F.col("_path")).drop("_path")
-    single = sized.where("_n = 1").select("path", "start", "end", F.lit(OUTSIDE).cast("long").alias("state"), F.lit(0).cast("long").alias("number"))
-    schema = "path string, start long, end long"
-    surveyed = (sized.where("_n > 1").select("path", "start", "end").repartition(tasks)
-                .mapInPandas(_each_range(_survey), f"{schema}, after_outside long, after_inside long, found_outside long, found_inside long"))
-    known = (surveyed.repartition(tasks, "path").sortWithinPartitions("path", "start")
-             .mapInPandas(_follow, f"{schema}, state long, number long"))
-    begun = stage(single.unionByName(known), "csv-starts")
+    begun = ranges.select("path", "start", "end", F.lit(OUTSIDE).cast("long").alias("state"), F.lit(0).cast("long").alias("number"))
+    if not ranges.where("start > 0").isEmpty():
+        begun = stage(_begun(ranges, begun, tasks), "csv-starts")
     return begun.repartition(tasks).mapInPandas(_each_range(_records), "path string, number long, record string")
 
 
