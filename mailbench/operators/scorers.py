@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import uuid
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 from operator import add
 
 import numpy as np
-from pyspark.ml.functions import predict_batch_udf
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.ml.model_cache import ModelCache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -93,22 +96,37 @@ def padded_batches(lengths: np.ndarray, budget: int, waste: float) -> list[np.nd
     return [*batches, order[start:]] if len(order) else []
 
 
+def text_slices(sizes: np.ndarray, rows: int, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of at most so many neighbours, whose sizes add up to at most so much, or of one that is larger."""
+    ends, start = np.cumsum(sizes, dtype="int64"), 0
+    while start < len(ends):
+        fitting = int(np.searchsorted(ends, ends[start] - sizes[start] + most, "right"))
+        stop = max(min(start + rows, fitting), start + 1)
+        yield start, stop
+        start = stop
+
+
 class BatchScorer(Scorer):
     """A Python model scored in batches of like length.
 
     ``load(max_tokens)`` runs once per Python worker and returns ``model(texts)``, which
     gives one row of logits per text.  Empty texts are not passed to the model.  Of ``ROWS`` texts
-    at a time those of like length are scored together, as many as padded to the longest make ``batch_size`` texts
-    of ``max_tokens``; answers come in the order of the rows.  ``model.lengths(texts)``, if there is one, tells the tokens of texts;
+    at a time, or as many as have ``BYTES`` together, those of like length are scored together, as many as padded to the
+    longest make ``batch_size`` texts of ``max_tokens``; answers come in the order of the rows.  ``model.lengths(texts)``, if there is one, tells the tokens of texts;
     otherwise four characters count as a token.  If a batch fails, its texts are scored one by one, and those that
     fail alone carry the error and count as not spam.
+
+    Spark's batches (10 000 rows or 64 MB, if not set otherwise) stay Arrow arrays; only the texts that are being
+    scored are Python strings, so a worker's memory does not hang on the rows of a table or the width of their characters.
     """
 
-    ROWS, WASTE, CHARACTERS = 1024, 1.2, 4
+    ROWS, BYTES, WASTE, CHARACTERS = 1024, 1 << 23, 1.2, 4
 
     def __init__(self, name: str, load: Callable[[int], Callable[[list[str]], np.ndarray]],
                  batch_size: int = 64, max_tokens: int = MAX_TOKENS):
         super().__init__(name)
+        rows, most, waste, characters = self.ROWS, self.BYTES, self.WASTE, self.CHARACTERS
+        identity = uuid.uuid4()  # made on the driver: a worker keeps the model from task to task under it
 
         def make_predict_fn():
             model = load(max_tokens)
@@ -122,7 +140,7 @@ class BatchScorer(Scorer):
 
             def tokens(texts: list[str]) -> np.ndarray:
                 known = getattr(model, "lengths", None)
-                found = known(texts) if known else [-(-len(t) // self.CHARACTERS) for t in texts]
+                found = known(texts) if known else [-(-len(t) // characters) for t in texts]
                 return np.minimum(np.asarray(found, dtype="int64"), max_tokens)
 
             def predict(texts: np.ndarray) -> dict[str, np.ndarray]:
@@ -132,7 +150,7 @@ class BatchScorer(Scorer):
                 filled = np.flatnonzero(texts != "")
                 if not len(filled):
                     return {"chosen": chosen, "probability": probability, "error": error}
-                for group in padded_batches(tokens(texts[filled].tolist()), batch_size * max_tokens, self.WASTE):
+                for group in padded_batches(tokens(texts[filled].tolist()), batch_size * max_tokens, waste):
                     places = filled[group]
                     try:
                         chosen[places], probability[places] = score(texts[places].tolist())
@@ -147,8 +165,22 @@ class BatchScorer(Scorer):
 
             return predict
 
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            predict = ModelCache.get(identity)
+            if predict is None:
+                predict = make_predict_fn()
+                ModelCache.add(identity, predict)
+            for texts in batches:
+                sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+                for start, stop in text_slices(sizes, rows, most):
+                    found = predict(np.array(texts[start:stop].to_pylist(), dtype=object))
+                    # What is not a number becomes null.
+                    yield pa.StructArray.from_arrays([
+                        pa.array(found["chosen"]), pa.array(found["probability"], from_pandas=True),
+                        pa.array(found["error"], pa.string())], list(found))
+
         # Not deterministic, so that no filter on its result is pushed down as a second run of the model.
-        self._udf = predict_batch_udf(make_predict_fn, return_type=DECISION, batch_size=self.ROWS).asNondeterministic()
+        self._udf = F.arrow_udf(run, DECISION).asNondeterministic()
 
     def raw(self, text: Column) -> Column:
         return self._udf(F.coalesce(text, F.lit("")))

@@ -6,7 +6,7 @@ from mailbench.catalog.fixtures import batch_scorer, load_word_model, native_sco
 from mailbench.functions.decisions import round_n, softmax_decide
 from mailbench.operators.ensemble import ensemble_vote, long_predictions, models_map, vote_counts, vote_sums
 from mailbench.operators.guards import EMPTY_RECORD, empty_guard, is_empty
-from mailbench.operators.scorers import BatchScorer, NativeScorer, padded_batches, score_all, score_transformer
+from mailbench.operators.scorers import BatchScorer, NativeScorer, padded_batches, score_all, score_transformer, text_slices
 from mailbench.plans.classifiers import benchmark, benchmark_single, detailed_results, predict
 
 
@@ -225,3 +225,44 @@ def test_a_failing_text_takes_no_other_along_in_its_batch(spark):
         assert (r.model.error is None) == ("bad" not in r.text)
         if r.model.error is None:
             assert r.model.confidence == pytest.approx(1 / (1 + np.exp(-len(r.text) / 100)), abs=1e-4)
+
+
+def test_texts_become_strings_by_bytes(spark, tmp_path):
+    """Long texts in one batch of Spark's: few are held as strings at a time, all are answered in order."""
+    log = tmp_path / "held"
+
+    def load(max_tokens):
+        class Model:
+            def lengths(self, texts):
+                with open(log, "a") as f:
+                    f.write(f"{len(texts)} {sum(len(t.encode()) for t in texts)}\n")
+                return [max_tokens] * len(texts)
+
+            def __call__(self, texts):
+                return np.array([[0.0, len(t) / 2_000_000] for t in texts])
+
+        return Model()
+
+    df = spark.range(0, 70, 1, 1).selectExpr("id", "CASE WHEN id % 10 = 3 THEN NULL ELSE repeat('\u00e4', int(id) * 10000) END AS text")
+    got = score_transformer(df, "text", load).selectExpr("id", "length(text) AS n", "model.confidence AS c").collect()
+    assert [r.id for r in got] == list(range(70))
+    for r in got:
+        assert r.c == (0.0 if not r.n else pytest.approx(1 / (1 + np.exp(-r.n / 2_000_000)), abs=1e-4))
+    texts, held = np.loadtxt(log, dtype="int64").reshape(-1, 2).T
+    assert texts.sum() == 62 and len(texts) > 3
+    assert held.max() <= BatchScorer.BYTES
+
+
+def test_text_slices_cover_all_texts_within_both_bounds():
+    rng = np.random.default_rng(5)
+    for sizes in (rng.integers(0, 50, 500), np.zeros(30, "int32"), np.array([999, 1, 1, 999, 999]), np.array([], "int32")):
+        ranges = list(text_slices(sizes, 16, 100))
+        assert [i for a, b in ranges for i in range(a, b)] == list(range(len(sizes)))
+        for a, b in ranges:
+            assert b - a == 1 or (b - a <= 16 and sizes[a:b].sum() <= 100)
+
+
+def test_what_is_not_a_number_becomes_null(spark):
+    scorer = BatchScorer("odd", lambda n: lambda texts: np.array([[np.nan, 1.0] if t == "odd" else [0.0, 1.0] for t in texts]))
+    df = spark.createDataFrame([("odd",), ("x",)], "text string").coalesce(1)
+    assert [(r.odd.confidence, r.odd.error) for r in score_all(df, [scorer]).collect()] == [(None, None), (0.7311, None)]
